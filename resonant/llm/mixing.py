@@ -21,6 +21,7 @@ Defined cases
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,7 +40,6 @@ class MixConfig:
     weights: tuple[int, ...] = (1, 2, 3)
     most: int = 3  # times a source's size
     seed: int = 17
-    chunk_rows: int = 4096  # rows that one running sum sees, on average
 
 
 @dataclass(frozen=True)
@@ -81,6 +81,11 @@ def targets(sizes: DataFrame, config: MixConfig) -> DataFrame:
     return s.select("sid", "source", "size", target.alias("target"))
 
 
+def chunks_for(rows: int) -> int:
+    """As many chunks as a chunk has rows: neither the chunks nor their sums fill a task."""
+    return max(1, math.isqrt(rows))
+
+
 def running_sum(df: DataFrame, value: str, order: list[str]) -> DataFrame:
     """Adds `before`: the sum of value over the rows of the same sid that come first.
 
@@ -113,7 +118,7 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig(), key: str | None = None
     first = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
     sources = written(sources.withColumn("first", F.coalesce(F.sum("slots").over(first), F.lit(0).cast("long"))).coalesce(1), "mix-sources")
     n_rows, (n_slots, n_blocks) = rows.count(), sources.agg(F.sum("slots"), F.sum("blocks")).first()
-    n_slots, chunks = n_slots or 0, max(1, n_rows // config.chunk_rows)
+    n_slots, chunks = n_slots or 0, chunks_for(n_rows)
 
     # where each document lies in its source's words, and the blocks it meets
     spread = F.when(F.col("doc_id").isNull(), F.xxhash64("row_no")).otherwise(F.xxhash64(F.lit(config.seed), "doc_id"))
@@ -159,7 +164,7 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig(), key: str | None = None
     slots = slots.join(blocks, "sid").select("shard", "sid", "slot", (F.col("slot") % F.col("blocks")).alias("place"))
 
     # a pseudorandom permutation of each source's blocks: their ranks by a hash
-    rank_chunks = max(1, (n_blocks or 0) // config.chunk_rows)
+    rank_chunks = chunks_for(n_blocks or 0)
     hashed = pieces.where("opens").select("sid", "block", F.xxhash64(F.lit(config.seed), F.lit("place"), "sid", "block").alias("__hash"), F.lit(1).cast("long").alias("one"))
     hashed = hashed.withColumn("chunk", F.pmod(F.xxhash64("__hash"), F.lit(rank_chunks)))
     order = running_sum(hashed, "one", ["__hash", "block"]).select("sid", F.col("before").alias("place"), "block")
