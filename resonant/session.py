@@ -10,11 +10,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: dict[str, str] = {}
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1024
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the session's executors, once for each application."""
+    """Send this package to the session's executors, once for each application.
+
+    Rows go to Python in batches of at most BATCH_ROWS, since a row may hold a long text.
+    """
     context = spark.sparkContext
+    if int(spark.conf.get(BATCH)) > BATCH_ROWS:
+        spark.conf.set(BATCH, BATCH_ROWS)
     if _SHIPPED.get("app") != context.applicationId:
         root = Path(__file__).parent
         handle, path = tempfile.mkstemp(prefix="resonant-", suffix=".zip")
