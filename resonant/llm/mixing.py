@@ -208,7 +208,9 @@ def mixed_documents(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFra
     copies = copies.select(F.col("row_no").alias("__key"), "__chosen", whole.alias("__whole"))
     out = docs.join(copies, "__key")
     words = F.split(F.regexp_replace(F.col("__row.text"), f"^{GAP}|{GAP}$", ""), GAP)
-    cut = F.concat_ws(" ", F.flatten(F.transform("__chosen", lambda s: F.slice(words, (s["first"] + 1).cast("int"), s["words"].cast("int")))))
+    # the array of one array gives the words a name, so that they are split once and not for each span
+    spans_of = lambda w: F.flatten(F.transform("__chosen", lambda s: F.slice(w, (s["first"] + 1).cast("int"), s["words"].cast("int"))))
+    cut = F.concat_ws(" ", F.get(F.transform(F.array(words), spans_of), F.lit(0)))
     text = F.when(F.col("__whole"), F.col("__row.text")).otherwise(cut)
     out = out.withColumn("__text", text)
     kept = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}

@@ -43,7 +43,7 @@ class PackConfig:
     linear: float = 1.0
     quadratic: float = 1.0 / 2048
     group_tokens: int = 1 << 20  # tokens that are packed together
-    batch_chars: int = 1 << 22  # characters that are tokenised together
+    batch_chars: int = 1 << 20  # characters that are tokenised together
 
 
 @dataclass

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT = "spark.checkpoint.dir"
+_SCOPE: ContextVar[str] = ContextVar("scope", default="query")
+_MADE: dict[str, list[str]] = {}  # paths by scope
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -30,7 +35,10 @@ def work_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the work folder, deleted when the driver's JVM ends."""
-    path = f"{work_dir(spark)}/resonant/{label}-{uuid.uuid4().hex}"
+    scope = _SCOPE.get()
+    path = f"{work_dir(spark)}/resonant/{scope}/{label}-{uuid.uuid4().hex}"
+    if scope != "query":
+        _MADE.setdefault(scope, []).append(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
@@ -54,6 +62,26 @@ def discard(df: DataFrame) -> None:
             at.getFileSystem(conf).delete(at, True)
 
 
+@contextlib.contextmanager
+def scope(spark: SparkSession, name: str, keep: DataFrame | None = None) -> Iterator[None]:
+    """Tables made inside belong to `name`; those it made before go, but for what `keep` reads."""
+    held = {f.rpartition("/")[0] for f in keep.inputFiles()} if keep is not None else set()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    left = []
+    for path in _MADE.pop(name, []):
+        if any(h.endswith(path.rpartition("/")[2]) for h in held):
+            left.append(path)
+        else:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+    _MADE[name] = left
+    token = _SCOPE.set(name)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+
+
 def text_of(name: str = "text") -> Column:
     """The text, null counting as empty."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -77,7 +77,7 @@ class WordBpe:
     The ids of splits met are kept, up to most_kept.
     """
 
-    def __init__(self, path: str, most_kept: int = 600_000):
+    def __init__(self, path: str, most_kept: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 

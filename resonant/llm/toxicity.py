@@ -87,7 +87,7 @@ class Machine:
 def support(rows: list[np.ndarray], labels: np.ndarray, config: ToxicityConfig) -> np.ndarray:
     """The hashes whose rates among both labels differ by at least least_z standard errors."""
     size = 1 << config.bits
-    positive, negative = np.zeros(size), np.zeros(size)
+    positive, negative = np.zeros(size, np.int32), np.zeros(size, np.int32)
     for r, y in zip(rows, labels):
         (positive if y else negative)[r] += 1
     n1, n0 = labels.sum(), len(labels) - labels.sum()
@@ -158,7 +158,7 @@ def learn(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
 class Scorer:
     """Probabilities of texts; the places of words met are kept, up to most_kept words."""
 
-    def __init__(self, machine: Machine | None, config: ToxicityConfig, most_kept: int = 400_000):
+    def __init__(self, machine: Machine | None, config: ToxicityConfig, most_kept: int = 150_000):
         self.machine, self.config, self.most_kept = machine, config, most_kept
         self.place = {int(h): k for k, h in enumerate(machine.ids)} if machine else {}
         self.known: dict[str, tuple[int, ...]] = {}
