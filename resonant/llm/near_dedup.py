@@ -318,14 +318,14 @@ def join(docs: DataFrame, config: ForestConfig = ForestConfig()) -> Join:
             node = batch.column(4).to_numpy()[rows_]
             new = set(zip(node[b].tolist(), node[a].tolist())) - seen
             if new:
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 seen |= new
                 x, y = zip(*new)
                 yield pa.RecordBatch.from_pydict({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
     families = components(_dealt(placed, ["low"]).mapInArrow(alike, "a long, b long"))
-    sized = families.groupBy(F.col("component").alias("key")).agg(F.count("*").alias("size"))
+    sized = written(families.groupBy(F.col("component").alias("key")).agg(F.count("*").alias("size")), "near-sizes")
     families = families.withColumnRenamed("component", "key").hint("merge").join(sized, "key")
     families = written(families.join(nodes.select("node", "fp"), "node"), "near-families")
 
@@ -376,7 +376,9 @@ def classes(docs: DataFrame, config: ForestConfig = ForestConfig()) -> DataFrame
     j = join(docs, config)
     nodes = j.nodes.join(j.links, "node", "left").join(j.classes, "node", "left")
     nodes = nodes.withColumn("component", F.coalesce("component", "node"))
-    named = nodes.groupBy("component").agg(F.min("least_id").alias("class_id"))
+    # both sides of a join by component or family are plain tables, so that a large one can be split
+    nodes = written(nodes, "near-nodes")
+    named = written(nodes.groupBy("component").agg(F.min("least_id").alias("class_id")), "near-names")
     nodes = written(nodes.hint("merge").join(named, "component"), "near-classes").select("fp", "component", "class_id", "copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     rows = written(j.rows.hint("merge").join(nodes, "fp", "left"), "near-result")
     # one row of a class stays: its smallest doc_id, of repeated ones the first
