@@ -80,7 +80,7 @@ def latest(messages: DataFrame, keys: list[str], value: str) -> DataFrame:
 def feature_rows(features: DataFrame) -> DataFrame:
     """The lines of a feature export: t, tonic, mode, chord, bpm, voices; lists joined by +, - if empty, ? for no tempo."""
     ids = F.when(F.size("voice_ids") > 0, F.array_join(F.transform("voice_ids", lambda i: i.cast("string")), "+")).otherwise("-")
-    return features.select("track", F.format_string("%.2f", "t").alias("t"), "tonic", "mode", "chord", F.coalesce(F.format_string("%.0f", "bpm"), F.lit("?")).alias("bpm"), ids.alias("voices"))
+    return features.select("track", F.format_string("%.2f", "t").alias("t"), "tonic", "mode", "chord", F.when(F.col("bpm").isNotNull(), F.format_string("%.0f", "bpm")).otherwise("?").alias("bpm"), ids.alias("voices"))
 
 
 def gate_voltages(samples: DataFrame, triggers: DataFrame) -> DataFrame:

@@ -49,3 +49,35 @@ def onset_drive(signal: DataFrame) -> DataFrame:
     rises = total.select("n", F.coalesce(rise, F.lit(0.0)).alias("rise"))
     peak = rises.agg(F.max("rise").alias("peak"))
     return rises.crossJoin(F.broadcast(peak)).select("n", (F.col("rise") / (F.col("peak") + 1e-9)).alias("drive"))
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq, address, arg: one message an event; every third is a feature, the others fields of voices."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value")
+    voice = F.concat(F.lit("/voice/"), (F.col("user_id") % 10).cast("string"), F.when(F.col("event_id") % 3 == 1, "/rhythm/phase").otherwise("/amp"))
+    address = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("/features/"), F.col("event_type"))).otherwise(voice)
+    return events.select(F.col("event_id").alias("seq"), address.alias("address"), F.col("value").cast("string").alias("arg"))
+
+
+def voice_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """track, frame, voice, freq, amp: users as voices, hours as frames."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", "value").where("ts IS NOT NULL")
+    hour = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600)
+    grouped = events.groupBy((F.col("user_id") % 50).cast("long").alias("voice"), hour.alias("hour")).agg(F.min(F.col("event_id") % 36).alias("semi"), F.avg("value").alias("amp"))
+    first = F.broadcast(grouped.agg(F.min("hour").alias("first")))
+    freq = 110.0 * F.pow(F.lit(2.0), F.col("semi") / 12.0)
+    return grouped.crossJoin(first).select(F.lit(0).cast("long").alias("track"), (F.col("hour") - F.col("first")).alias("frame"), "voice", freq.alias("freq"), "amp")
+
+
+def triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """trigger, track, first, last, freq, velocity: orders as notes."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    first = F.col("o_custkey") % 600
+    return orders.select(
+        F.col("o_orderkey").alias("trigger"),
+        F.lit(0).cast("long").alias("track"),
+        first.alias("first"),
+        (first + F.col("o_orderkey") % 20).alias("last"),
+        (110.0 * F.pow(F.lit(2.0), (F.col("o_orderkey") % 36) / 12.0)).alias("freq"),
+        ((F.col("o_custkey") % 10) / 10.0).alias("velocity"),
+    )
