@@ -487,19 +487,19 @@ def nearest_frame(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- voices over time ------------------------------------------------------------------------
 
-NEAR = "abs(12 * log2(v.freq / t.freq)) * 100 < 200"
+NEAR = "abs(12 * log2(v.freq / t.freq)) * 100 < 250"
 
 
 @query(f"""WITH {VOICE_FRAMES}, {TRIGGERS}, m AS (SELECT t.trigger, v.voice, row_number() OVER (PARTITION BY t.trigger ORDER BY v.amp DESC, v.voice, v.frame) AS place FROM trg t JOIN vf v ON v.track = t.track AND v.frame BETWEEN t.first AND t.last AND {NEAR})
 SELECT t.trigger, m.voice IS NOT NULL AS covered, m.voice FROM trg t LEFT JOIN m ON m.trigger = t.trigger AND m.place = 1""")
 def trigger_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return voices.coverage(views.voice_frames(spark, sf), views.triggers(spark, sf))
+    return voices.coverage(views.voice_frames(spark, sf), views.triggers(spark, sf), 250.0)
 
 
 @query(f"WITH {VOICE_FRAMES}, {TRIGGERS}, few AS (SELECT * FROM trg WHERE trigger % 50 = 1) SELECT v.track, v.frame, v.voice, {r('v.freq')} AS freq, {r('v.amp')} AS amp FROM vf v WHERE NOT EXISTS (SELECT 1 FROM few t WHERE v.track = t.track AND v.frame BETWEEN t.first AND t.last AND {NEAR})")
 def phantom_voices(spark: SparkSession, sf: str) -> DataFrame:
     few = views.triggers(spark, sf).where("trigger % 50 = 1")
-    return rounded(voices.phantom_voices(views.voice_frames(spark, sf), few))
+    return rounded(voices.phantom_voices(views.voice_frames(spark, sf), few, 250.0))
 
 
 def _active_voices(spark: SparkSession, sf: str) -> DataFrame:
@@ -563,7 +563,7 @@ w AS (SELECT CAST(o AS INTEGER) AS osc, channel, g / sum(g) OVER (PARTITION BY o
 SELECT osc, n, {r("sum(w * env)")} AS x FROM sig JOIN w USING (channel) GROUP BY ALL""")
 def project_channels(spark: SparkSession, sf: str) -> DataFrame:
     signal = views.hourly_signal(spark, sf).withColumnRenamed("env", "x")
-    named = signal.select("channel").distinct().withColumn("k", F.F.row_number().over(Window.orderBy("channel")))
+    named = signal.select("channel").distinct().withColumn("k", F.row_number().over(Window.orderBy("channel")))
     g = named.crossJoin(spark.range(8).select(F.col("id").cast("int").alias("osc"))).withColumn("g", F.exp(-F.pow((F.col("osc") - F.col("k")) / 2.0, F.lit(2))))
     weights = g.withColumn("w", F.col("g") / F.sum("g").over(Window.partitionBy("osc"))).select("osc", "channel", "w")
     return rounded(signals.project(signal, weights))
