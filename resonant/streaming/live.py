@@ -91,11 +91,11 @@ def live_voices(frames: DataFrame, depth: int, least: int = 8, config: VoiceConf
         tracker, ring = Tracker(config), []
         if state.exists:
             amps, voices, tracker.next_id = state.get
-            ring = [list(a) for a in amps]
+            ring = [[float(x) for x in a] for a in amps]
             tracker.voices = [Voice(v[0], frozenset(v[1]), *v[2:]) for v in voices]
         out = []
         for row in pd.concat(list(parts)).sort_values("frame").itertuples():
-            ring = [*ring, list(row.amp)][-depth:]
+            ring = [*ring, np.asarray(row.amp, float).tolist()][-depth:]
             if len(ring) >= least:
                 out += voice_rows(int(key[0]), int(row.frame), tracker.advance(window_voices(np.array(ring), np.array(row.phase), f, config)))
         saved = [(int(v.id), sorted(v.members), v.centre, v.amp, v.phase, v.confidence, v.active, int(v.age), int(v.silent)) for v in tracker.voices]
