@@ -396,7 +396,7 @@ def classes(docs: DataFrame, config: ForestConfig = ForestConfig()) -> DataFrame
 
 
 def one_per_class(docs: DataFrame, config: ForestConfig = ForestConfig()) -> DataFrame:
-    """The documents that stay, one of each class, with all their columns."""
+    """The documents that stay, the first row of each class, with all their columns."""
     docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     fields = docs.schema["__row"].dataType.names
     # rows are numbered, so that repeated and null doc_ids are told apart

@@ -1,10 +1,9 @@
 """Approximate nearest neighbours by inner product: NN-descent and greedy graph search.
 
-Index. Vectors that are identical are one node. For the graph, each vector gets one
-more component that brings all to the same length, which turns the largest inner
-product into the smallest angle; its components are stored as bytes, so that what
-moves between machines is small. The first neighbours come from random hyperplanes:
-sorted by the signs, near vectors lie in the same short window. NN-descent then
+Index. Vectors that are identical are one node. An edge leads to a node with a large
+inner product, whatever the lengths; for the graph, components are stored as bytes,
+so that what moves between machines is small. The first neighbours come from random
+hyperplanes: sorted by the signs, near vectors lie in the same short window. NN-descent then
 joins the edges of the graph with themselves: the neighbours, and sampled reverse
 neighbours, of each node are compared with each other, and each keeps its best.
 
@@ -78,10 +77,8 @@ def inner(a: Column, b: Column) -> Column:
 # --- numbers ---------------------------------------------------------------------------------
 
 
-def as_bytes(x: np.ndarray, longest: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows brought to the length `longest` by one more component, as signed bytes with a scale."""
-    rest = np.sqrt(np.maximum(longest**2 - (x * x).sum(axis=1), 0))
-    x = np.concatenate([x, rest[:, None]], axis=1)
+def as_bytes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows as signed bytes with a scale."""
     scale = np.abs(x).max(axis=1) / 127
     return np.rint(x / scale[:, None]).astype(np.int8), scale.astype(np.float32)
 
@@ -168,15 +165,13 @@ def build(vectors: DataFrame, config: NeighbourConfig = NeighbourConfig()) -> Gr
     named = keyed.hint("merge").join(groups, ["__k1", "__k2"]).select("uid", "node")
     rows = written(rows.hint("merge").join(named, "uid"), "ann-named")
     single = rows.where("uid = node")
-    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    n, longest, dims = single.agg(F.count("*"), F.sqrt(F.max(squares)), F.max(F.size("embedding"))).first()
-    width = (dims or 0) + 1
+    n, width = single.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
-                q, scale = as_bytes(x, longest)
+                q, scale = as_bytes(x)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in q], pa.binary()), pa.array(scale)], names=["node", "bytes", "scale"])
 
     nodes = written(single.select("node", "embedding").mapInArrow(shrink, "node long, bytes binary, scale float"), "ann-nodes")
