@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from resonant.functions import music, routing
 from resonant.functions.common import let, tidy
-from resonant.operators import dynamics, messages, pairs, rhythm, rollups, signals, voices, windows
+from resonant.operators import dynamics, messages, pairs, reports, rhythm, rollups, signals, voices, windows
 from resonant.plans import dims
 from resonant.plans.config import BankConfig, OscillatorParams, VoiceConfig
-from resonant.sources import views
+from resonant.sources import synth, views
 from resonant.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -737,6 +737,126 @@ def session_windows(spark: SparkSession, sf: str) -> DataFrame:
     return live.sessions(_events(spark, sf), ["user_id"], "2 hours").withColumns({"start": seconds("start"), "end": seconds("end")})
 
 
+# --- reports ---------------------------------------------------------------------------------
+
+ENERGY = f"{STATE}, en AS (SELECT track, frame, sum(amp) AS energy FROM st GROUP BY ALL), tr AS (SELECT track, frame, avg(energy) OVER (PARTITION BY track ORDER BY frame ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS energy FROM en), df AS (SELECT track, frame, abs(a.energy - b.energy) AS d FROM en a JOIN tr b USING (track, frame))"
+
+
+def _two_runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The energy of each frame, and its trailing mean as a live path would know it."""
+    e = views.osc_state(spark, sf).groupBy("track", "frame").agg(F.sum("amp").alias("energy"))
+    over = Window.partitionBy("track").orderBy("frame").rowsBetween(-11, 0)
+    return e, e.select("track", "frame", F.avg("energy").over(over).alias("energy"))
+
+
+@query(f"WITH {ENERGY} SELECT track, CAST(count(*) AS BIGINT) AS n, {r('avg(d)')} AS mean, {r('max(d)')} AS most, {r('median(d)')} AS middle, {r('avg(CASE WHEN d <= 0.1e0 THEN 1e0 ELSE 0e0 END)')} AS equal FROM df GROUP BY track")
+def run_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(reports.agreement(*_two_runs(spark, sf), ["track", "frame"], "energy", TRACK, 0.1))
+
+
+@query(f"WITH {ENERGY} SELECT * FROM (SELECT track, frame, CAST(row_number() OVER (PARTITION BY track ORDER BY d DESC, frame) AS INTEGER) AS place, {r('d')} AS diff FROM df) WHERE place <= 5")
+def top_disagreements(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(reports.disagreements(*_two_runs(spark, sf), ["track", "frame"], "energy", TRACK).select("track", "frame", "place", "diff"))
+
+
+@query(f"""WITH {STATE}, log AS (SELECT track, frame, 'pitch' AS layer, sum(amp) AS energy FROM st GROUP BY ALL UNION ALL SELECT track, frame - 3, 'rhythm', sum(amp) / 2 FROM st GROUP BY ALL),
+ends AS (SELECT track, min(e) AS e FROM (SELECT track, layer, max(frame) AS e FROM log GROUP BY track, layer) GROUP BY track)
+SELECT l.track, l.layer, l.frame, {r("l.energy")} AS energy FROM log l JOIN ends USING (track) WHERE l.frame <= e""")
+def aligned_layers(spark: SparkSession, sf: str) -> DataFrame:
+    e = views.osc_state(spark, sf).groupBy("track", "frame").agg(F.sum("amp").alias("energy"))
+    other = e.select("track", (F.col("frame") - 3).alias("frame"), F.lit("rhythm").alias("layer"), (F.col("energy") / 2).alias("energy"))
+    log = e.select("track", "frame", F.lit("pitch").alias("layer"), "energy").unionByName(other)
+    return rounded(reports.aligned(log).select("track", "layer", "frame", "energy"))
+
+
+@query(f"WITH {AMPS}, top AS (SELECT track, max(amp) AS top FROM amps GROUP BY track) SELECT a.track, CAST(count(*) FILTER (pf < 200e0) AS BIGINT) AS low, CAST(count(*) FILTER (pf >= 200e0 AND pf < 400e0) AS BIGINT) AS mid, CAST(count(*) FILTER (pf >= 400e0) AS BIGINT) AS high FROM amps a JOIN top USING (track) WHERE amp > greatest(0.05e0, 0.1e0 * top) GROUP BY a.track")
+def band_counts(spark: SparkSession, sf: str) -> DataFrame:
+    active = pairs.active_oscillators(views.osc_state(spark, sf), TRACK, 0.05, 0.1)
+    return reports.band_counts(active.select("track", dims.pitch_frequency(F.col("osc")).alias("f")), 200.0, 400.0, TRACK)
+
+
+@query(f"WITH {WEIGHTS}, m AS (SELECT track, i, j, sqrt(re * re + im * im) AS magnitude FROM w), q AS (SELECT track, quantile_cont(magnitude, 0.98) AS top FROM m GROUP BY track) SELECT m.track, i, j, {r('magnitude')} AS magnitude, {r('least(1e0, coalesce(magnitude / nullif(top, 0), 0e0))')} AS level FROM m JOIN q USING (track)")
+def weight_panel(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(reports.scaled_weights(_weights(_last_frame(spark, sf))))
+
+
+REPLAY_AT = [0, 100, 333, 10**9]
+
+
+@query(f"""WITH {VOICE_FRAMES}, asked(wanted) AS (VALUES {", ".join(f"({t})" for t in REPLAY_AT)}), f AS (SELECT v.track, a.wanted, min(v.frame) AS frame FROM vf v JOIN asked a ON v.frame >= a.wanted GROUP BY ALL),
+{values("labels", "ratio, label", dims.HARMONIC_LABELS)},
+lab AS (SELECT freq, arg_min(label, abs(log2(freq / (110e0 * ratio)))) AS label, min(abs(1200 * log2(freq / (110e0 * ratio)))) AS off FROM (SELECT DISTINCT freq FROM vf), labels GROUP BY freq)
+SELECT f.track, CAST(f.wanted AS BIGINT) AS wanted, f.frame, CAST(row_number() OVER (PARTITION BY f.track, f.wanted ORDER BY v.freq, v.voice) AS INTEGER) AS place, v.voice, {r("v.freq")} AS freq, {r("1200 * log2(v.freq / 110e0)")} AS cents,
+CASE WHEN off < 100 THEN label ELSE '?' END AS label FROM f JOIN vf v ON v.track = f.track AND v.frame = f.frame JOIN lab USING (freq)""")
+def voice_replay(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(reports.replay(views.voice_frames(spark, sf), REPLAY_AT, 110.0))
+
+
+@query(f"WITH {VOICE_FRAMES} SELECT track, frame, voice, min(frame) OVER w AS first, CAST(row_number() OVER w - 1 AS INTEGER) AS age, coalesce(frame - lag(frame) OVER w - 1, 0) AS gap FROM vf WINDOW w AS (PARTITION BY track, voice ORDER BY frame)")
+def voice_ages(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.ages(views.voice_frames(spark, sf)).select("track", "frame", "voice", "first", "age", "gap")
+
+
+@query(f"""WITH {VOICE_FRAMES}, sp AS (SELECT track, voice, frame, coalesce(lead(frame) OVER (PARTITION BY track, voice ORDER BY frame) - 1, (SELECT max(frame) FROM vf)) AS last FROM vf)
+SELECT track, frame + k AS frame, voice, k AS silent FROM sp, range(0, 41) t(k) WHERE frame + k <= last""")
+def carried_voices(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.carried(views.voice_frames(spark, sf), 40)
+
+
+@query(f"WITH {VOICE_FRAMES}, h AS (SELECT track, voice, frame, list(amp) OVER (PARTITION BY track, voice ORDER BY frame ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS h FROM vf) SELECT track, voice, frame, CAST(k AS INTEGER) AS place, {r('h[k + 1]')} AS amp FROM h, range(4) t(k) WHERE k < len(h)")
+def voice_history(spark: SparkSession, sf: str) -> DataFrame:
+    kept = reports.history(views.voice_frames(spark, sf), "amp", 4)
+    return rounded(kept.select("track", "voice", "frame", F.posexplode("history").alias("place", "amp")))
+
+
+@query(f"""WITH {VOICE_FRAMES}, sl AS (SELECT track, voice, CAST(row_number() OVER (PARTITION BY track ORDER BY min(frame), voice) - 1 AS INTEGER) AS slot FROM vf GROUP BY track, voice),
+n AS (SELECT *, row_number() OVER (PARTITION BY track, voice ORDER BY frame DESC) AS back FROM vf)
+SELECT n.track, n.voice, slot, max(frame) AS frame, {r("arg_max(freq, frame)")} AS freq, {r("arg_max(amp, frame)")} AS amp, CAST(count(*) AS INTEGER) AS depth, {r("arg_min(amp, frame)")} AS oldest
+FROM n JOIN sl ON sl.track = n.track AND sl.voice = n.voice WHERE slot < 8 AND back <= 16 GROUP BY n.track, n.voice, slot""")
+def slotted_traces(spark: SparkSession, sf: str) -> DataFrame:
+    found = reports.slotted_traces(views.voice_frames(spark, sf), 8, 16)
+    return rounded(found.select("track", "voice", "slot", "frame", "freq", "amp", F.size("history").alias("depth"), F.get("history", F.lit(0)).alias("oldest")))
+
+
+@query(f"WITH {VOICE_FRAMES} SELECT track, frame, arg_max(voice, ROW(amp, -voice)) AS voice, {r('max(amp)')} AS amp FROM vf GROUP BY track, frame")
+def dominant_voice(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(reports.dominant(views.voice_frames(spark, sf)))
+
+
+@query(f"WITH {VOICE_FRAMES}, few AS (SELECT voice FROM vf GROUP BY voice ORDER BY voice LIMIT 8) SELECT track, voice, CAST(count(*) AS BIGINT) AS frames, {r('min(freq)')} AS low, {r('max(freq)')} AS high, {r('median(freq)')} AS middle FROM vf WHERE voice IN (SELECT voice FROM few) GROUP BY track, voice")
+def voice_listing(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(reports.listing(views.voice_frames(spark, sf)))
+
+
+@query(f"WITH {STATE}, e AS (SELECT track, frame, sum(amp) AS energy FROM st GROUP BY ALL), sp AS (SELECT track, f AS frame FROM (SELECT DISTINCT track FROM e), range(-4, 17) t(f)) SELECT track, frame, {r('coalesce(energy, 0e0)')} AS energy FROM sp LEFT JOIN e USING (track, frame)")
+def padded_window(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(reports.padded(_two_runs(spark, sf)[0], F.lit(6).cast("long"), 10, TRACK, "energy"))
+
+
+@query(f"WITH {STATE} SELECT track, osc, CAST(count(*) FILTER (abs(phase) < pi() / 4) AS BIGINT) AS beats FROM st GROUP BY track, osc")
+def beat_pulses(spark: SparkSession, sf: str) -> DataFrame:
+    return views.osc_state(spark, sf).groupBy("track", "osc").agg(F.count_if(music.beat_pulse(F.col("phase"))).alias("beats"))
+
+
+@query(f"WITH {SIGNAL}, k AS (SELECT k FROM range(0, (SELECT CAST(floor((max(n) + 1) / 2.5e0) AS BIGINT) FROM drv)) t(k)) SELECT k, {r('drive')} AS drive FROM k JOIN drv ON n = least(CAST(floor(k * 2.5e0) AS BIGINT), (SELECT max(n) FROM drv))")
+def decimated_drive(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(signals.decimate(_drive(spark, sf), 1.0, 2.5))
+
+
+@query(f"WITH {SIGNAL}, t AS (SELECT n, sum(env) AS x FROM sig GROUP BY n) SELECT n, {r('CASE WHEN (SELECT max(abs(x)) FROM t) > 0 THEN x / (SELECT max(abs(x)) FROM t) * 0.8e0 ELSE x END')} AS x FROM t")
+def peak_normalized(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(synth.peak_normalized(views.hourly_signal(spark, sf).groupBy("n").agg(F.sum("env").alias("x"))))
+
+
+@query(f"""WITH {TRIGGERS}, s AS (SELECT trigger, k / 20e0 AS t, (last - first + 1) / 20e0 AS d FROM trg, range(0, 21, 4) x(k))
+SELECT trigger, {r("t")} AS t, {r("CASE WHEN t >= d + 0.1e0 THEN 0e0 WHEN t >= d THEN 0.7e0 * (1 - (t - d) / 0.1e0) WHEN t < 0.01e0 THEN t / 0.01e0 WHEN t < 0.06e0 THEN 1 - 0.3e0 * (t - 0.01e0) / 0.05e0 ELSE 0.7e0 END")} AS level FROM s""")
+def note_envelopes(spark: SparkSession, sf: str) -> DataFrame:
+    ticks = F.explode(F.sequence(F.lit(0), F.lit(20), F.lit(4)))
+    s = views.triggers(spark, sf).select("trigger", ((F.col("last") - F.col("first") + 1) / 20.0).alias("d"), ticks.alias("k"))
+    t = F.col("k") / 20.0
+    return rounded(s.select("trigger", t.alias("t"), synth.adsr(t, F.col("d")).alias("level")))
+
+
 # --- order-sensitive: no SQL -----------------------------------------------------------------
 
 BANK = [0.25 * 16 ** (k / 15) for k in range(16)]

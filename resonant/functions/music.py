@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from resonant.plans.dims import CONSONANCE_SIGMA, CONSONANCES, HARMONIC_RATIOS, PITCH_CLASSES
+from resonant.functions.common import let
+from resonant.plans.dims import CONSONANCE_SIGMA, CONSONANCES, HARMONIC_LABELS, HARMONIC_RATIOS, PITCH_CLASSES
 
 
 def _names() -> Column:
@@ -62,3 +65,15 @@ def cents(hz: Column, reference: Column) -> Column:
 
 def tempo_prior(hz: Column, centre: float = 2.0, sigma: float = 1.0) -> Column:
     return F.exp(-0.5 * F.pow((F.log2(F.greatest(hz, F.lit(1e-9))) - F.log2(F.lit(centre))) / sigma, F.lit(2)))
+
+
+def harmonic_label(hz: Column, fundamental: Column) -> Column:
+    """The multiple of the fundamental that hz is within a semitone of, else a question mark."""
+    off = lambda ratio: F.abs(1200 * F.log2(hz / (fundamental * ratio)))
+    nearest = F.array_min(F.array(*[F.struct(off(r).alias("off"), F.lit(label).alias("label")) for r, label in HARMONIC_LABELS]))
+    return F.when((hz > 0) & (fundamental > 0), let(nearest, lambda x: F.when(x["off"] < 100, x["label"]).otherwise("?"))).otherwise("?")
+
+
+def beat_pulse(phase: Column) -> Column:
+    """Within an eighth of a turn of the beat."""
+    return F.abs(phase) < math.pi / 4

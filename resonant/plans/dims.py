@@ -27,6 +27,7 @@ CONSONANCE_SIGMA = 0.8  # semitones
 COMPANION_RATIOS = [(2, 1), (3, 1), (3, 2), (4, 3), (5, 4), (7, 4), (1, 2), (1, 3), (2, 3), (3, 4), (4, 5)]
 HARMONIC_RATIOS = [(2, 1), (3, 1), (3, 2), (4, 1), (4, 3), (5, 1), (5, 4)]  # those of at least one
 LOCK_RATIOS = [(1, 1), (2, 1), (3, 2), (4, 3), (5, 4), (7, 4)]
+HARMONIC_LABELS = [(0.25, "0.250f"), (0.333, "0.333f"), (0.5, "0.500f"), (0.667, "0.667f"), (1.0, "1f (fund)"), (1.5, "1.5f"), (2.0, "2.0f"), (3.0, "3.0f"), (4.0, "4.0f"), (5.0, "5.0f"), (6.0, "6.0f"), (7.0, "7.0f"), (8.0, "8.0f")]
 EAR_Q, LEAST_BANDWIDTH = 9.26449, 24.7
 
 N_OSC = 32
