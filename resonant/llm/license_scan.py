@@ -71,8 +71,6 @@ RULES = [
 
 #: A line break, or white space after the end of a sentence.
 SPLIT = r"[\n\r]+|[.!?]+[ \t]+"
-#: Every known sentence has one of these words, so a document without them needs no splitting.
-ANCHORS = ("licen", "permission", "redistribut", "provided as is", "warranty", "rights reserved")
 
 
 @dataclass(frozen=True)
@@ -86,6 +84,11 @@ class LicenceRules:
     def numbers(self) -> dict[str, int]:
         return {name: k + 1 for k, name in enumerate(self.sentences)}
 
+    @property
+    def words(self) -> list[str]:
+        """The longest word of each sentence: a text without any of them holds no known sentence."""
+        return sorted({max(s.split(" "), key=len) for s in self.sentences.values()})
+
 
 DEFAULT = LicenceRules(SENTENCES, RULES)
 
@@ -107,8 +110,8 @@ def scan(docs: DataFrame, known: LicenceRules = DEFAULT) -> DataFrame:
     """
     text = text_of()
     near = F.lit(False)
-    for a in ANCHORS:
-        near = near | F.contains(F.lower(text), F.lit(a))
+    for word in known.words:
+        near = near | F.contains(F.lower(text), F.lit(word))
     mark = lambda n: F.format_string("<%d>", n)
     numbers = F.when(near, sentence_numbers(text, known)).otherwise(F.array().cast("array<int>"))
     df = docs.select("doc_id", numbers.alias("__numbers"))

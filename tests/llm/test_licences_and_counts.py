@@ -27,6 +27,15 @@ def test_order_of_rules_and_sequences(docs):
     assert [r.licences for r in ls.scan(docs(texts), known).collect()] == ["AB", "A", "AB"]
 
 
+def test_any_sentence_is_found(spark, docs):
+    known = ls.LicenceRules({"u": "this is free and unencumbered software released into the public domain"}, [("Unlicense", ["u"])])
+    given = docs(["Prose.\nThis is free and unencumbered software released into the public domain.", "Prose."])
+    documents = given.toPandas()  # noqa: F841
+    got = [tuple(r) for r in ls.scan(given, known).collect()]
+    assert sorted(got) == sorted(duckdb.sql(ls.oracle(known)).fetchall()) == [(0, "Unlicense", 1, 1), (1, "", 0, 0)]
+    assert [r.licences for r in ls.scan(docs(["All RIGHTS\treserved.", "all rights\u00a0reserved"])).collect()] == ["Proprietary", "Proprietary"]
+
+
 def test_sql_gives_the_same(spark, docs):
     given = docs(TEXTS)
     documents = given.toPandas()  # noqa: F841
