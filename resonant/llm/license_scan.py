@@ -2,7 +2,9 @@
 
 Main path: DataFrame and SQL functions only.
 
-A document is split into lines and sentences. A sentence in lower case with runs of
+A document is split into lines and sentences. A known sentence that is wrapped over
+several lines, with or without comment marks, counts as one; where one known sentence
+begins with another, the longer is taken. A sentence in lower case with runs of
 other characters turned into a space is looked up among the known licence sentences,
 which gives the document's sequence of sentence identifiers. A rule is an ordered
 list of identifiers; it matches where the list occurs as consecutive identifiers of
@@ -20,6 +22,7 @@ Defined cases
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,6 +74,8 @@ RULES = [
 
 #: A line break, or white space after the end of a sentence.
 SPLIT = r"[\n\r]+|[.!?]+[ \t]+"
+#: Stands for the end of a sentence while wrapped sentences are joined.
+END = "\x01"
 
 
 @dataclass(frozen=True)
@@ -93,10 +98,27 @@ class LicenceRules:
 DEFAULT = LicenceRules(SENTENCES, RULES)
 
 
+def unwrapped(text: Column, known: LicenceRules) -> Column:
+    """The text with each known sentence that is wrapped at line breaks on a line of its own.
+
+    A sentence begins and ends at a line break or the end of a sentence, as SPLIT has
+    them. The end of a sentence within a line or at the end of one is never joined.
+    """
+    out = F.translate(text, END, "-")
+    out = F.regexp_replace(out, r"[.!?]+[ \t]+", f"{END}\n")
+    out = F.regexp_replace(out, r"([.!?])(?=[\n\r])", f"$1{END}")
+    mark, gap = rf"[^a-z0-9\n\r{END}]*+", f"[^a-z0-9{END}]++"
+    for s in sorted(known.sentences.values(), key=lambda s: (-len(s), s)):
+        if re.fullmatch("[a-z0-9]+( [a-z0-9]+)+", s):
+            wrapped = rf"(?<![^\n\r{END}]){mark}{s.replace(' ', gap)}(?={mark}(?:[\n\r{END}]|\z))"
+            out = F.regexp_replace(out, wrapped, s)
+    return F.translate(out, END, "\n")
+
+
 def sentence_numbers(text: Column, known: LicenceRules) -> Column:
     """The numbers of the known sentences in the text, 0 where an unknown one stands between."""
     lookup = F.create_map(*[F.lit(x) for name, s in known.sentences.items() for x in (s, known.numbers[name])])
-    pieces = F.filter(F.split(F.lower(text), SPLIT), lambda p: F.trim(p) != "")
+    pieces = F.filter(F.split(unwrapped(F.lower(text), known), SPLIT), lambda p: F.trim(p) != "")
     cleaned = F.transform(pieces, lambda p: F.trim(F.regexp_replace(p, "[^a-z0-9]+", " ")))
     return F.transform(cleaned, lambda p: F.coalesce(F.try_element_at(lookup, p), F.lit(0)))
 

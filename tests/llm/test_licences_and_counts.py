@@ -36,6 +36,23 @@ def test_any_sentence_is_found(spark, docs):
     assert [r.licences for r in ls.scan(docs(["All RIGHTS\treserved.", "all rights\u00a0reserved"])).collect()] == ["Proprietary", "Proprietary"]
 
 
+WRAPPED = {
+    " * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0\n *\n * Unless required": ("Apache-2.0", 3, 1),
+    "# Licensed under the Apache License,\r\n# Version 2.0 (the License);\r\n# you may not use this file except\r\n# in compliance with the License.": ("Apache-2.0", 2, 1),
+    "// Permission is hereby granted, free of charge, to any person obtaining a copy\n// of this software and associated documentation files (the \"Software\"), to deal\n// in the Software without restriction.\n": ("MIT", 1, 1),
+    "Prose\n    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.\n": ("GPL-3.0-or-later", 1, 1),
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n": ("BSD", 1, 1),
+    "not all rights\nreserved": ("", 0, 0),
+    "All rights.\nreserved": ("", 0, 0),
+    "Licensed under the MIT License.\n...\nAll rights\nreserved": ("MIT+Proprietary", 2, 2),
+}
+
+
+def test_wrapped_sentences(docs):
+    got = ls.scan(docs(list(WRAPPED))).orderBy("doc_id").collect()
+    assert [(r.licences, r.sentences, r.matches) for r in got] == list(WRAPPED.values())
+
+
 def test_sql_gives_the_same(spark, docs):
     given = docs(TEXTS)
     documents = given.toPandas()  # noqa: F841
