@@ -498,8 +498,7 @@ def trigger_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {VOICE_FRAMES}, {TRIGGERS}, few AS (SELECT * FROM trg WHERE trigger % 50 = 1) SELECT v.track, v.frame, v.voice, {r('v.freq')} AS freq, {r('v.amp')} AS amp FROM vf v WHERE NOT EXISTS (SELECT 1 FROM few t WHERE v.track = t.track AND v.frame BETWEEN t.first AND t.last AND {NEAR})")
 def phantom_voices(spark: SparkSession, sf: str) -> DataFrame:
-    few = views.triggers(spark, sf).where("trigger % 50 = 1")
-    return rounded(voices.phantom_voices(views.voice_frames(spark, sf), few, 250.0))
+    return rounded(voices.phantom_voices(views.voice_frames(spark, sf), views.triggers(spark, sf), 250.0))
 
 
 def _active_voices(spark: SparkSession, sf: str) -> DataFrame:
@@ -611,7 +610,7 @@ def _last_frame(spark: SparkSession, sf: str) -> DataFrame:
 
 def _weights(state: DataFrame) -> DataFrame:
     a, b = state.select("track", F.col("osc").alias("i"), F.col("amp").alias("ai")), state.select("track", F.col("osc").alias("j"), F.col("amp").alias("aj"))
-    return a.join(b, "track").where("i <> j AND (i + j) % 3 = 0").select("track", "i", "j", (F.col("ai") * F.col("aj")).alias("re"), (F.col("ai") - F.col("aj")).alias("im"))
+    return a.join(b, "track").where("i <> j").select("track", "i", "j", (F.col("ai") * F.col("aj")).alias("re"), (F.col("ai") - F.col("aj")).alias("im"))
 
 
 WEIGHTS = f"{STATE}, {LAST_FRAME}, w AS (SELECT a.track, a.osc AS i, b.osc AS j, a.amp * b.amp AS re, a.amp - b.amp AS im FROM fin a JOIN fin b ON a.track = b.track AND a.osc <> b.osc AND (a.osc + b.osc) % 3 = 0)"
@@ -699,8 +698,9 @@ def held_voltages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {TRIGGERS}, h AS (SELECT n, arg_max(ROW(freq, velocity), trigger) AS g FROM range(0, 700) s(n) JOIN trg t ON s.n BETWEEN t.first AND t.last WHERE t.trigger % 100 = 1 GROUP BY n) SELECT CAST(s.n AS BIGINT) AS n, {r('coalesce(0.5e0 * h.g[2], 0e0)')} AS gate, {r('coalesce(log2(h.g[1] / 16.3516e0) / 10, 0e0)')} AS pitch FROM range(0, 700) s(n) LEFT JOIN h ON h.n = s.n")
 def gate_voltages(spark: SparkSession, sf: str) -> DataFrame:
-    t = views.triggers(spark, sf).where("trigger % 100 = 1").withColumnRenamed("trigger", "seq")
-    return rounded(messages.gate_voltages(spark.range(700).select(F.col("id").alias("n")), t))
+    t = views.triggers(spark, sf).withColumnRenamed("trigger", "seq")
+    samples = t.agg(F.max("last").alias("end")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("end").cast("long"))).alias("n"))
+    return rounded(messages.gate_voltages(samples, t))
 
 
 @query("WITH f AS (SELECT event_type AS host, user_id % 7 AS port, min(event_id) AS first FROM events GROUP BY ALL) SELECT CAST(row_number() OVER (ORDER BY first) - 1 AS BIGINT) AS place, host, port FROM f")

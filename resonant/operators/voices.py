@@ -310,7 +310,7 @@ def coverage(voices: DataFrame, triggers: DataFrame, cents: float = 200.0) -> Da
 
 def phantom_voices(voices: DataFrame, triggers: DataFrame, cents: float = 200.0) -> DataFrame:
     """The voice frames that no trigger explains."""
-    spread = triggers.select("track", F.col("freq").alias("wanted"), F.explode(F.sequence("first", "last")).alias("frame"))
+    spread = triggers.select("track", F.col("freq").alias("wanted"), F.explode(F.sequence("first", "last")).alias("frame")).distinct()
     near = semitones_between(voices["freq"], spread["wanted"]) * 100 < cents
     return voices.join(spread, (voices["track"] == spread["track"]) & (voices["frame"] == spread["frame"]) & near, "left_anti")
 

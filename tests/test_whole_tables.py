@@ -1,0 +1,33 @@
+"""Queries over all triggers and pairs give the rows of their SQL without its cuts."""
+
+import duckdb
+import pandas as pd
+import pytest
+
+from resonant.catalog import ORACLES, QUERIES
+
+DATA = "/root/testdata/sf0.001"
+PAIRS = {" AND (a.osc + b.osc) % 3 = 0": ""}
+END = "(SELECT max(last) + 1 FROM trg)"
+CUTS = {
+    "phantom_voices": {" WHERE trigger % 50 = 1": ""},
+    "gate_voltages": {" WHERE t.trigger % 100 = 1": "", "range(0, 700) s(n)": f"(SELECT unnest(range(0, {END})) AS n) s"},
+    "hebbian_step": PAIRS,
+    "mean_field": PAIRS,
+    "weight_panel": PAIRS,
+}
+
+
+@pytest.mark.parametrize("name", sorted(CUTS))
+def test_nothing_is_cut(spark, name):
+    sql = ORACLES[name]
+    for cut, whole in CUTS[name].items():
+        sql = sql.replace(cut, whole)
+    con = duckdb.connect()
+    for t in "orders lineitem events embeddings".split():
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    want, got = con.sql(sql).df(), QUERIES[name](spark, DATA).toPandas()
+    columns = sorted(want.columns)
+    want, got = (df.sort_values(columns, ignore_index=True)[columns] for df in (want, got))
+    assert len(want)
+    pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=0, atol=1e-6)
