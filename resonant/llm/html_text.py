@@ -5,7 +5,8 @@ length and the punctuation marks are summed and divided by the path's nodes. Bot
 ratios are smoothed along the page, fused into one score, and paths above a
 threshold hold the content. Regions that the page itself names as something else
 (navigation, forms, adverts, comments and so on) never hold content, and where it
-names its article, only paths inside the article compete.
+names its article, its blocks count whatever their length, unless most of a block is
+link text: those need a path with a share of the best score.
 
 Defined cases
     null or empty html     empty text
@@ -37,8 +38,8 @@ from resonant.session import ship
 class ExtractConfig:
     smoothing: float = 1.0  # standard deviation of the Gaussian, in text nodes
     spread: float = 0.5  # standard deviations below the mean at which a path's score still counts
-    within: float = 0.05  # share of the best score that a path inside a named article needs
-    most_links: float = 0.6  # share of a path's text that may be link text
+    within: float = 0.05  # share of the best score that a path inside a named article needs to keep blocks of mostly link text
+    most_links: float = 0.6  # share of a path's text that may be link text, and of a block's inside a named article
 
 
 # HTML's element kinds, and words by which pages name regions that are not content.
@@ -212,14 +213,26 @@ def path_scores(nodes: list[Node], config: ExtractConfig) -> dict[str, float]:
     return {p: 0.0 if linked[p] > config.most_links * length[p] else t / count[p] for p, t in total.items()}
 
 
+def own_blocks(nodes: list[Node], config: ExtractConfig) -> set[int]:
+    """The blocks of which most is not link text."""
+    size: dict[int, int] = {}
+    linked: dict[int, int] = {}
+    for n in nodes:
+        size[n.block] = size.get(n.block, 0) + len(n.text.strip())
+        linked[n.block] = linked.get(n.block, 0) + len(n.text.strip()) * n.link
+    return {b for b, s in size.items() if linked[b] <= config.most_links * s}
+
+
 def main_text(page: str | None, config: ExtractConfig = ExtractConfig()) -> str:
     """The blocks of the content, white space inside one turned into a space, joined by newlines."""
     nodes = [n for n in text_nodes(page) if n.text.strip() or n.text] if page else []
     solid = [n for n in nodes if n.text.strip()]
+    own: set[int] = set()
     if any(n.article for n in solid):
         nodes, solid = [n for n in nodes if n.article], [n for n in solid if n.article]
         scores = path_scores(solid, config)
         need = config.within * max(scores.values())
+        own = own_blocks(solid, config)
     elif solid:
         scores = path_scores(solid, config)
         each = [scores[n.path] for n in solid]
@@ -228,7 +241,7 @@ def main_text(page: str | None, config: ExtractConfig = ExtractConfig()) -> str:
     else:
         return ""
     chosen = {p for p, s in scores.items() if s > 0 and s >= need}
-    held = {n.block for n in solid if n.path in chosen}
+    held = own | {n.block for n in solid if n.path in chosen}
     if held:  # headings belong to the content that they stand before or in
         held |= {n.block for n in solid if n.heading and (n.article or min(held) <= n.block <= max(held)) and not n.link}
     blocks: dict[int, list[str]] = {}

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from resonant.llm.html_text import extract, main_text
@@ -35,6 +37,24 @@ def test_without_an_article_the_ratios_decide():
     assert main_text(page(body)) == f"{PROSE}\n{PROSE} And more.\n{PROSE}"
 
 
+@pytest.mark.parametrize("times", [8, 20, 200])
+@pytest.mark.parametrize(
+    ("region", "line"),
+    [
+        ("<ul>{}</ul>", "<li>An item of some thirty letters</li>"),
+        ("<ol>{}</ol>", "<li><b>Bold</b> and <a href=/x>linked</a> item</li>"),
+        ("<table>{}</table>", "<tr><td>12</td><td>cell</td></tr>"),
+        ("<div class='listing'>{}</div>", "<pre>x = f(y)</pre>"),
+        ("<dl>{}</dl>", "<dt>term</dt><dd>what it is</dd>"),
+    ],
+)
+def test_an_article_keeps_its_short_blocks(region, line, times):
+    long = " ".join([PROSE] * 6)
+    got = main_text(page(f"<article><h1>T</h1><p>{long}</p>{region.format(line * times)}<p>{long}</p><ul><li><a href=/x>Another page</a></li></ul></article>")).split("\n")
+    each = [re.sub("<.*?>", "", x) for x in re.split("(?<=</td>)|(?<=</dt>)", line)]
+    assert got == ["T", long, *[x for x in each if x] * times, long]
+
+
 def test_references_spaces_and_breaks():
     assert main_text(page("<article><p>a &amp; b&nbsp;&eacute;\n\t c<br>d <b>e</b>f</p></article>")) == "a & b é c d ef"
 
