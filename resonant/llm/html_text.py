@@ -4,8 +4,11 @@ Each text node has the path of tags from the root to it. For each path, the text
 length and the punctuation marks are summed and divided by the path's nodes. Both
 ratios are smoothed along the page, fused into one score, and paths above a
 threshold hold the content. Regions that the page itself names as something else
-(navigation, forms, adverts, comments and so on) never hold content, and where it
-names its article, its blocks count whatever their length, unless most of a block is
+(navigation, forms, adverts, comments and so on) never hold content. A region of
+which only a part of a class or id is such a word (has-sidebar) is left out too,
+unless it holds most of the page's text; one named after comments must then also have
+no article beside it. Where the page names its article and that holds most of the
+text, only the article competes, and its blocks count whatever their length, unless most of a block is
 link text: those need a path with a share of the best score.
 
 Defined cases
@@ -65,6 +68,7 @@ OTHER_WORDS = frozenset(
     " recommended related replies reply respond responses search share sharing shoutbox sidebar sidenav signup skip social"
     " sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist discussion disqus replies reply respond responses".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 
 _TAG = re.compile(
@@ -87,6 +91,7 @@ class Node:
     heading: bool
     link: bool
     article: bool
+    named: tuple[tuple[int, bool], ...] = ()  # regions around it that part of a name calls something else, and whether comments
 
 
 @dataclass
@@ -98,10 +103,12 @@ class _Open:
     link: bool
     heading: bool
     lent: bool = field(default=False)  # a header inside an article, of which headings count
+    named: tuple[tuple[int, bool], ...] = ()
 
 
-def _opened(tag: str, attrs: str, top: _Open) -> _Open:
+def _opened(tag: str, attrs: str, top: _Open, at: int) -> _Open:
     names: set[str] = set()
+    whole: set[str] = set()
     role = ""
     hidden = False
     if attrs.strip():
@@ -109,6 +116,7 @@ def _opened(tag: str, attrs: str, top: _Open) -> _Open:
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
                 names.update(_PARTS.split(value.lower()))
+                whole.update(value.lower().split())
             elif key == "role":
                 role = value.lower()
         hidden = bool(_HIDDEN.search(attrs))
@@ -116,10 +124,12 @@ def _opened(tag: str, attrs: str, top: _Open) -> _Open:
     article = top.article or tag in ("article", "main") or role in ("main", "article")
     lent = top.lent or (tag == "header" and top.article)
     other = top.other or hidden or tag in OTHER_TAGS or role in OTHER_ROLES or (tag == "header" and not top.article)
-    other = other or (not named and tag not in HEADINGS and not OTHER_WORDS.isdisjoint(names))
+    may = not named and tag not in HEADINGS and not OTHER_WORDS.isdisjoint(names)
+    other = other or (may and not OTHER_WORDS.isdisjoint(whole))
+    regions = (*top.named, (at, not COMMENT_WORDS.isdisjoint(names))) if may and not other else top.named
     label = tag + "".join("." + n for n in sorted(names) if n) if tag in BLOCKS else tag
     path = f"{top.path}/{label}" if tag in BLOCKS or tag == "a" else top.path
-    return _Open(tag, path, other, article, top.link or tag == "a", top.heading or tag in HEADINGS, lent)
+    return _Open(tag, path, other, article, top.link or tag == "a", top.heading or tag in HEADINGS, lent, regions)
 
 
 def text_nodes(page: str) -> Iterator[Node]:
@@ -131,7 +141,7 @@ def text_nodes(page: str) -> Iterator[Node]:
         top = stack[-1]
         if not top.other and not (top.lent and not top.heading) and raw:
             text = html.unescape(raw) if "&" in raw else raw
-            yield Node(top.path, block, text, top.heading, top.link, top.article)
+            yield Node(top.path, block, text, top.heading, top.link, top.article, top.named)
 
     while at < size:
         m = _TAG.search(page, at)
@@ -178,7 +188,7 @@ def text_nodes(page: str) -> Iterator[Node]:
             if tag == "br":
                 yield from node(" ")
             if tag not in VOID and not attrs.endswith("/"):
-                stack.append(_opened(tag, attrs, stack[-1]))
+                stack.append(_opened(tag, attrs, stack[-1], at))
 
 
 def smooth(values: list[float], sigma: float) -> list[float]:
@@ -213,6 +223,26 @@ def path_scores(nodes: list[Node], config: ExtractConfig) -> dict[str, float]:
     return {p: 0.0 if linked[p] > config.most_links * length[p] else t / count[p] for p, t in total.items()}
 
 
+def own_text(nodes: list[Node]) -> int:
+    """The characters that are not link text."""
+    return sum(len(n.text.strip()) for n in nodes if not n.link)
+
+
+def without_named(nodes: list[Node]) -> list[Node]:
+    """The nodes outside the regions that part of a name calls something else, where the text bears that out."""
+    own: dict[tuple[int, bool], int] = {}
+    articles: dict[tuple[int, bool], int] = {}
+    for n in nodes:
+        for r in n.named:
+            own[r] = own.get(r, 0) + len(n.text.strip()) * (not n.link)
+            articles[r] = articles.get(r, 0) + (n.article and bool(n.text.strip()))
+    if not own:
+        return nodes
+    total, all_articles = own_text(nodes), sum(n.article for n in nodes if n.text.strip())
+    out = {r for r, size in own.items() if 2 * size <= total or (r[1] and articles[r] < all_articles)}
+    return [n for n in nodes if out.isdisjoint(n.named)]
+
+
 def own_blocks(nodes: list[Node], config: ExtractConfig) -> set[int]:
     """The blocks of which most is not link text."""
     size: dict[int, int] = {}
@@ -225,11 +255,13 @@ def own_blocks(nodes: list[Node], config: ExtractConfig) -> set[int]:
 
 def main_text(page: str | None, config: ExtractConfig = ExtractConfig()) -> str:
     """The blocks of the content, white space inside one turned into a space, joined by newlines."""
-    nodes = [n for n in text_nodes(page) if n.text.strip() or n.text] if page else []
+    nodes = without_named([n for n in text_nodes(page) if n.text.strip() or n.text]) if page else []
     solid = [n for n in nodes if n.text.strip()]
     own: set[int] = set()
-    if any(n.article for n in solid):
-        nodes, solid = [n for n in nodes if n.article], [n for n in solid if n.article]
+    within = [n for n in solid if n.article]
+    inside = bool(within) and 2 * own_text(within) >= own_text(solid)
+    if inside:
+        nodes, solid = [n for n in nodes if n.article], within
         scores = path_scores(solid, config)
         need = config.within * max(scores.values())
         own = own_blocks(solid, config)
@@ -243,7 +275,7 @@ def main_text(page: str | None, config: ExtractConfig = ExtractConfig()) -> str:
     chosen = {p for p, s in scores.items() if s > 0 and s >= need}
     held = own | {n.block for n in solid if n.path in chosen}
     if held:  # headings belong to the content that they stand before or in
-        held |= {n.block for n in solid if n.heading and (n.article or min(held) <= n.block <= max(held)) and not n.link}
+        held |= {n.block for n in solid if n.heading and (inside or min(held) <= n.block <= max(held)) and not n.link}
     blocks: dict[int, list[str]] = {}
     for n in nodes:
         if n.block in held:

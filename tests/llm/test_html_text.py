@@ -55,6 +55,28 @@ def test_an_article_keeps_its_short_blocks(region, line, times):
     assert got == ["T", long, *[x for x in each if x] * times, long]
 
 
+@pytest.mark.parametrize("name", ["class='content has-sidebar'", "id='page-with-sidebar'", "class='post tags-x'"])
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_part_of_a_name_does_not_remove_the_article(name, tag):
+    body = f"<p>{PROSE}</p><p>{PROSE} And more.</p>"
+    want = f"{PROSE}\n{PROSE} And more."
+    aside = '<div class="left-sidebar"><p>On the side, yes.</p></div>'
+    assert main_text(page(f"<{tag} {name}>{body}{aside}</{tag}>{aside}")) == want
+    assert main_text(page(f"<{tag} {name}><article>{body}</article></{tag}>{aside}")) == want
+
+
+def test_comments_longer_than_the_article():
+    assert main_text(page(f'<article><p>{PROSE}</p></article><div class="comments-area"><p>{PROSE}</p><p>{PROSE}</p></div>')) == PROSE
+
+
+def test_a_teaser_is_not_the_article():
+    body = "".join(f"<p>{PROSE} {k}.</p>" for k in range(6))
+    teaser = "<article><h2>Read on</h2><p>A card.</p></article>"
+    want = "\n".join(f"{PROSE} {k}." for k in range(6))
+    assert main_text(page(f"<div id=main>{body}</div>{teaser}")) == want
+    assert main_text(page(f"{teaser}<div id=main>{body}</div>")) == want
+
+
 def test_references_spaces_and_breaks():
     assert main_text(page("<article><p>a &amp; b&nbsp;&eacute;\n\t c<br>d <b>e</b>f</p></article>")) == "a & b é c d ef"
 
