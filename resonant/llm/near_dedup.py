@@ -1,14 +1,14 @@
-"""N-gram Jaccard join with a MinHash LSH forest.
+"""N-gram Jaccard join with banded MinHash LSH, in place of an LSH forest.
 
 A document's shingles are the runs of five words of its whole text; a text with
 fewer words is one shingle. The links are the pairs of different texts whose
 shingle sets have a Jaccard similarity of at least 0.8.
 
-1. Texts with the same words are one node; the forest sees each node once.
-2. A tree of the forest orders the nodes by a sequence of minhashes; nodes that
-   share a prefix lie in the same subtrie. The prefix starts at the full depth and
-   is shortened until a pair at the threshold meets in some tree with at least the
-   target probability.
+1. Texts with the same words are one node; each tree sees each node once.
+2. A tree is a band of minhashes, hashed to one key; nodes with equal keys lie in the
+   same subtrie. All bands have the same depth, the longest at which a pair at the
+   threshold meets in some tree with at least the target probability: it comes from
+   the configuration, no trie is sorted and no prefix is shortened for the data.
 3. Nodes of a subtrie are compared by signature, leaving a wide margin under the
    threshold, and join families. Subtries and families with many nodes are cut
    into blocks, and each pair of blocks is a group of its own, so no group is large.
