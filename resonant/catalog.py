@@ -496,7 +496,7 @@ def trigger_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return voices.coverage(views.voice_frames(spark, sf), views.triggers(spark, sf), 250.0)
 
 
-@query(f"WITH {VOICE_FRAMES}, {TRIGGERS}, few AS (SELECT * FROM trg WHERE trigger % 50 = 1) SELECT v.track, v.frame, v.voice, {r('v.freq')} AS freq, {r('v.amp')} AS amp FROM vf v WHERE NOT EXISTS (SELECT 1 FROM few t WHERE v.track = t.track AND v.frame BETWEEN t.first AND t.last AND {NEAR})")
+@query(f"WITH {VOICE_FRAMES}, {TRIGGERS} SELECT v.track, v.frame, v.voice, {r('v.freq')} AS freq, {r('v.amp')} AS amp FROM vf v WHERE NOT EXISTS (SELECT 1 FROM trg t WHERE v.track = t.track AND v.frame BETWEEN t.first AND t.last AND {NEAR})")
 def phantom_voices(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(voices.phantom_voices(views.voice_frames(spark, sf), views.triggers(spark, sf), 250.0))
 
@@ -613,7 +613,7 @@ def _weights(state: DataFrame) -> DataFrame:
     return a.join(b, "track").where("i <> j").select("track", "i", "j", (F.col("ai") * F.col("aj")).alias("re"), (F.col("ai") - F.col("aj")).alias("im"))
 
 
-WEIGHTS = f"{STATE}, {LAST_FRAME}, w AS (SELECT a.track, a.osc AS i, b.osc AS j, a.amp * b.amp AS re, a.amp - b.amp AS im FROM fin a JOIN fin b ON a.track = b.track AND a.osc <> b.osc AND (a.osc + b.osc) % 3 = 0)"
+WEIGHTS = f"{STATE}, {LAST_FRAME}, w AS (SELECT a.track, a.osc AS i, b.osc AS j, a.amp * b.amp AS re, a.amp - b.amp AS im FROM fin a JOIN fin b ON a.track = b.track AND a.osc <> b.osc)"
 
 
 @query(f"""WITH {WEIGHTS} SELECT a.track, a.osc AS i, b.osc AS j, {r("coalesce(w.re, 0e0) + 0.01e0 * (0.5e0 * (a.re*b.re + a.im*b.im) - 0.1e0 * coalesce(w.re, 0e0))")} AS re,
@@ -696,7 +696,7 @@ def held_voltages(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(messages.held_voltages(messages.route(views.messages(spark, sf), _rules(spark))))
 
 
-@query(f"WITH {TRIGGERS}, h AS (SELECT n, arg_max(ROW(freq, velocity), trigger) AS g FROM range(0, 700) s(n) JOIN trg t ON s.n BETWEEN t.first AND t.last WHERE t.trigger % 100 = 1 GROUP BY n) SELECT CAST(s.n AS BIGINT) AS n, {r('coalesce(0.5e0 * h.g[2], 0e0)')} AS gate, {r('coalesce(log2(h.g[1] / 16.3516e0) / 10, 0e0)')} AS pitch FROM range(0, 700) s(n) LEFT JOIN h ON h.n = s.n")
+@query(f"WITH {TRIGGERS}, s AS (SELECT unnest(range(0, (SELECT max(last) + 1 FROM trg))) AS n), h AS (SELECT n, arg_max(ROW(freq, velocity), trigger) AS g FROM s JOIN trg t ON s.n BETWEEN t.first AND t.last GROUP BY n) SELECT CAST(s.n AS BIGINT) AS n, {r('coalesce(0.5e0 * h.g[2], 0e0)')} AS gate, {r('coalesce(log2(h.g[1] / 16.3516e0) / 10, 0e0)')} AS pitch FROM s LEFT JOIN h ON h.n = s.n")
 def gate_voltages(spark: SparkSession, sf: str) -> DataFrame:
     t = views.triggers(spark, sf).withColumnRenamed("trigger", "seq")
     samples = t.agg(F.max("last").alias("end")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("end").cast("long"))).alias("n"))
