@@ -1,26 +1,39 @@
-"""N-gram Jaccard join with banded MinHash LSH, in place of an LSH forest.
+"""N-gram Jaccard join with a MinHash LSH forest.
 
 A document's shingles are the runs of five words of its whole text; a text with
 fewer words is one shingle. The links are the pairs of different texts whose
 shingle sets have a Jaccard similarity of at least 0.8.
 
-1. Texts with the same words are one node; each tree sees each node once.
-2. A tree is a band of minhashes, hashed to one key; nodes with equal keys lie in the
-   same subtrie. All bands have the same depth, the longest at which a pair at the
-   threshold meets in some tree with at least the target probability: it comes from
-   the configuration, no trie is sorted and no prefix is shortened for the data.
-3. Nodes of a subtrie are compared by signature, leaving a wide margin under the
-   threshold, and join families. Subtries and families with many nodes are cut
-   into blocks, and each pair of blocks is a group of its own, so no group is large.
-4. In each family, the shingle sets of all pairs are compared exactly. Only link
-   counts and a spanning forest leave a group, never its pairs.
+1. Texts with the same words are one node. A node's signature holds `depth` minhashes
+   for each tree; these are its label in the tree.
+2. Each tree is a prefix trie: its labels, sorted. The longest prefix that a label
+   shares with a neighbour in this order is the longest that it shares with any.
+3. The first subtries are those of equal labels. Their nodes are compared by
+   signature, leaving a wide margin under the threshold, and the matched prefix is
+   then shortened: only subtries that join shorter ones are compared anew, and only
+   pairs that were apart. From the similarities of the pairs found so far and the
+   chance that a tree brings such a pair together, the share of pairs found is
+   estimated; shortening ends when it reaches the target, at the latest at the prefix
+   at which pairs just at the threshold are found with the target probability.
+4. Nodes that are alike join families. In each family the shingle sets are compared
+   exactly. Only link counts and a spanning forest leave a group, never its pairs.
 5. Classes are the connected components of the links.
 
+Large subtries and families. Each is first compared with one of its nodes, the leader.
+In a subtrie, nodes like the leader are connected through it. In a family, Jaccard
+distance is a metric: nodes within half the largest distance of the leader are linked
+with each other, and are counted without being compared. The others are compared with
+all, in blocks; each pair of blocks is a group of its own, so no group is large.
+
 Defined cases
     null, empty text, no words    no link; each is a class of its own
     null doc_id                   compared like others; class_id comes from the
                                   class's smallest doc_id, null if it has none
-    repeated rows                 equal texts are copies, whatever their doc_id
+    repeated rows, repeated ids   equal texts are copies, whatever their doc_id; rows
+                                  are told apart by a number of their own
+    very long texts               all shingles count; a text is shingled in one task
+    ties                          pairs at the threshold exactly are linked; of rows
+                                  with the class's smallest doc_id the first is kept
     empty table                   empty result
     extra columns                 not read by `classes`, kept by `one_per_class`
 """
@@ -31,7 +44,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,14 +62,15 @@ class ForestConfig:
     words: int = 5
     threshold: float = 0.8
     trees: int = 24
-    depth: int = 8
+    depth: int = 8  # minhashes of a label, one byte each
     target_recall: float = 0.999
+    enough: int = 200  # meetings of similar pairs from which the recall is estimated
     margin: float = 4.0  # standard errors of the signature's estimate under the threshold
-    block: int = 256
+    block: int = 128
     seed: int = 7
 
     @property
-    def prefix(self) -> int:
+    def shortest(self) -> int:
         """The longest prefix at which a pair at the threshold is met with the target probability."""
         length = self.depth
         while length > 1 and 1 - (1 - self.threshold**length) ** self.trees < self.target_recall:
@@ -65,7 +79,7 @@ class ForestConfig:
 
     @property
     def hashes(self) -> int:
-        return self.trees * self.prefix
+        return self.trees * self.depth
 
     @property
     def least_equal(self) -> float:
@@ -74,6 +88,24 @@ class ForestConfig:
         return t - self.margin * math.sqrt(t * (1 - t) / self.hashes)
 
 
+def estimated_recall(meetings: dict[int, int], prefix: int, config: ForestConfig) -> float:
+    """The share of similar pairs that meet in some tree at this prefix, by those that did.
+
+    meetings counts, by equal minhashes, the meetings of a pair in a tree. A pair of
+    similarity s meets in a tree with probability s^prefix, so each meeting stands
+    for 1 / (trees * s^prefix) pairs, of which (1 - s^prefix)^trees meet nowhere.
+    0 while there are too few meetings to tell.
+    """
+    if sum(meetings.values()) < config.enough:
+        return 0.0
+    pairs = lost = 0.0
+    for equal, n in meetings.items():
+        p = (equal / config.hashes) ** prefix
+        pairs += n / (config.trees * p)
+        lost += n / (config.trees * p) * (1 - p) ** config.trees
+    return 1 - lost / pairs
+
+
 # --- texts to words, shingles and signatures -------------------------------------------------
 
 _BASE, _ODD = 0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD
@@ -142,23 +174,14 @@ def _families(hashes: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(grams: np.ndarray, config: ForestConfig) -> np.ndarray:
-    """The smallest value of each hash function over the shingles."""
+    """A byte of the smallest value of each hash function over the shingles, tree after tree."""
     a, b = _families(config.hashes, config.seed)
     folded = (grams ^ (grams >> np.uint64(32))).astype(np.uint32)
     out = np.full(config.hashes, 0xFFFFFFFF, np.uint32)
     for lo in range(0, len(folded), 1024):
         part = folded[lo : lo + 1024]
         np.minimum(out, (a[:, None] * part[None, :] + b[:, None]).min(axis=1), out=out)
-    return out
-
-
-def tree_keys(sig: np.ndarray, config: ForestConfig) -> np.ndarray:
-    """One key for each tree: its number and the prefix of its minhashes."""
-    rows = sig.reshape(config.trees, config.prefix).astype(np.uint64)
-    h = np.arange(1, config.trees + 1, dtype=np.uint64)
-    for k in range(config.prefix):
-        h = _mixed(h * np.uint64(_BASE) + rows[:, k])
-    return h.view(np.int64)
+    return (out * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)  # smallest values have few bits of their own
 
 
 # --- groups: pairs are compared inside, forests come out -------------------------------------
@@ -183,19 +206,32 @@ def forest_edges(pairs: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarr
     return rows, label[rows]
 
 
-def similar_rows(low: np.ndarray, first: np.ndarray, second: np.ndarray, config: ForestConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a row of first and one of second (all pairs if they are the same) with like signatures."""
+def similar_rows(sig: np.ndarray, first: np.ndarray, second: np.ndarray, config: ForestConfig, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a row of first and one of second (all pairs if they are the same) with like signatures, and their equal minhashes.
+
+    label tells which pairs to compare: those that differ in it.
+    """
     need = config.least_equal * config.hashes
-    out_a, out_b = [], []
+    out_a, out_b, out_n = [], [], []
     for i, x in enumerate(first):
         others = second[i + 1 :] if first is second else second
+        if label is not None:
+            others = others[label[others] != label[x]]
         if len(others):
-            hit = others[(low[others] == low[x]).sum(axis=1) >= need]
-            out_a.append(np.full(len(hit), x))
-            out_b.append(hit)
+            equal = (sig[others] == sig[x]).sum(axis=1)
+            hit = equal >= need
+            out_a.append(np.full(hit.sum(), x))
+            out_b.append(others[hit])
+            out_n.append(equal[hit])
     if not out_a:
-        return np.empty(0, int), np.empty(0, int)
-    return np.concatenate(out_a), np.concatenate(out_b)
+        return np.empty(0, int), np.empty(0, int), np.empty(0, int)
+    return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_n)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted arrays without repetitions."""
+    common = len(a) + len(b) - len(np.union1d(a, b))
+    return common / max(1, len(a) + len(b) - common)
 
 
 def linked_rows(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -251,11 +287,16 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield batch, rows, first, second
 
 
-def blocked(members: DataFrame, size: str, config: ForestConfig) -> DataFrame:
-    """members(key, node, size, ...) with a row for each pair of blocks of its key that it is in."""
-    blocks = F.ceil(F.col(size) / config.block)
-    own = F.pmod(F.xxhash64(F.lit(config.seed), "node"), blocks)
-    out = members.withColumn("__own", own).withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+def blocked(members: DataFrame, config: ForestConfig) -> DataFrame:
+    """members(key, node, core, n_core, n_rest, ...) with a row for each pair of blocks of its key that it is in.
+
+    Rows outside the core meet all rows of their key, rows of the core do not meet each other.
+    """
+    rest, core = (F.ceil(F.col(n) / config.block) for n in ("n_rest", "n_core"))
+    place = F.xxhash64(F.lit(config.seed), "node")
+    own = F.when(F.col("core"), rest + F.pmod(place, F.greatest(core, F.lit(1)))).otherwise(F.pmod(place, F.greatest(rest, F.lit(1))))
+    last = F.when(F.col("core"), rest - 1).otherwise(rest + core - 1)
+    out = members.where("n_rest > 0").withColumn("__own", own).withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     return out.withColumn("__low", F.least("__own", "__other")).withColumn("__high", F.greatest("__own", "__other"))
 
 
@@ -264,6 +305,114 @@ def _dealt(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*keys, "__own", "node", *columns).repartition(*keys).sortWithinPartitions(*keys)
 
 
+# --- the forest ------------------------------------------------------------------------------
+
+
+def forest(signed: DataFrame, config: ForestConfig) -> DataFrame:
+    """tree, label, node, matched: the sorted tries of signed(node, sig), without labels that share too short a prefix.
+
+    matched is the longest prefix shared with a neighbour. Each task holds a stretch of
+    a trie; the rows at its ends, whose neighbours it does not see, count as fully matched.
+    """
+    label = F.expr(f"substring(sig, tree * {config.depth} + 1, {config.depth})")
+    rows = signed.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(config.trees - 1))).alias("tree")).select("tree", label.alias("label"), "node")
+    dealt = rows.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node")
+    depth, shortest = config.depth, config.shortest
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[pa.RecordBatch, np.ndarray, np.ndarray] | None = None  # the last batch, its rows as bytes, shared prefixes with the row before
+
+        def out(batch: pa.RecordBatch, before: np.ndarray, after: int) -> pa.RecordBatch:
+            matched = np.maximum(before, np.append(before[1:], after)).astype(np.int32)
+            keep = pa.array(matched >= shortest)
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(matched)], names=["tree", "label", "node", "matched"]).filter(keep)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            labels = np.concatenate([batch.column(0).to_numpy().astype(np.uint8)[:, None], binary_matrix(batch.column(1), "u1", depth)], axis=1)
+            line = labels if held is None else np.concatenate([held[1][-1:], labels])
+            same = np.cumprod(line[1:] == line[:-1], axis=1).sum(axis=1) - 1  # the tree's number comes first
+            before = np.maximum(same, 0)
+            if held is None:
+                before = np.append(depth, before)
+            else:
+                yield out(held[0], held[2], before[0])
+            held = (batch, labels, before)
+        if held is not None:
+            yield out(held[0], held[2], depth)
+
+    return dealt.mapInArrow(shared, "tree int, label binary, node long, matched int")
+
+
+def _leaders(members: DataFrame, signed: DataFrame, config: ForestConfig) -> DataFrame:
+    """key, node, leader, core: how the nodes of large subtries compare with one of them."""
+    first = members.groupBy("key").agg(F.min("node").alias("leader"))
+    first = first.join(signed.select(F.col("node").alias("leader"), F.col("sig").alias("__first")), "leader")
+    both = members.hint("merge").join(first, "key").select("key", "node", "leader", "sig", "__first")
+    need = config.least_equal * config.hashes
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                equal = (binary_matrix(batch.column(3), "u1", config.hashes) == binary_matrix(batch.column(4), "u1", config.hashes)).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(equal >= need)], names=["key", "node", "leader", "core"])
+
+    return both.mapInArrow(near, "key long, node long, leader long, core boolean")
+
+
+def _with_core(members: DataFrame, core: DataFrame | None) -> DataFrame:
+    """members(key, node, size, ...) with core, n_core, n_rest; core(key, node, core) has the rows of large keys."""
+    if core is None:
+        return members.withColumns({"core": F.lit(False), "n_core": F.lit(0).cast("long"), "n_rest": F.col("size")})
+    counts = core.groupBy("key").agg(F.count_if("core").alias("n_core"), F.count_if(~F.col("core")).alias("n_rest"))
+    marked = core.select("key", "node", "core").join(counts, "key")
+    out = members.hint("merge").join(marked, ["key", "node"], "left")
+    return out.withColumns({"core": F.coalesce("core", F.lit(False)), "n_core": F.coalesce("n_core", F.lit(0).cast("long")), "n_rest": F.coalesce("n_rest", F.col("size"))})
+
+
+def _compare(tries: DataFrame, signed: DataFrame, prefix: int, config: ForestConfig) -> DataFrame | None:
+    """a, b: edges between nodes that are alike and meet first at this prefix; rows with a < 0 count meetings."""
+    at = lambda n: F.xxhash64("tree", F.expr(f"substring(label, 1, {n})"))
+    full = prefix == config.depth
+    keyed = tries.where(F.col("matched") >= prefix).select(at(prefix).alias("key"), (F.lit(0).cast("long") if full else at(prefix + 1)).alias("child"), "tree", "node")
+    groups = keyed.groupBy("key").agg(F.count("*").alias("size"), (F.min("child") != F.max("child")).alias("joins")).where("size > 1")
+    groups = written((groups if full else groups.where("joins")).select("key", "size"), "near-subtries")
+    largest = groups.agg(F.max("size")).first()[0]
+    if not largest:
+        return None
+    members = written(keyed.hint("merge").join(groups, "key").join(signed, "node"), "near-members")
+    core = edges = None
+    if largest > config.block:
+        core = written(_leaders(members.where(F.col("size") > config.block), signed, config), "near-leaders")
+        edges = core.where("core AND node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        meetings = np.zeros(config.hashes + 1, np.int64)
+        least = config.threshold * config.hashes
+        for batch, rows_, first, second in _groups(batches):
+            taken = pa.array(rows_)
+            sig = binary_matrix(batch.column(6).take(taken), "u1", config.hashes)
+            a, b, equal = similar_rows(sig, first, second, config, None if full else batch.column(5).to_numpy()[rows_])
+            np.add.at(meetings, equal[equal >= least], 1)
+            a, b = forest_edges((a, b), len(rows_))
+            node = batch.column(4).to_numpy()[rows_]
+            new = set(zip(node[b].tolist(), node[a].tolist())) - seen
+            if new:
+                if len(seen) > 100_000:
+                    seen.clear()
+                seen |= new
+                x, y = zip(*new)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
+        met = np.flatnonzero(meetings)
+        yield pa.RecordBatch.from_pydict({"a": pa.array(-met - 1, pa.int64()), "b": pa.array(meetings[met])})
+
+    found = _dealt(blocked(_with_core(members, core), config), ["child", "sig"]).mapInArrow(alike, "a long, b long")
+    found = written(found, "near-alike")
+    return found if edges is None else found.unionByName(edges)
+
+
 # --- the join --------------------------------------------------------------------------------
 
 
@@ -273,79 +422,82 @@ class Join:
     nodes: DataFrame  # fp, node, least_id, copies
     links: DataFrame  # node, n_links: nodes with links only
     classes: DataFrame  # node, component: nodes with links only
+    prefix: int  # the shortest matched prefix
+
 
+def join(docs: DataFrame, config: ForestConfig = ForestConfig(), key: str | None = None) -> Join:
+    """Nodes, links and classes of all documents; see the module's text.
 
-def join(docs: DataFrame, config: ForestConfig = ForestConfig()) -> Join:
-    """Nodes, links and classes of all documents; see the module's text."""
+    key names a column of a written table that tells its rows apart; without it the
+    rows are numbered and written here, so that a text can be fetched again.
+    """
     ship(docs.sparkSession)
+    if key:
+        texts = docs.select("doc_id", F.col(key).alias("row_no"), "text")
+    else:
+        texts = written(docs.select("doc_id", F.monotonically_increasing_id().alias("row_no"), "text"), "near-texts")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 1024):
                 part = batch.slice(lo, 1024)
-                fps, keys, lows = [], [], []
+                fps, sigs = [], []
                 for t in part.column(2):
                     words = word_hashes(t.as_py() or "")
-                    if not len(words):
-                        fps.append(None), keys.append(None), lows.append(None)
-                        continue
-                    sig = signature(shingles(words, config.words), config)
-                    fps.append(fingerprint(words))
-                    keys.append(tree_keys(sig, config))
-                    lows.append(sig.astype(np.uint8).tobytes())
-                arrays = [*part.columns[:2], pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(lows, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row_no", "fp", "keys", "low"])
-
-    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row_no"), "text")
-    rows = written(numbered.mapInArrow(sign, "doc_id long, row_no long, fp binary, keys array<long>, low binary"), "near-rows")
+                    fps.append(fingerprint(words) if len(words) else None)
+                    sigs.append(signature(shingles(words, config.words), config).tobytes() if len(words) else None)
+                arrays = [*part.columns[:2], pa.array(fps, pa.binary()), pa.array(sigs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row_no", "fp", "sig"])
+
+    rows = written(texts.mapInArrow(sign, "doc_id long, row_no long, fp binary, sig binary"), "near-rows")
     nodes = rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min("row_no").alias("node"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
     nodes = written(nodes, "near-nodes")
-
-    # subtries with company, and which nodes are alike in them
-    signed = rows.select(F.col("row_no").alias("node"), "keys", "low").join(nodes.select("node"), "node")
-    signed = written(signed, "near-signed")
-    keys = signed.select("node", F.explode("keys").alias("key"))
-    crowded = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(keys.hint("merge").join(crowded, "key"), "near-members")
-    placed = blocked(members, "size", config).join(signed.select("node", "low"), "node")
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        for batch, rows_, first, second in _groups(batches):
-            low = binary_matrix(batch.column(5).take(pa.array(rows_)), "u1", config.hashes)
-            pair = similar_rows(low, first, second, config)
-            a, b = forest_edges(pair, len(rows_))
-            node = batch.column(4).to_numpy()[rows_]
-            new = set(zip(node[b].tolist(), node[a].tolist())) - seen
-            if new:
-                if len(seen) > 100_000:
-                    seen.clear()
-                seen |= new
-                x, y = zip(*new)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
-
-    families = components(_dealt(placed, ["low"]).mapInArrow(alike, "a long, b long"))
+    signed = written(rows.select(F.col("row_no").alias("node"), "sig").join(nodes.select("node"), "node"), "near-signed")
+
+    # the matched prefix is shortened until the pairs that were found let expect the target recall
+    tries = written(forest(signed, config), "near-tries")
+    edges, meetings, prefix = [], {}, config.depth + 1
+    while prefix > config.shortest and estimated_recall(meetings, prefix, config) < config.target_recall:
+        prefix -= 1
+        found = _compare(tries, signed, prefix, config)
+        if found is not None:
+            edges.append(found.where("a >= 0"))
+            # at most one row for each number of equal minhashes
+            for r in found.where("a < 0").groupBy("a").agg(F.sum("b").alias("n")).collect():
+                meetings[-r["a"] - 1] = meetings.get(-r["a"] - 1, 0) + r["n"]
+    none = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+    families = components(reduce(DataFrame.unionByName, edges, none))
     sized = written(families.groupBy(F.col("component").alias("key")).agg(F.count("*").alias("size")), "near-sizes")
-    families = families.withColumnRenamed("component", "key").hint("merge").join(sized, "key")
-    families = written(families.join(nodes.select("node", "fp"), "node"), "near-families")
+    families = written(families.withColumnRenamed("component", "key").hint("merge").join(sized, "key"), "near-families")
 
     # the shingle sets of those nodes, from their texts
-    ids = rows.select(F.col("row_no").alias("node"), "doc_id").join(families, "node")
-    texts = docs.select(F.col("doc_id").alias("__id"), "text")
-    found = texts.hint("merge").join(ids, texts["__id"].eqNullSafe(ids["doc_id"])).select("key", "node", "size", "fp", "text")
+    found = texts.select(F.col("row_no").alias("node"), "text").hint("merge").join(families, "node").select("key", "node", "size", "text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 part = batch.slice(lo, 512)
-                words = [word_hashes(t.as_py() or "") for t in part.column(4)]
-                same = [len(w) > 0 and fingerprint(w) == fp.as_py() for w, fp in zip(words, part.column(3))]
-                sets = [shingles(w, config.words).tobytes() for w, s in zip(words, same) if s]
-                chosen = part.filter(pa.array(same, pa.bool_()))
-                yield pa.RecordBatch.from_arrays([*chosen.columns[:3], pa.array(sets, pa.binary())], names=["key", "node", "size", "grams"])
+                sets = [shingles(word_hashes(t.as_py() or ""), config.words).tobytes() for t in part.column(3)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sets, pa.binary())], names=["key", "node", "size", "grams"])
 
     sets = written(found.mapInArrow(shingled, "key long, node long, size long, grams binary"), "near-sets")
 
+    # in large families, the nodes so close to the family's first that they are all linked with each other
+    large, core, more = sets.where(F.col("size") > config.block), None, None
+    close = 1 - (1 - config.threshold) / 2
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [jaccard(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) >= close for a, b in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(near, pa.bool_())], names=["key", "node", "core"])
+
+    if (sized.agg(F.max("size")).first()[0] or 0) > config.block:
+        leaders = large.where("node = key").select("key", F.col("grams").alias("__first"))
+        both = large.hint("merge").join(leaders, "key").select("key", "node", "grams", "__first")
+        core = written(both.mapInArrow(measured, "key long, node long, core boolean"), "near-core")
+        together = core.where("core").groupBy("key").agg((F.count("*") - 1).alias("links"))
+        more = core.where("core").hint("merge").join(together.where("links > 0"), "key").select(F.col("node").alias("a"), F.col("key").alias("b"), "links")
+
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, rows_, first, second in _groups(batches):
             grams = [np.frombuffer(g.as_py(), np.uint64) for g in batch.column(5).take(pa.array(rows_))]
@@ -361,19 +513,22 @@ def join(docs: DataFrame, config: ForestConfig = ForestConfig()) -> Join:
             if len(some):
                 yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[to[some]]), pa.array(n[some].astype(np.int64))], names=["a", "b", "links"])
 
-    found_links = written(_dealt(blocked(sets, "size", config), ["grams"]).mapInArrow(linked, "a long, b long, links long"), "near-links")
+    compared = _dealt(blocked(_with_core(sets, core), config), ["grams"]).mapInArrow(linked, "a long, b long, links long")
+    found_links = written(compared, "near-links")
+    if more is not None:
+        found_links = found_links.unionByName(more)
     links = found_links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
-    return Join(rows.select("doc_id", "row_no", "fp"), nodes, links, components(found_links.select("a", "b")))
+    return Join(rows.select("doc_id", "row_no", "fp"), nodes, links, components(found_links.select("a", "b")), prefix)
 
 
-def classes(docs: DataFrame, config: ForestConfig = ForestConfig()) -> DataFrame:
+def classes(docs: DataFrame, config: ForestConfig = ForestConfig(), key: str | None = None) -> DataFrame:
     """One row per document: doc_id, class_id, n_links, copies, kept, row_no.
 
     class_id is the smallest doc_id of the class, n_links the number of different
     texts that the document's text is linked to, copies the rows with its words.
     kept marks one row of each class, the one with the smallest doc_id.
     """
-    j = join(docs, config)
+    j = join(docs, config, key)
     nodes = j.nodes.join(j.links, "node", "left").join(j.classes, "node", "left")
     nodes = nodes.withColumn("component", F.coalesce("component", "node"))
     # both sides of a join by component or family are plain tables, so that a large one can be split
@@ -402,7 +557,7 @@ def one_per_class(docs: DataFrame, config: ForestConfig = ForestConfig()) -> Dat
     # rows are numbered, so that repeated and null doc_ids are told apart
     docs = written(docs.withColumn("__key", F.monotonically_increasing_id()), "near-docs")
     flat = docs.select(F.col("__key").alias("doc_id"), F.col("__row.text").alias("text"))
-    decided = classes(flat, config)
+    decided = classes(flat, config, key="doc_id")
     gone = decided.where("NOT kept").select(F.col("doc_id").alias("__key"))
     return docs.join(gone, "__key", "left_anti").select(*[F.col(f"__row.`{c}`").alias(c) for c in fields])
 

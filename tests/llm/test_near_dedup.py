@@ -74,11 +74,98 @@ def test_one_per_class(docs):
     assert n.classes(docs([])).collect() == []
 
 
-def test_prefix_is_shortened_until_the_target():
+def near_texts(families, seed=5):
+    """Families of texts with a few words replaced, most pairs between 0.75 and 0.97; and each text's links."""
+    rng = random.Random(seed)
+    texts, links = [], []
+    for f in range(families):
+        base = [f"b{rng.randrange(10**6)}" for _ in range(rng.randint(60, 300))]
+        own = []
+        for _ in range(5):
+            w = list(base)
+            for _ in range(max(1, round(len(w) * rng.uniform(0.004, 0.014)))):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            own.append(w)
+        sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in own]
+        alike = [[a is not b and 0.8 * len(a | b) <= len(a & b) for b in sets] for a in sets]
+        texts += [" ".join(w) for w in own]
+        links += [sum(x) for x in alike]
+    return texts, links
+
+
+def measured_recall(docs, families):
+    texts, want = near_texts(families)
+    got = {r.doc_id: r.n_links for r in n.classes(docs(texts)).collect()}
+    assert all(got[k] <= w for k, w in enumerate(want))
+    return sum(got.values()) / sum(want), sum(want) // 2
+
+
+def test_recall_near_the_threshold(docs):
+    recall, pairs = measured_recall(docs, 400)
+    assert pairs > 1000 and recall >= 0.99
+
+
+def test_prefixes_are_shortened_as_the_pairs_ask(docs):
+    # only pairs far above the threshold: the longest prefix finds them all
+    rng = random.Random(2)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(300)] for _ in range(60)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b[:-1], "z"]) for b in base]
+    assert n.join(docs(texts)).prefix == n.ForestConfig().depth
+    # pairs near the threshold, or too few to tell: shorter ones
+    assert n.ForestConfig().shortest <= n.join(docs(near_texts(100)[0])).prefix < n.ForestConfig().depth
+    assert n.join(docs(["a b c d e f g", "a b c d e f h"])).prefix == n.ForestConfig().shortest
+
+
+def test_estimated_recall():
+    c = n.ForestConfig()
+    rng = random.Random(4)
+    met, found, pairs = Counter(), 0, 20_000
+    for _ in range(pairs):
+        s = round(rng.uniform(0.8, 0.9) * c.hashes)
+        trees = sum(rng.random() < (s / c.hashes) ** 8 for _ in range(c.trees))
+        met[s] += trees
+        found += trees > 0
+    assert abs(n.estimated_recall(met, 8, c) - found / pairs) < 0.002
+    assert n.estimated_recall({180: 10}, 8, c) == 0
+
+
+def test_large_families_with_a_core(docs):
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(400)]
+    texts = []
+    for k in range(60):
+        w = list(base)
+        for _ in range(1 if k % 3 else 6):
+            w[rng.randrange(len(w))] = f"v{k}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base[:150] + [f"u{k}{j}" for j in range(250)]) for k in range(40)]  # a passage shared, no link
+    got = {r.doc_id: (r.class_id, r.n_links) for r in n.classes(docs(texts), n.ForestConfig(block=8)).collect()}
+    assert got == brute(texts)
+
+
+def test_null_and_repeated_ids(docs):
+    texts = variants(9)
+    ids = [None if k % 3 == 0 else k % 7 for k in range(len(texts))]
+    got = n.classes(docs(texts, ids=ids)).collect()
+    want = brute(texts)
+    assert len(got) == len(texts)
+    assert Counter(r.n_links for r in got) == Counter(v[1] for v in want.values())
+    assert sum(r.kept for r in got) == len({v[0] for v in want.values()})
+
+
+def test_query_covers_the_table(spark):
+    data = "/root/testdata/sf0.001"
+    given = [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
+    got = {r.doc_id: r for r in n.op7_near_duplicates(spark, data).collect()}
+    want = brute([t for _, t in given])
+    assert {i: (got[i].class_id, got[i].n_links) for i, _ in given} == {given[k][0]: (given[c][0], m) for k, (c, m) in want.items()}
+
+
+def test_shortest_prefix_meets_the_target():
     c = n.ForestConfig()
     at = lambda k: 1 - (1 - 0.8**k) ** c.trees
-    assert at(c.prefix) >= c.target_recall > at(c.prefix + 1)
-    assert n.ForestConfig(target_recall=0.9).prefix > c.prefix
+    assert at(c.shortest) >= c.target_recall > at(c.shortest + 1)
+    assert n.ForestConfig(target_recall=0.9).shortest > c.shortest
 
 
 @settings(max_examples=100, deadline=None)
