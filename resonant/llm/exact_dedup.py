@@ -2,8 +2,14 @@
 
 Main path: DataFrame and SQL functions only.
 
+Documents come in batches. A batch is summed up by digest, and a sort-merge anti-join
+with the index leaves the digests that no earlier batch had; these are appended, and
+only their documents stay. A table whose largest doc_ids should stay is dealt into
+batches by doc_id, the larger ones first.
+
 Defined cases
     null text          counts as the empty text; empty texts form one group
+    very long texts    hashed whole
     null doc_id        allowed; loses to any non-null doc_id of its group
     equal doc_ids      repeated rows: exactly one row of the group stays
     empty table        empty result, nothing is appended
@@ -13,6 +19,7 @@ Defined cases
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,40 +59,48 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def known(self, groups: DataFrame) -> DataFrame:
-        """groups with the doc_id that the index already has, null if the digest is new."""
-        seen = self.table().withColumnRenamed("keep_id", "__seen_id").withColumn("__seen", F.lit(True))
-        return groups.hint("merge").join(seen, "digest", "left")
-
-    def append(self, groups: DataFrame) -> None:
-        """Add the digests that the index lacks; adding a batch twice adds nothing."""
-        fresh = groups.select("digest", "keep_id").hint("merge").join(
-            self.table().select("digest"), "digest", "left_anti"
-        )
+    def append(self, groups: DataFrame) -> DataFrame:
+        """Add the digests that the index lacks and give their rows; adding a batch twice adds nothing."""
+        fresh = written(groups.hint("merge").join(self.table().select("digest"), "digest", "left_anti"), "dedup-fresh")
         (
-            fresh.write.mode("append").format("parquet").option("path", self.location)
+            fresh.select("digest", "keep_id").write.mode("append").format("parquet").option("path", self.location)
             .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
         )
+        return fresh
+
+    def close(self) -> None:
+        """Forget the table's name in this session's catalog; the data stay where they are."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def buckets_for(rows: int) -> int:
-    """One bucket for about two million digests."""
-    return max(4, rows // 2_000_000)
+def buckets_for(rows: int, tasks: int) -> int:
+    """One bucket for about two million digests; of fewer, as many as keep `tasks` tasks busy."""
+    return max(4, min(tasks, rows // 20_000), rows // 2_000_000)
 
 
 def open_index(spark: SparkSession, rows: int) -> DigestIndex:
     """A fresh index in the shared work folder, sized for `rows` digests."""
     location = scratch(spark, "digests")
     name = location.rpartition("/")[2].replace("-", "_")
-    return DigestIndex(spark, name, location, buckets_for(rows))
+    return DigestIndex(spark, name, location, buckets_for(rows, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def larger_ids_first(docs: DataFrame, batches: int = 2) -> Column:
+    """The batch of each row, so that no batch has a larger doc_id than an earlier one; null comes last."""
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if low is None:
+        return F.lit(batches - 1)
+    width = max(1, -(-(high - low + 1) // batches))
+    return F.coalesce(F.floor((F.lit(high) - F.col("doc_id")) / width).cast("int"), F.lit(batches - 1))
+
+
+def dedup(docs: DataFrame, index: DigestIndex | None = None, batch: Column | None = None, batches: int = 1) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, row_no.
 
-    group_size counts the rows of this batch. A document is kept if the index
-    lacks its digest and it has the largest doc_id of the batch's equal texts;
-    keep_id is the doc_id that the index keeps for the digest.
+    batch numbers the rows from 0 to batches - 1, in the order in which they meet the
+    index. A document is kept if the index lacks its digest when its batch comes and
+    it has the largest doc_id of the batch's equal texts; keep_id is the doc_id that
+    the index keeps for the digest, group_size counts the rows of all batches.
 
     The whole texts are read and hashed once. Groups are aggregated before the
     shuffle, so a text that a third of the rows share is one row per task; the
@@ -93,27 +108,31 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     tables, which lets adaptive execution split a hot digest.
     """
     spark = docs.sparkSession
-    rows = written(
-        docs.select(
-            "doc_id", digest_of(text_of()).alias("digest"), F.monotonically_increasing_id().alias("row_no")
-        ),
-        "dedup-rows",
+    rows = docs.select(
+        "doc_id", digest_of(text_of()).alias("digest"), F.monotonically_increasing_id().alias("row_no"),
+        (F.lit(0) if batch is None else batch).alias("batch"),
     )
+    rows = written(rows, "dedup-rows")
+    own = index is None
     index = index or open_index(spark, rows.count())
     best = F.max(F.struct("doc_id", "row_no"))
-    groups = rows.groupBy("digest").agg(best.alias("__best"), F.count("*").alias("group_size"))
-    groups = groups.select(
-        "digest", "group_size", F.col("__best.doc_id").alias("keep_id"), F.col("__best.row_no").alias("__keep_row")
-    )
-    groups = written(index.known(groups), "dedup-groups")
-    index.append(groups)
+    met, fresh = [], []
+    for number in range(batches):
+        groups = rows.where(F.col("batch") == number).groupBy("digest").agg(best.alias("__best"), F.count("*").alias("size"))
+        groups = groups.select("digest", "size", F.col("__best.doc_id").alias("keep_id"), F.col("__best.row_no").alias("keep_row"))
+        met.append(written(groups, "dedup-groups"))
+        fresh.append(index.append(met[-1]).select("digest", "keep_row"))
+    sizes = reduce(DataFrame.unionByName, met).groupBy("digest").agg(F.sum("size").alias("group_size"))
+    stays = reduce(DataFrame.unionByName, fresh)
+    groups = written(sizes.hint("merge").join(index.table(), "digest").join(stays, "digest", "left"), "dedup-decided")
+    if own:
+        index.close()
     joined = rows.hint("merge").join(groups, "digest")
-    seen = F.coalesce("__seen", F.lit(False))
     return joined.select(
         "doc_id",
-        F.when(seen, F.col("__seen_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        "keep_id",
         "group_size",
-        (~seen & (F.col("row_no") == F.col("__keep_row"))).alias("kept"),
+        F.coalesce(F.col("row_no") == F.col("keep_row"), F.lit(False)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
         "row_no",
     )
@@ -125,7 +144,7 @@ def unique_documents(docs: DataFrame) -> DataFrame:
     Texts move only where they must: a digest and doc_id decide by semi-join, and
     only rows repeated with the same doc_id and text pass a further aggregation.
     """
-    decided = dedup(docs)
+    decided = dedup(docs, batch=larger_ids_first(docs), batches=2)
     one = written(
         decided.groupBy(F.unhex("text_sha256").alias("__digest"), F.col("doc_id").alias("__doc_id"))
         .agg(F.count("*").alias("__copies"), F.max("kept").alias("__kept"))
@@ -146,7 +165,8 @@ def unique_documents(docs: DataFrame) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(documents(spark, sf_dir)).drop("row_no")
+    docs = documents(spark, sf_dir)
+    return dedup(docs, batch=larger_ids_first(docs), batches=2).drop("row_no")
 
 
 SQL = """

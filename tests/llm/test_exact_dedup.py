@@ -34,7 +34,9 @@ def test_index_is_kept_between_batches(spark, docs):
     assert got == {7: (1, False), 8: (8, True)}
     d.dedup(docs(["A", "c"], ids=[7, 8]), index).collect()
     assert index.table().count() == 3
-    assert "SortMergeJoin" in index.known(index.table().withColumnRenamed("keep_id", "k"))._jdf.queryExecution().executedPlan().toString()
+    anti = index.table().hint("merge").join(index.table().select("digest"), "digest", "left_anti")
+    plan = anti._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
 def test_unique_documents_keep_columns_once(docs):
@@ -42,3 +44,38 @@ def test_unique_documents_keep_columns_once(docs):
     got = d.unique_documents(given)
     assert got.columns == given.columns
     assert sorted((r.doc_id or -1, r.text or "") for r in got.collect()) == [(-1, ""), (2, "A"), (3, "b")]
+
+
+def test_batches_against_one_index(spark, docs, monkeypatch):
+    """Copies in a later batch fall to the anti-join, and to nothing else."""
+    texts = ["a", "b", "A", "c", "b", None, "", "d", "d"]
+    given = docs(texts, ids=[1, 2, 3, 4, 5, None, 6, 9, 9])
+    want = {r.row_no: r.asDict() for r in d.dedup(given).collect()}
+    index = d.open_index(spark, 10)
+    batch = d.larger_ids_first(given, 3)
+    assert sorted(r[0] for r in given.select(batch).collect()) == [0, 0, 1, 1, 1, 2, 2, 2, 2]
+    got = {r.row_no: r.asDict() for r in d.dedup(given, index, batch, 3).collect()}
+    assert got == want
+    assert index.table().count() == 5
+    again = d.dedup(given, index, batch, 3).collect()
+    assert not any(r.kept for r in again) and {r.row_no: r.keep_id for r in again} == {k: r["keep_id"] for k, r in want.items()}
+    assert index.table().count() == 5
+    index.close()
+    # without the anti-join, a row stays in each batch
+    monkeypatch.setattr(d.DigestIndex, "append", lambda self, groups: groups)
+    index = d.open_index(spark, 10)
+    monkeypatch.setattr(d.DigestIndex, "table", lambda self: d.written(rows, "test-index"))
+    rows = given.select(d.digest_of(d.text_of()).alias("digest"), d.F.lit(0).cast("long").alias("keep_id")).distinct()
+    assert sum(r.kept for r in d.dedup(given, index, batch, 3).collect()) > 5
+
+
+def test_the_query_leaves_no_table(spark):
+    data = "/root/testdata/sf0.001"
+    before = spark.catalog.listTables()
+    rows = d.op5_exact_dedup(spark, data).collect()
+    assert spark.catalog.listTables() == before
+    by = {}
+    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+        by.setdefault("".join(c.lower() if c.isascii() else c for c in r.text or ""), []).append(r.doc_id)
+    want = {i: (max(ids), len(ids), i == max(ids), hashlib.sha256(t.encode()).hexdigest()) for t, ids in by.items() for i in ids}
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in rows} == want
