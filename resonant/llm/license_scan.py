@@ -2,19 +2,21 @@
 
 Main path: DataFrame and SQL functions only.
 
-A document is split into lines and sentences. A known sentence that is wrapped over
-several lines, with or without comment marks, counts as one; where one known sentence
-begins with another, the longer is taken. A sentence in lower case with runs of
-other characters turned into a space is looked up among the known licence sentences,
-which gives the document's sequence of sentence identifiers. A rule is an ordered
-list of identifiers; it matches where the list occurs as consecutive identifiers of
-the sequence. Rules are ordered: a rule's match takes its sentences, and a later
-rule sees what is left.
+A document is cut into lines and sentences. A known licence sentence, which may be
+wrapped over several lines, with or without comment marks, is cut out as a whole;
+where one known sentence begins with another, the longer is taken. In lower case,
+with runs of other characters turned into a space, it is looked up among the known
+sentences, which gives the document's sequence of sentence identifiers, with a mark
+where other text stands between. Copyright lines and list numbers count as nothing.
+A rule is an ordered list of identifiers; it matches where the list occurs in the
+sequence. Rules are ordered: a rule's match takes its sentences, and a later rule sees
+what is left. Rules of whole licence texts come first, then shorter notices.
 
 Defined cases
     null or empty text    no sentences, no licences
     null doc_id           scanned like others
     repeated rows         each gives its own row
+    ties                  the rule that comes first takes the sentences
     very long texts       scanned whole
     empty table           empty result
     extra columns         not read
@@ -28,6 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from resonant.llm.licence_texts import GNU_NOTICES, GNU_TITLES, TEXTS, gnu_notice
 from resonant.llm.shared import documents, text_of
 
 # Licence sentences as normalised, and the rules over their identifiers.
@@ -74,13 +77,23 @@ RULES = [
 
 #: A line break, or white space after the end of a sentence.
 SPLIT = r"[\n\r]+|[.!?]+[ \t]+"
-#: Stands for the end of a sentence while wrapped sentences are joined.
-END = "\x01"
+#: Stands for the end of a sentence, and around known sentences that were found.
+END, OPEN, CLOSE = "\x01", "\x02", "\x03"
+
+
+def normalised(sentence: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
+
+
+def sentences_of(text: str) -> list[str]:
+    """The normalised sentences of a licence text, in order; list numbers are left out."""
+    cut = re.split(r"\n\s*\n|[.!?]+(?=\s|$)", text)
+    return [s for s in map(normalised, cut) if re.search("[a-z]{2}", s)]
 
 
 @dataclass(frozen=True)
 class LicenceRules:
-    """Sentences by identifier, and (licence, identifiers) in order of preference."""
+    """Normalised sentences by identifier, and (licence, identifiers) in order of preference."""
 
     sentences: dict[str, str]
     rules: list[tuple[str, list[str]]]
@@ -91,36 +104,93 @@ class LicenceRules:
 
     @property
     def words(self) -> list[str]:
-        """The longest word of each sentence: a text without any of them holds no known sentence."""
-        return sorted({max(s.split(" "), key=len) for s in self.sentences.values()})
+        """Words, long ones first, of which each sentence has one: a text without any holds no known sentence."""
+        left = {name: set(s.split(" ")) for name, s in self.sentences.items()}
+        out = []
+        while left:
+            least = min(6, min(max(map(len, w)) for w in left.values()))
+            usable = {x for w in left.values() for x in w if len(x) >= least}
+            best = max(usable, key=lambda x: (sum(x in w for w in left.values()), len(x), x))
+            out.append(best)
+            left = {name: w for name, w in left.items() if best not in w}
+        return out
 
+    @property
+    def pattern(self) -> str:
+        """A regular expression for any known sentence or copyright line, as a whole, over line breaks."""
+        gap, mark = f"[^a-z0-9{END}]++", rf"[^a-z0-9\n\r{END}]*+"
+        trie: dict = {}
+        for s in self.sentences.values():
+            at = trie
+            for word in s.split(" "):
+                at = at.setdefault(word, {})
+            at[""] = {}
+        stop = rf"(?={mark}(?:[\n\r{END}]|\z))"
 
-DEFAULT = LicenceRules(SENTENCES, RULES)
+        def branch(at: dict) -> str:
+            parts = [re.escape(w) + (branch(n) if list(n) == [""] else gap + branch(n) if "" not in n else f"(?:{gap}{branch({k: v for k, v in n.items() if k})}|{stop})") for w, n in at.items() if w]
+            if not parts:
+                return stop
+            return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
 
+        year = rf"copyright[^a-z0-9\n\r]*+(?:c[^a-z0-9\n\r]++)?(?:[0-9]{{4}}|yyyy|year)[^\n\r{END}]*+"
+        return rf"(?<![^\n\r{END}]){mark}({branch(trie)}|{year})"
 
-def unwrapped(text: Column, known: LicenceRules) -> Column:
-    """The text with each known sentence that is wrapped at line breaks on a line of its own.
 
-    A sentence begins and ends at a line break or the end of a sentence, as SPLIT has
-    them. The end of a sentence within a line or at the end of one is never joined.
-    """
-    out = F.translate(text, END, "-")
-    out = F.regexp_replace(out, r"[.!?]+[ \t]+", f"{END}\n")
-    out = F.regexp_replace(out, r"([.!?])(?=[\n\r])", f"$1{END}")
-    mark, gap = rf"[^a-z0-9\n\r{END}]*+", f"[^a-z0-9{END}]++"
-    for s in sorted(known.sentences.values(), key=lambda s: (-len(s), s)):
-        if re.fullmatch("[a-z0-9]+( [a-z0-9]+)+", s):
-            wrapped = rf"(?<![^\n\r{END}]){mark}{s.replace(' ', gap)}(?={mark}(?:[\n\r{END}]|\z))"
-            out = F.regexp_replace(out, wrapped, s)
-    return F.translate(out, END, "\n")
+def _known() -> LicenceRules:
+    """The notices above, the licence texts, and the rules over both."""
+    sentences, numbers = dict(SENTENCES), {s: name for name, s in SENTENCES.items()}
+
+    def named(text: str, prefix: str) -> list[str]:
+        out = []
+        for k, s in enumerate(sentences_of(text)):
+            if s not in numbers:
+                numbers[s] = f"{prefix}-{k}"
+                sentences[numbers[s]] = s
+            out.append(numbers[s])
+        return out
+
+    whole, titles, first = [], [], []
+    for licence, title, text in TEXTS:
+        ids = named(text, licence)
+        over = [*named(title, f"{licence}-title"), *named(f"The {title} ({licence})", f"{licence}-the-title")]
+        # all rights reserved, which older texts have after the copyright line, is part of a whole text
+        whole += [(licence, [*start, *ids]) for t in over for start in ([t, "reserved"], [t])] + [(licence, ["reserved", *ids]), (licence, ids)]
+        titles += [(licence, [t]) for t in over]
+        first.append((licence, ids[:1]))
+    whole = [("Apache-2.0", ["apache-2.0-notice-the", "apache-2.0-comply", "apache-2.0-copy", *named("Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", "apache-2.0-terms")]), *whole]
+    titles.append(("Apache-2.0", named("Apache License Version 2.0, January 2004", "apache-2.0-title")))
+    titles.append(("CC0-1.0", named("CC0 1.0 Universal", "cc0-1.0-title")))
+    for licence, kind, name, version in GNU_NOTICES:
+        notice = gnu_notice(kind, name, version)
+        ids = named(notice.replace("but WITHOUT ANY WARRANTY; without", "but WITHOUT ANY WARRANTY. without"), licence)
+        whole += [(licence, ids), (licence, ids[:3]), (licence, ids[:2])]
+        first.append((licence, ids[:1]))
+    for licence, title in GNU_TITLES:
+        titles.append((licence, named(title, f"{licence}-title")))
+    # a first sentence that begins several texts tells none of them apart from the others
+    shared = [ids[0] for _, ids in first]
+    first = [(licence, ids) for licence, ids in first if shared.count(ids[0]) == 1]
+    rules = [*sorted(whole, key=lambda r: -len(r[1])), *RULES, *first, *titles]
+    taken: set[tuple[str, ...]] = set()
+    return LicenceRules(sentences, [r for r in rules if not (tuple(r[1]) in taken or taken.add(tuple(r[1])))])
+
+
+DEFAULT = _known()
 
 
 def sentence_numbers(text: Column, known: LicenceRules) -> Column:
-    """The numbers of the known sentences in the text, 0 where an unknown one stands between."""
+    """The numbers of the known sentences in the text, 0 where other text stands between."""
+    out = F.translate(F.lower(text), END + OPEN + CLOSE, "---")
+    out = F.regexp_replace(out, r"[.!?]+[ \t]+", f"{END}\n")
+    out = F.regexp_replace(out, r"[.!?]+(?=[\n\r])", END)
+    out = F.regexp_replace(out, r"([:;])[ \t]+", "$1\n")
+    pieces = F.split(F.regexp_replace(out, known.pattern, f"{OPEN}$1{CLOSE}"), f"[{OPEN}{CLOSE}]")
     lookup = F.create_map(*[F.lit(x) for name, s in known.sentences.items() for x in (s, known.numbers[name])])
-    pieces = F.filter(F.split(unwrapped(F.lower(text), known), SPLIT), lambda p: F.trim(p) != "")
-    cleaned = F.transform(pieces, lambda p: F.trim(F.regexp_replace(p, "[^a-z0-9]+", " ")))
-    return F.transform(cleaned, lambda p: F.coalesce(F.try_element_at(lookup, p), F.lit(0)))
+    cleaned = lambda p: F.trim(F.regexp_replace(p, "[^a-z0-9]+", " "))
+    # every second piece was found: a known sentence, or a copyright line
+    number = lambda p, k: F.when(k % 2 == 1, F.try_element_at(lookup, cleaned(p))).when(p.rlike("[a-z]{2}"), F.lit(0))
+    return F.filter(F.transform(pieces, number), lambda n: n.isNotNull())
 
 
 def scan(docs: DataFrame, known: LicenceRules = DEFAULT) -> DataFrame:
@@ -138,19 +208,23 @@ def scan(docs: DataFrame, known: LicenceRules = DEFAULT) -> DataFrame:
     numbers = F.when(near, sentence_numbers(text, known)).otherwise(F.array().cast("array<int>"))
     df = docs.select("doc_id", numbers.alias("__numbers"))
     df = df.select("doc_id", F.filter("__numbers", lambda n: n > 0).alias("__known"), F.array_join(F.transform("__numbers", mark), "").alias("__left"))
-    for k, (_, names) in enumerate(known.rules):
-        pattern = "".join(f"<{known.numbers[n]}>" for n in names)
-        left = F.col("__left")
-        count = ((F.length(left) - F.length(F.replace(left, F.lit(pattern), F.lit("")))) / len(pattern)).cast("long")
-        df = df.withColumn(f"__m{k}", F.when(left == "", F.lit(0).cast("long")).otherwise(count))
-        df = df.withColumn("__left", F.replace(left, F.lit(pattern), F.lit("<0>")))
-    hits = F.filter(F.array(*[F.when(F.col(f"__m{k}") > 0, F.lit(name)) for k, (name, _) in enumerate(known.rules)]), lambda x: x.isNotNull())
-    matches = sum((F.col(f"__m{k}") for k in range(1, len(known.rules))), F.col("__m0"))
+    rule = lambda name, ids: F.struct(F.lit(name).alias("name"), F.lit("".join(f"<{known.numbers[n]}>" for n in ids)).alias("pattern"))
+    rules = F.array(*[rule(*r) for r in known.rules])
+    start = F.struct(F.col("__left").alias("left"), F.lit(0).cast("long").alias("n"), F.array().cast("array<string>").alias("names"))
+
+    def take(state: Column, r: Column) -> Column:
+        left = F.replace(state["left"], r["pattern"], F.lit("<0>"))
+        n = (F.length(state["left"]) - F.length(F.replace(state["left"], r["pattern"], F.lit("")))) / F.length(r["pattern"])
+        found = F.struct(left.alias("left"), (state["n"] + n.cast("long")).alias("n"), F.concat(state["names"], F.array(r["name"])).alias("names"))
+        return F.when(F.contains(state["left"], r["pattern"]), found).otherwise(state)
+
+    result = F.when(F.size("__known") > 0, F.aggregate(rules, start, take)).otherwise(start)
+    df = df.select("doc_id", "__known", result.alias("__result"))
     return df.select(
         "doc_id",
-        F.array_join(F.array_sort(F.array_distinct(hits)), "+").alias("licences"),
+        F.array_join(F.array_sort(F.array_distinct("__result.names")), "+").alias("licences"),
         F.size("__known").cast("long").alias("sentences"),
-        matches.alias("matches"),
+        F.col("__result.n").alias("matches"),
     )
 
 
@@ -177,7 +251,7 @@ pieces AS (
 ), found AS (
   SELECT doc_id, rn, pos, coalesce(n, 0) AS n
   FROM (SELECT doc_id, rn, pos, trim(regexp_replace(piece, '[^a-z0-9]+', ' ', 'g')) AS sentence FROM pieces WHERE trim(piece) <> '')
-  LEFT JOIN known USING (sentence)
+  LEFT JOIN known USING (sentence) WHERE n IS NOT NULL OR regexp_matches(sentence, '[a-z][a-z]')
 ), s0 AS (
   SELECT d.doc_id, d.rn, coalesce(f.sentences, 0) AS sentences, coalesce(f.rest, '') AS rest
   FROM (SELECT DISTINCT doc_id, rn FROM pieces) d
