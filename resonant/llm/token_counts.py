@@ -2,14 +2,19 @@
 
 A batch of changes holds signed rows: an insert adds a document and its tokens, a
 delete takes them away, a revised count adds the difference. A batch is summed by
-source, lang and version before anything moves, and its sums are written as one
-small table named after the batch. A batch becomes part of the totals when its
-marker file is written, after its rows; committing a batch again does nothing, so a
-retry after a lost driver or executor cannot count twice. Totals are the sums over
-committed batches.
+source, lang and version before anything moves. Its sums are added to the totals of
+the last version, which gives the next version's; the work of a commit follows the
+batch and the number of groups, not what was committed before.
+
+A version becomes the last one when its entry in the log is created, which succeeds
+for one of several writers only; the others add their sums to the new totals and try
+again. The entry names the batch, and a mark is left for each batch, so that
+committing a batch again does nothing: a retry after a lost driver or executor cannot
+count twice. Old entries and totals are cleared away.
 
 Defined cases
     null or empty text     no tokens, still a document
+    very long texts        counted whole
     null source or lang    a group of its own
     null doc_id            counted; deletes and revisions find it by what they carry
     repeated rows          each is counted
@@ -20,15 +25,17 @@ Defined cases
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resonant.llm.packing import vocabulary_path
-from resonant.llm.shared import documents, scratch, text_of
+from resonant.llm.shared import documents, scratch, text_of, written
 from resonant.llm.tokens import shared_bpe
 from resonant.session import ship
 
@@ -79,55 +86,134 @@ def revisions(counted: DataFrame) -> DataFrame:
     return counted.select(*KEYS, F.lit(0).cast("long").alias("documents"), (F.col("tokens") - F.col("old_tokens")).alias("tokens"))
 
 
+class Unfinished(RuntimeError):
+    """A log entry without content: its writer was lost, or is still writing."""
+
+
 class Rollup:
-    """Totals kept in a folder: batches/<id> with the sums, committed/<id> with the marker."""
+    """Totals kept in a folder: log/<version> names a batch and a folder of totals, batches/<name> marks a batch.
+
+    The log is as safe against concurrent writers as the file system's create without
+    overwriting is.
+    """
+
+    KEEP = 3  # versions that stay readable
 
     def __init__(self, spark: SparkSession, location: str):
         self.spark, self.location = spark, location.rstrip("/")
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.location).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._jvm = spark.sparkContext._jvm
+        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.location}/{name}" if name else self.location)
+
+    def _create(self, name: str, content: str = "") -> bool:
+        """False if the file is there already."""
+        at = self._path(name)
+        try:
+            out = self._fs.create(at, False)
+        except Py4JJavaError:
+            if self._fs.exists(at):
+                return False
+            raise
+        out.write(bytearray(content.encode()))
+        out.close()
+        return True
 
-    def committed(self) -> list[str]:
-        at = self._path(f"{self.location}/committed")
-        return sorted(f.getPath().getName() for f in self._fs.listStatus(at)) if self._fs.exists(at) else []
+    def version(self) -> tuple[int, str, str]:
+        """The last version, its batch and the name of its totals; 0 before any commit."""
+        log = self._path("log")
+        numbers = [int(f.getPath().getName()) for f in self._fs.listStatus(log) if f.getPath().getName().isdigit()] if self._fs.exists(log) else []
+        if not numbers:
+            return 0, "", ""
+        stream = self._fs.open(self._path(f"log/{max(numbers):012d}"))
+        try:
+            content = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        if not content.endswith("\n"):
+            raise Unfinished(f"version {max(numbers)} of {self.location}")
+        batch, totals = content.split()
+        self._create(f"batches/{batch}")  # its writer may have been lost before this
+        return max(numbers), batch, totals
+
+    def recover(self) -> None:
+        """Remove the entry of a writer that was lost while it wrote it; only when no writer is at work."""
+        try:
+            self.version()
+        except Unfinished:
+            log = self._path("log")
+            last = max(f.getPath().getName() for f in self._fs.listStatus(log) if f.getPath().getName().isdigit())
+            self._fs.delete(self._path(f"log/{last}"), False)
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch of signed rows; False if the batch is committed already."""
         if not batch or not batch.replace("-", "").replace("_", "").isalnum():
             raise ValueError(f"a batch is named by letters, digits, - and _: {batch!r}")
-        marker = self._path(f"{self.location}/committed/{batch}")
-        if self._fs.exists(marker):
+        self.version()
+        if self._fs.exists(self._path(f"batches/{batch}")):
             return False
-        sums = changes.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.location}/batches/{batch}")
-        self._fs.create(marker, True).close()
+        sums = written(_summed(changes), "rollup-batch")
+        while True:
+            last, _, before = self.version()
+            if self._fs.exists(self._path(f"batches/{batch}")):
+                return False
+            totals = f"totals/{last + 1:012d}-{uuid.uuid4().hex}"
+            all_sums = sums if not before else sums.unionByName(self._read(before))
+            _summed(all_sums).where("documents <> 0 OR tokens <> 0").write.parquet(f"{self.location}/{totals}")
+            if self._create(f"log/{last + 1:012d}", f"{batch} {totals}\n"):
+                break
+            self._fs.delete(self._path(totals), True)  # another batch was first
+        self._create(f"batches/{batch}")
+        self._clear(last + 1)
         return True
 
+    def _read(self, totals: str) -> DataFrame:
+        return self.spark.read.schema(DELTA).parquet(f"{self.location}/{totals}")
+
+    def _clear(self, last: int) -> None:
+        """Remove what belongs to versions before the last KEEP."""
+        for folder in ("log", "totals"):
+            for f in self._fs.listStatus(self._path(folder)):
+                number = f.getPath().getName().partition("-")[0]
+                if number.isdigit() and int(number) <= last - self.KEEP:
+                    self._fs.delete(f.getPath(), True)
+
     def totals(self) -> DataFrame:
-        """source, lang, version, documents, tokens over the committed batches."""
-        names = self.committed()
-        if not names:
-            return self.spark.createDataFrame([], DELTA)
-        rows = self.spark.read.schema(DELTA).parquet(*[f"{self.location}/batches/{n}" for n in names])
-        sums = rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        return sums.where("documents <> 0 OR tokens <> 0")
+        """source, lang, version, documents, tokens of the last version."""
+        _, _, totals = self.version()
+        return self._read(totals) if totals else self.spark.createDataFrame([], DELTA)
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after three batches over all documents, the last one committed twice.
+    """Totals after five batches over all documents, the last one committed twice.
 
-    The first inserts every document with a provisional count under the version
-    words-1, one word in six characters by n_chars; the second revises each to its
-    true count; the third inserts the counts of the word-piece tokenizer.
+    The first inserts every document under the version chars-6, one token in six
+    characters; the second does so under words-1, as a provisional count, and the
+    third revises each to its true count; the fourth deletes all documents of chars-6,
+    which retires that version; the fifth inserts the word-piece tokenizer's counts.
     """
     docs = documents(spark, sf_dir)
     rollup = Rollup(spark, scratch(spark, "rollup"))
     provisional = F.coalesce(F.floor(F.col("n_chars") / 6), F.lit(0)).cast("long")
-    guessed = docs.select("source", "lang", F.lit("words-1").alias("version"), provisional.alias("tokens"))
-    true_words = by_words(carry={"old_tokens": provisional})(docs)
-    rollup.commit("words-provisional", inserts(guessed))
-    rollup.commit("words-revised", revisions(true_words))
+    guessed = lambda version: docs.select("source", "lang", F.lit(version).alias("version"), provisional.alias("tokens"))
+    rollup.commit("chars", inserts(guessed("chars-6")))
+    rollup.commit("words-provisional", inserts(guessed("words-1")))
+    rollup.commit("words-revised", revisions(by_words(carry={"old_tokens": provisional})(docs)))
+    rollup.commit("chars-retired", deletes(guessed("chars-6")))
     pieces = inserts(by_word_bpe(vocabulary_path())(docs))
     for _ in range(2):
         rollup.commit("word-bpe", pieces)
     return rollup.totals()
+
+
+#: The query's rows of the version words-1, for DuckDB.
+WORDS_SQL = r"""
+SELECT source, lang, 'words-1' AS version, count(*) AS documents,
+  CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS tokens
+FROM documents GROUP BY source, lang
+"""

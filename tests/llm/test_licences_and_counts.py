@@ -1,6 +1,9 @@
+import textwrap
+
 import duckdb
 import pytest
 
+from resonant.llm import licence_texts as TEXTS_OF
 from resonant.llm import license_scan as ls
 from resonant.llm import token_counts as tc
 from resonant.llm.packing import vocabulary_path
@@ -53,6 +56,51 @@ def test_wrapped_sentences(docs):
     assert [(r.licences, r.sentences, r.matches) for r in got] == list(WRAPPED.values())
 
 
+def whole_texts():
+    """Public licence texts and notices, by licence."""
+    out = [(name, text) for name, _, text in TEXTS_OF.TEXTS]
+    out += [(name, TEXTS_OF.gnu_notice(*rest)) for name, *rest in TEXTS_OF.GNU_NOTICES]
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+    return [*out, ("Apache-2.0", apache)]
+
+
+def wrapped(text, width, mark=""):
+    lines = [line for part in text.split("\n\n") for line in [*textwrap.wrap(part.strip(), width), ""]]
+    return "\n".join((mark + line).rstrip() for line in lines)
+
+
+def test_whole_licence_texts(docs):
+    given = []
+    for name, text in whole_texts():
+        over = f"Copyright (c) 2021 Some Holder\n\n{text}"
+        given += [(name, t) for t in (text, over, f"Prose before it, as ever.\n\n{wrapped(over, 76)}\n\nProse after it.", wrapped(text, 60, " * "), wrapped(text, 50, "# "), wrapped(text, 72, "// ").replace("\n", "\r\n"), text.replace("\n\n", " "))]
+    assert len({name for name, _ in given}) >= 16
+    got = ls.scan(docs([t for _, t in given])).orderBy("doc_id").collect()
+    assert [(r.licences, r.matches) for r in got] == [(name, 1) for name, _ in given]
+    assert all(r.sentences >= 2 for (name, t), r in zip(given, got) if "." in t.rstrip(".")[:-80] and name != "EPL-2.0")
+
+
+def test_whole_texts_with_titles(docs):
+    given = [(name, f"{title}\n\nCopyright (c) 2019-2022, The Authors. All rights reserved.\n\n{text}") for name, title, text in TEXTS_OF.TEXTS]
+    got = ls.scan(docs([t for _, t in given])).orderBy("doc_id").collect()
+    assert [(r.licences, r.matches) for r in got] == [(name, 1) for name, _ in given]
+    titles = [t for _, t in TEXTS_OF.GNU_TITLES]
+    got = ls.scan(docs([t.replace(" Version", "\n   Version") for t in titles])).orderBy("doc_id").collect()
+    assert [r.licences for r in got] == [name for name, _ in TEXTS_OF.GNU_TITLES]
+
+
+def test_cases(docs):
+    given = docs(["All rights reserved.", "All rights reserved.", None], ids=[None, None, 4], sentences=list("xyz"))
+    assert sorted((r.doc_id or 0, r.licences) for r in ls.scan(given).collect()) == [(0, "Proprietary"), (0, "Proprietary"), (4, "")]
+    assert ls.scan(docs([])).collect() == []
+    assert "Python" not in ls.scan(given)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_every_sentence_has_one_of_the_words():
+    words = ls.DEFAULT.words
+    assert all(set(words) & set(s.split(" ")) for s in ls.DEFAULT.sentences.values()) and len(words) < 20
+
+
 def test_sql_gives_the_same(spark, docs):
     given = docs(TEXTS)
     documents = given.toPandas()  # noqa: F841
@@ -77,18 +125,69 @@ def test_rollup_equals_recount(spark, docs):
     roll.commit("three", tc.deletes(count(docs(["d"], sources=["s"], langs=[None]))))
     roll.commit("empty", tc.inserts(count(docs([]))))
     assert {(r.source, r.lang, r.documents, r.tokens) for r in roll.totals().collect()} == {("s", "en", 1, 3), (None, "en", 1, 0), ("t", "en", 2, 7)}
-    assert roll.committed() == ["empty", "one", "three", "two"]
+    assert not roll.commit("three", tc.deletes(count(docs(["d"], sources=["s"], langs=[None]))))
+    assert roll.version()[:2] == (4, "empty")
     with pytest.raises(ValueError):
         roll.commit("../x", tc.inserts(count(given)))
 
 
-def test_unmarked_batch_does_not_count(spark, docs):
-    at = scratch(spark, "test-rollup")
-    roll = tc.Rollup(spark, at)
-    tc.inserts(tc.by_words()(docs(["a"]))).write.parquet(f"{at}/batches/lost")
+def test_versions(spark, docs):
+    roll = tc.Rollup(spark, scratch(spark, "test-rollup"))
+    change = tc.inserts(tc.by_words()(docs(["a b"])))
+    for k in range(6):
+        assert roll.commit(f"b{k}", change)
+    names = lambda folder: [f.getPath().getName() for f in roll._fs.listStatus(roll._path(folder)) if f.getPath().getName()[0].isdigit()]
+    # what a commit reads and the driver lists does not grow with the batches before
+    assert len(names("log")) == len(names("totals")) == roll.KEEP
+    # a writer that loses the race adds its sums to the winner's totals
+    other, real, lost = tc.Rollup(spark, roll.location), roll._create, []
+
+    def late(name, content=""):
+        if name.startswith("log") and not lost:
+            lost.append(name)
+            assert other.commit("winner", change)
+        return real(name, content)
+
+    roll._create = late
+    assert roll.commit("loser", change)
+    assert lost and [(r.documents, r.tokens) for r in other.totals().collect()] == [(8, 16)]
+    # a writer lost between the log and the batch's mark has committed
+    roll._create = real
+    roll._fs.delete(roll._path("batches/loser"), False)
+    assert not tc.Rollup(spark, roll.location).commit("loser", change)
+    # a writer lost while it wrote its entry has not
+    roll._create(f"log/{roll.version()[0] + 1:012d}")
+    with pytest.raises(tc.Unfinished):
+        roll.commit("next", change)
+    roll.recover()
+    assert roll.commit("next", change) and [r.documents for r in roll.totals().collect()] == [9]
+
+
+def test_nulls_and_long_texts(spark, docs):
+    roll = tc.Rollup(spark, scratch(spark, "test-rollup"))
+    given = docs([None, "a " * 200_000, "b", "b"], ids=[None, None, 3, 3], langs=[None] * 4, sources=[None] * 4, version=["z"] * 4)
+    roll.commit("one", tc.inserts(tc.by_words()(given)))
+    assert [tuple(r) for r in roll.totals().collect()] == [(None, None, "words-1", 4, 200_002)]
+    roll.commit("gone", tc.deletes(tc.by_words()(given)))
     assert roll.totals().collect() == []
 
 
+def test_the_query_against_recounts(spark):
+    data = "/root/testdata/sf0.001"
+    rows = tc.op9_token_counts(spark, data).collect()
+    assert {r.version for r in rows} == {"words-1", "word-bpe-49k-1"}
+    documents = duckdb.sql(f"SELECT * FROM '{data}/documents.parquet'")  # noqa: F841
+    assert {tuple(r) for r in rows if r.version == "words-1"} == set(duckdb.sql(tc.WORDS_SQL).fetchall())
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary_path())
+    want = {}
+    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+        n, size = want.get((r.source, r.lang), (0, 0))
+        want[r.source, r.lang] = (n + 1, size + len(t.encode(r.text or "", add_special_tokens=False).ids))
+    assert {(r.source, r.lang): (r.documents, r.tokens) for r in rows if r.version != "words-1"} == want
+
+
 def test_word_pieces(docs):
     from tokenizers import Tokenizer
 
