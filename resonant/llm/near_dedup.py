@@ -66,7 +66,7 @@ class ForestConfig:
     target_recall: float = 0.999
     enough: int = 200  # meetings of similar pairs from which the recall is estimated
     margin: float = 4.0  # standard errors of the signature's estimate under the threshold
-    block: int = 128
+    block: int = 64
     seed: int = 7
 
     @property
