@@ -3,17 +3,23 @@
 Main path: DataFrame and SQL functions only.
 
 The words of a source, document after document, are cut into blocks of a fixed
-number of words. Slots of fixed-size output shards draw their source from the
-target shares, which makes the source counts of a shard multinomial. A source's
-slots are numbered across the shards; slot k takes the block at place k modulo
-the number of blocks in a pseudorandom permutation of the source's blocks, and a
-join by (source, place) brings the block.
+number of words. Each source has as many slots as its target asks for, and all slots
+are dealt to output shards of a fixed size in a pseudorandom order: the source counts
+of a shard are multinomial draws, given what the shards before have left of each
+source, so that every shard is mixed and every source comes out at its target. A
+source's slots are numbered across the shards; slot k takes the block at place k
+modulo the number of blocks in a pseudorandom permutation of the source's blocks, and
+a join by (source, place) brings the block.
 
 Defined cases
     null or empty text    size 0, taken 0
     null source           a source of its own, ordered last
-    null doc_id           allowed
-    repeated rows         each row is a document of its own
+    null doc_id           allowed; such rows are ordered by their texts
+    repeated rows         each row is a document of its own; rows with the same doc_id
+                          are ordered by their texts, so that reruns agree whatever
+                          the files' splits
+    very long texts       counted and cut whole
+    ties                  sources with the same limit by weight in the order of names
     one source, no words  target 0
     empty table           empty result
     extra columns         not read by `mix`, kept by `mixed_documents`
@@ -44,7 +50,7 @@ class MixConfig:
 
 @dataclass(frozen=True)
 class Mix:
-    rows: DataFrame  # doc_id, source, size, row_no
+    rows: DataFrame  # doc_id, source, size, row_no, text_hash
     sources: DataFrame  # sid, source, size, target, blocks, slots, first
     pieces: DataFrame  # sid, block, row_no, first (word of the document), words
     counts: DataFrame  # shard, sid, count, first (slot of the source)
@@ -108,7 +114,7 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig(), key: str | None = None
     """
     spark, b = docs.sparkSession, config.block_words
     rows = written(
-        docs.select("doc_id", "source", word_count(text_of()).alias("size"), (F.col(key) if key else F.monotonically_increasing_id()).alias("row_no")),
+        docs.select("doc_id", "source", word_count(text_of()).alias("size"), (F.col(key) if key else F.monotonically_increasing_id()).alias("row_no"), F.xxhash64(F.lit(config.seed), text_of()).alias("text_hash")),
         "mix-rows",
     )
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("size")), config)
@@ -121,11 +127,11 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig(), key: str | None = None
     n_slots, chunks = n_slots or 0, chunks_for(n_rows)
 
     # where each document lies in its source's words, and the blocks it meets
-    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("row_no")).otherwise(F.xxhash64(F.lit(config.seed), "doc_id"))
+    spread = F.when(F.col("doc_id").isNull(), F.col("text_hash")).otherwise(F.xxhash64(F.lit(config.seed), "doc_id"))
     named = sources.select(F.col("source").alias("__source"), "sid")
     placed = rows.where("size > 0").join(named, rows["source"].eqNullSafe(named["__source"]))
-    placed = placed.select("sid", "doc_id", "row_no", "size", F.pmod(spread, F.lit(chunks)).alias("chunk"))
-    placed = running_sum(placed, "size", ["doc_id", "row_no"])
+    placed = placed.select("sid", "doc_id", "row_no", "size", "text_hash", F.pmod(spread, F.lit(chunks)).alias("chunk"))
+    placed = running_sum(placed, "size", ["doc_id", "text_hash", "size", "row_no"])
     at, last = F.floor(F.col("before") / b), F.floor((F.col("before") + F.col("size") - 1) / b)
     pieces = placed.select("sid", "row_no", "before", "size", F.explode(F.sequence(at, last)).alias("block"))
     start = F.greatest(F.col("before"), F.col("block") * b)
@@ -135,29 +141,19 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig(), key: str | None = None
         "mix-pieces",
     )
 
-    # multinomial source counts of each shard
+    # source counts of each shard: all slots in a pseudorandom order, dealt shard after shard
     width = max(1, n_slots // 4096)
     cells = sources.where("slots > 0").select(
         "sid", F.col("first").alias("__lo"), (F.col("first") + F.col("slots")).alias("__hi"),
         F.explode(F.sequence(F.floor(F.col("first") / width), F.floor((F.col("first") + F.col("slots") - 1) / width))).alias("__cell"),
     )
-    drawn = spark.range(n_slots).select(
-        F.floor(F.col("id") / config.shard_slots).alias("shard"),
-        F.pmod(F.xxhash64(F.lit(config.seed), F.lit("draw"), "id"), F.lit(max(1, n_slots))).alias("__draw"),
-    )
-    drawn = drawn.withColumn("__cell", F.floor(F.col("__draw") / width)).join(cells, "__cell")
-    counts = drawn.where("__draw >= __lo AND __draw < __hi").groupBy("shard", "sid").agg(F.count("*").alias("count"))
-    over_shards = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("first", F.coalesce(F.sum("count").over(over_shards), F.lit(0).cast("long")))
-    # the shards stop at the source's slots; what the draws left over fills shards at the end
-    quota = sources.select("sid", F.col("slots").alias("__slots"))
-    drawn_total = counts.groupBy("sid").agg(F.sum("count").alias("__drawn"))
-    rest = quota.join(drawn_total, "sid", "left").withColumn("__from", F.coalesce("__drawn", F.lit(0).cast("long"))).where("__from < __slots")
-    n_shards = -(-n_slots // config.shard_slots)
-    rest = rest.withColumn("first", F.explode(F.sequence("__from", F.col("__slots") - 1, F.lit(config.shard_slots).cast("long"))))
-    rest = rest.select((F.lit(n_shards) + F.floor((F.col("first") - F.col("__from")) / config.shard_slots)).alias("shard"), "sid", F.least(F.lit(config.shard_slots).cast("long"), F.col("__slots") - F.col("first")).alias("count"), "first")
-    kept = F.least(F.col("count"), F.col("__slots") - F.col("first")).alias("count")
-    counts = counts.join(quota, "sid").where("first < __slots").select("shard", "sid", kept, "first").unionByName(rest)
+    draw = F.xxhash64(F.lit(config.seed), F.lit("draw"), "id")
+    drawn = spark.range(n_slots).select("id", draw.alias("__draw"), F.lit(0).alias("sid"), F.lit(1).cast("long").alias("one"), F.pmod(F.xxhash64(draw), F.lit(chunks_for(n_slots))).alias("chunk"))
+    drawn = running_sum(drawn, "one", ["__draw", "id"]).select("id", F.floor(F.col("before") / config.shard_slots).alias("shard"))
+    drawn = drawn.withColumn("__cell", F.floor(F.col("id") / width)).join(cells, "__cell").where("id >= __lo AND id < __hi")
+    counts = drawn.groupBy("shard", "sid").agg(F.count("*").alias("count"))
+    counts = counts.withColumn("chunk", F.floor(F.col("shard") / chunks_for(n_slots // config.shard_slots)))
+    counts = running_sum(counts, "count", ["shard"]).select("shard", "sid", "count", F.col("before").alias("first"))
     counts = written(counts, "mix-counts")
     slots = counts.select("shard", "sid", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("slot"))
     blocks = sources.select("sid", "blocks")
