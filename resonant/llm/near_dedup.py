@@ -365,8 +365,9 @@ def _with_core(members: DataFrame, core: DataFrame | None) -> DataFrame:
     """members(key, node, size, ...) with core, n_core, n_rest; core(key, node, core) has the rows of large keys."""
     if core is None:
         return members.withColumns({"core": F.lit(False), "n_core": F.lit(0).cast("long"), "n_rest": F.col("size")})
-    counts = core.groupBy("key").agg(F.count_if("core").alias("n_core"), F.count_if(~F.col("core")).alias("n_rest"))
-    marked = core.select("key", "node", "core").join(counts, "key")
+    # both sides of a join by key are plain tables, so that a large key can be split
+    counts = written(core.groupBy("key").agg(F.count_if("core").alias("n_core"), F.count_if(~F.col("core")).alias("n_rest")), "near-core-sizes")
+    marked = written(core.select("key", "node", "core").hint("merge").join(counts, "key"), "near-core-marked")
     out = members.hint("merge").join(marked, ["key", "node"], "left")
     return out.withColumns({"core": F.coalesce("core", F.lit(False)), "n_core": F.coalesce("n_core", F.lit(0).cast("long")), "n_rest": F.coalesce("n_rest", F.col("size"))})
 
@@ -495,8 +496,8 @@ def join(docs: DataFrame, config: ForestConfig = ForestConfig(), key: str | None
         leaders = large.where("node = key").select("key", F.col("grams").alias("__first"))
         both = large.hint("merge").join(leaders, "key").select("key", "node", "grams", "__first")
         core = written(both.mapInArrow(measured, "key long, node long, core boolean"), "near-core")
-        together = core.where("core").groupBy("key").agg((F.count("*") - 1).alias("links"))
-        more = core.where("core").hint("merge").join(together.where("links > 0"), "key").select(F.col("node").alias("a"), F.col("key").alias("b"), "links")
+        together = written(core.where("core").groupBy("key").agg((F.count("*") - 1).alias("links")).where("links > 0"), "near-core-links")
+        more = core.where("core").hint("merge").join(together, "key").select(F.col("node").alias("a"), F.col("key").alias("b"), "links")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, rows_, first, second in _groups(batches):
