@@ -366,8 +366,10 @@ inside AS (SELECT c.track, x.cluster, avg(c.corr) AS c FROM cr c JOIN members x
 t AS (SELECT track, cluster, count(*) AS size, exp(sum(a * ln(pf)) / sum(a)) AS centre, avg(a) AS amp, atan2(sum(a * sin(p)), sum(a * cos(p))) AS phase FROM each GROUP BY ALL)
 SELECT t.track, t.cluster, CAST(size AS BIGINT) AS size, {r("centre")} AS centre, {r("amp")} AS amp, {r("phase")} AS phase, {r("greatest(0e0, least(1e0, coalesce(i.c, 1e0)))")} AS confidence FROM t LEFT JOIN inside i USING (track, cluster)""")
 def cluster_stats(spark: SparkSession, sf: str) -> DataFrame:
-    s, members = _members(spark, sf)
-    return rounded(voices.cluster_stats(s, members, TRACK, CLUSTERING))
+    s = views.osc_state(spark, sf)
+    found = voices.active_correlations(s, TRACK, CLUSTERING)
+    members = voices.clusters(s, TRACK, CLUSTERING, found)
+    return rounded(voices.cluster_stats(s, members, TRACK, CLUSTERING, found))
 
 
 @query(f"""WITH RECURSIVE {CLUSTERS}, env AS (SELECT m.track, m.cluster, s.frame, avg(s.amp) AS env FROM members m JOIN st s USING (track, osc) GROUP BY ALL),
@@ -638,25 +640,37 @@ def snapshot_sample(spark: SparkSession, sf: str) -> DataFrame:
 # --- messages and exports --------------------------------------------------------------------
 
 
-@query(f"WITH {STATE} SELECT track, frame, '/pitch/' || k AS address, {r('CASE k WHEN ' + chr(39) + 'amp' + chr(39) + ' THEN sum(CAST(CAST(amp AS FLOAT) AS DOUBLE)) ELSE sum(CAST(CAST(phase AS FLOAT) AS DOUBLE)) END')} AS total, CAST(count(*) AS INTEGER) AS n FROM st, (VALUES ('amp'), ('phase')) t(k) GROUP BY track, frame, k")
+LAYER_FIELDS = {"amp": "amp", "phase": "phase", "phantom": "CASE WHEN amp > 0.2e0 THEN 1e0 ELSE 0e0 END", "drive": "2 * amp", "residual": "amp - 0.1e0"}
+
+
+@query(f"WITH {STATE} " + " UNION ALL ".join(f"SELECT track, frame, '/pitch/{k}' AS address, {r(f'sum(CAST(CAST({v} AS FLOAT) AS DOUBLE))')} AS total, CAST(count(*) AS INTEGER) AS n FROM st GROUP BY track, frame" for k, v in LAYER_FIELDS.items()))
 def osc_messages(spark: SparkSession, sf: str) -> DataFrame:
     s = views.osc_state(spark, sf)
-    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("osc", c))), lambda x: x[c].cast("float"))
-    log = s.groupBy("track", "frame").agg(in_order("amp").alias("amp"), in_order("phase").alias("phase"))
-    log = log.select((F.col("track") * 1_000_000 + F.col("frame")).alias("t"), F.lit("pitch").alias("layer"), "amp", "phase", F.transform("amp", lambda a: a > 0.2).alias("phantom"), F.col("amp").alias("drive"), F.col("amp").alias("residual"))
-    sent = messages.layer_messages(log).where("address IN ('/pitch/amp', '/pitch/phase')")
+    log = s.groupBy("track", "frame").agg(F.array_sort(F.collect_list(F.struct("osc", "amp", "phase"))).alias("__r"))
+    of = lambda f: F.transform("__r", f)
+    log = log.select((F.col("track") * 1_000_000 + F.col("frame")).alias("t"), F.lit("pitch").alias("layer"), of(lambda x: x["amp"]).alias("amp"), of(lambda x: x["phase"]).alias("phase"), of(lambda x: x["amp"] > 0.2).alias("phantom"), of(lambda x: 2 * x["amp"]).alias("drive"), of(lambda x: x["amp"] - 0.1).alias("residual"))
+    sent = messages.layer_messages(log)
     total = F.aggregate("arr", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return rounded(sent.select(F.floor(F.col("t") / 1_000_000).alias("track"), (F.col("t") % 1_000_000).alias("frame"), "address", total.alias("total"), F.size("arr").alias("n")))
 
 
-@query(f"""WITH {VOICE_FRAMES} SELECT track, frame, '/voice/active_count' AS address, CAST(count(*) AS VARCHAR) AS arg FROM vf GROUP BY track, frame
-UNION ALL SELECT track, frame, '/voice/active_ids', string_agg(CAST(voice AS VARCHAR), '+' ORDER BY voice) FROM vf GROUP BY track, frame
-UNION ALL SELECT track, frame, '/voice/' || voice || '/active', '1' FROM vf""")
+@query(f"""WITH {VOICE_FRAMES}, sp AS (SELECT *, coalesce(lead(frame) OVER (PARTITION BY track, voice ORDER BY frame) - 1, (SELECT max(frame) FROM vf)) AS last, CAST(row_number() OVER (PARTITION BY track, voice ORDER BY frame) - 1 AS DOUBLE) AS age FROM vf),
+c AS (SELECT track, frame + k AS frame, voice, freq, amp, age, k AS silent FROM sp, range(0, 4) t(k) WHERE frame + k <= last), o AS (SELECT * FROM c WHERE silent = 0)
+SELECT track, frame, '/voice/active_count' AS address, CAST(NULL AS VARCHAR) AS arg, CAST(count(*) FILTER (silent = 0) AS DOUBLE) AS value FROM c GROUP BY track, frame
+UNION ALL SELECT track, frame, '/voice/active_ids', coalesce(string_agg(CAST(voice AS VARCHAR), '+' ORDER BY voice) FILTER (silent = 0), '-1'), NULL FROM c GROUP BY track, frame
+UNION ALL SELECT track, frame, '/voice/' || voice || '/active', NULL, 1e0 FROM o UNION ALL SELECT track, frame, '/voice/' || voice || '/active', NULL, 0e0 FROM c WHERE silent = 1
+UNION ALL SELECT track, frame, '/voice/' || voice || '/center_freq', NULL, {r("freq")} FROM o UNION ALL SELECT track, frame, '/voice/' || voice || '/amp', NULL, {r("amp")} FROM o
+UNION ALL SELECT track, frame, '/voice/' || voice || '/phase', NULL, {r("amp / 2")} FROM o UNION ALL SELECT track, frame, '/voice/' || voice || '/confidence', NULL, {r("amp / 3")} FROM o
+UNION ALL SELECT track, frame, '/voice/' || voice || '/age_frames', NULL, age FROM o""")
 def voice_osc_messages(spark: SparkSession, sf: str) -> DataFrame:
-    zero = F.lit(0.0)
-    v = _active_voices(spark, sf).withColumns({"phase": zero, "confidence": zero, "age": F.lit(0), "silent": F.lit(0)})
+    """All messages of active voices, and one at the end of a voice that falls silent."""
+    frames = views.voice_frames(spark, sf)
+    aged = frames.withColumn("age", F.row_number().over(Window.partitionBy("track", "voice").orderBy("frame")) - 1)
+    held = reports.carried(frames, 3).join(aged, ["track", "frame", "voice"], "left")
+    v = held.withColumns({"active": F.col("silent") == 0, "centre": F.col("freq"), "phase": F.col("amp") / 2, "confidence": F.col("amp") / 3})
     sent = messages.voice_messages(v)
-    return sent.where("address RLIKE '/active(_count|_ids)?$'")
+    listed = F.col("address").endswith("_ids")
+    return rounded(sent.select("track", "frame", "address", F.when(listed, F.col("arg")).alias("arg"), F.when(~listed, F.col("arg").cast("double")).alias("value")))
 
 
 @query(f"""WITH {CHROMA}, {values("tpl", "seq, tonic, mode, pc, weight", KEY_ROWS)}, sc AS (SELECT track, seq, tonic, mode, {corr_sql("energy", "weight")} AS score FROM chroma JOIN tpl USING (pc) GROUP BY ALL),
@@ -809,12 +823,18 @@ def voice_history(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(kept.select("track", "voice", "frame", F.posexplode("history").alias("place", "amp")))
 
 
-@query(f"""WITH {VOICE_FRAMES}, sl AS (SELECT track, voice, CAST(row_number() OVER (PARTITION BY track ORDER BY min(frame), voice) - 1 AS INTEGER) AS slot FROM vf GROUP BY track, voice),
-n AS (SELECT *, row_number() OVER (PARTITION BY track, voice ORDER BY frame DESC) AS back FROM vf)
-SELECT n.track, n.voice, slot, max(frame) AS frame, {r("arg_max(freq, frame)")} AS freq, {r("arg_max(amp, frame)")} AS amp, CAST(count(*) AS INTEGER) AS depth, {r("arg_min(amp, frame)")} AS oldest
-FROM n JOIN sl ON sl.track = n.track AND sl.voice = n.voice WHERE slot < 8 AND back <= 16 GROUP BY n.track, n.voice, slot""")
+@query(f"""WITH RECURSIVE {VOICE_FRAMES}, u AS (SELECT track, frame, voice, row_number() OVER (PARTITION BY track ORDER BY frame, voice) AS k FROM vf),
+fold AS (SELECT track, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS slot, list_transform(range(8), lambda i: CAST(-1 AS BIGINT)) AS s, list_transform(range(8), lambda i: CAST(0 AS BIGINT)) AS l FROM (SELECT DISTINCT track FROM vf)
+  UNION ALL SELECT track, k, CAST(pos - 1 AS BIGINT), list_transform(range(1, 9), lambda i: CASE WHEN i = coalesce(pos, 0) THEN voice ELSE freed[i] END), list_transform(range(1, 9), lambda i: CASE WHEN i = coalesce(pos, 0) THEN frame ELSE l[i] END)
+  FROM (SELECT *, coalesce(nullif(list_position(freed, voice), 0), nullif(list_position(freed, -1), 0)) AS pos
+    FROM (SELECT p.track, u.k, u.voice, u.frame, p.l, list_transform(range(1, 9), lambda i: CASE WHEN p.s[i] >= 0 AND p.l[i] < u.frame - 6 THEN -1 ELSE p.s[i] END) AS freed FROM fold p JOIN u ON u.track = p.track AND u.k = p.k + 1))),
+g AS (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY track, voice ORDER BY frame) > 6 THEN 1 ELSE 0 END AS new FROM vf),
+h AS (SELECT *, sum(new) OVER (PARTITION BY track, voice ORDER BY frame) AS life FROM g),
+n AS (SELECT h.*, f.slot, row_number() OVER (PARTITION BY h.track, h.voice ORDER BY h.frame DESC) AS back, max(life) OVER (PARTITION BY h.track, h.voice) AS now FROM h JOIN u ON u.track = h.track AND u.voice = h.voice AND u.frame = h.frame JOIN fold f ON f.track = u.track AND f.k = u.k)
+SELECT track, voice, CAST(arg_max(slot, frame) AS INTEGER) AS slot, max(frame) AS frame, {r("arg_max(freq, frame)")} AS freq, {r("arg_max(amp, frame)")} AS amp, CAST(count(*) AS INTEGER) AS depth, {r("arg_min(amp, frame)")} AS oldest
+FROM n WHERE back <= 16 AND life = now GROUP BY track, voice HAVING max(frame) >= (SELECT max(frame) FROM vf) - 6 AND max(slot) FILTER (back = 1) IS NOT NULL""")
 def slotted_traces(spark: SparkSession, sf: str) -> DataFrame:
-    found = reports.slotted_traces(views.voice_frames(spark, sf), 8, 16)
+    found = reports.slotted_traces(views.voice_frames(spark, sf), 8, 16, 6)
     return rounded(found.select("track", "voice", "slot", "frame", "freq", "amp", F.size("history").alias("depth"), F.get("history", F.lit(0)).alias("oldest")))
 
 
@@ -896,3 +916,6 @@ def voice_timeline(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def mode_locks_bulk(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(pairs.mode_locks_gram(views.osc_state(spark, sf), 0.3))
+
+
+from resonant import catalog_extra  # noqa: E402, F401  registers its queries

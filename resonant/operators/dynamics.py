@@ -8,6 +8,7 @@ bank steps in time as NumPy vectors, one task for each track and layer.
 from __future__ import annotations
 
 import math
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -100,6 +101,17 @@ def residual(drive: Column, amp: Column, p: OscillatorParams) -> Column:
     return F.abs(drive * p.input_gain) - abs(p.alpha) * amp
 
 
+def clocked(drive: DataFrame, sample_rate: float, step: float) -> DataFrame:
+    """track, n, drive of a slower bank: its k-th step takes the sample at which k * step seconds are reached.
+
+    Layers that do not hear each other run at their own rates as separate folds over
+    drives of their own.
+    """
+    at = F.floor(F.col("n") / sample_rate / step + 1e-9)
+    before = F.floor((F.col("n") - 1) / sample_rate / step + 1e-9)
+    return drive.where(at > before).select("track", at.cast("long").alias("n"), "drive")
+
+
 # --- coupled banks ---------------------------------------------------------------------------
 
 
@@ -123,6 +135,13 @@ class Bank:
         self.input = np.zeros(n)
         self.surprise = np.zeros(n)
 
+    def saved(self) -> bytes:
+        """All that changes from step to step: state, weights, delay ring, noise generator and counts."""
+        return pickle.dumps({k: v for k, v in vars(self).items() if k not in ("f", "config", "omega", "plastic")})
+
+    def restore(self, state: bytes) -> None:
+        vars(self).update(pickle.loads(state))
+
     def _rate(self, z: np.ndarray, held: np.ndarray) -> np.ndarray:
         p = self.config.params
         m = z.real**2 + z.imag**2
@@ -181,22 +200,30 @@ def simulate(drive: DataFrame, f: list[float], config: BankConfig, every: int =
     return drive.groupBy("track").applyInPandas(run, STATE)
 
 
-def simulate_coupled(drive: DataFrame, f: list[float], config: BankConfig, forward: float, backward: float, every: int = 1) -> DataFrame:
+def simulate_coupled(drive: DataFrame, f: list[float], config: BankConfig, forward: float, backward: float, every: int = 1, batch: int = 1) -> DataFrame:
     """As simulate, with a motor bank in lockstep: layer is rhythm or motor.
 
     The rhythm bank hears the drive and the motor bank's last state, the motor bank
-    the rhythm bank's new one.
+    the rhythm bank's new one. With `batch`, as on the live path, the motor's state is
+    held while the rhythm bank takes that many samples, and the rhythm bank's last
+    state while the motor bank takes as many.
     """
     ship(drive.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rhythm, motor, out = Bank(np.array(f), config), Bank(np.array(f), config), []
-        for k, x in enumerate(pdf.sort_values("n")["drive"].to_numpy()):
-            rhythm.step(x + backward * motor.z)
-            motor.step(forward * rhythm.z)
-            if k % every == 0:
-                for layer, bank in (("rhythm", rhythm), ("motor", motor)):
-                    out.append(_snapshot(pdf["track"].iloc[0], k // every, bank).assign(layer=layer))
+        line = pdf.sort_values("n")["drive"].to_numpy()
+        for lo in range(0, len(line), batch):
+            samples, shots, held = range(lo, min(lo + batch, len(line))), {}, motor.z
+            for k in samples:
+                rhythm.step(line[k] + backward * held)
+                if k % every == 0:
+                    shots["rhythm", k] = _snapshot(pdf["track"].iloc[0], k // every, rhythm)
+            for k in samples:
+                motor.step(forward * rhythm.z)
+                if k % every == 0:
+                    shots["motor", k] = _snapshot(pdf["track"].iloc[0], k // every, motor)
+            out += [s.assign(layer=layer) for (layer, _), s in shots.items()]
         return pd.concat(out)
 
     return drive.groupBy("track").applyInPandas(run, STATE + ", layer string")

@@ -21,15 +21,37 @@ def feature_messages(features: DataFrame, keys: list[str], names: dict[str, str]
     return features.select(*keys, F.explode(rows).alias("m")).select(*keys, "m.address", "m.arg").where("arg IS NOT NULL")
 
 
+def rhythm_messages(peaks: DataFrame, companions: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, address, arg: four messages of the peak(osc, f, bpm, phase), the number of companions, four of each companion in order."""
+    pair = lambda k, v: F.struct(F.lit(k).alias("address"), v.cast("string").alias("arg"))
+    head = F.array(pair("/rhythm/peak/freq", F.col("f")), pair("/rhythm/peak/bpm", F.col("bpm")), pair("/rhythm/peak/phase", F.col("phase")), pair("/rhythm/peak/idx", F.col("osc")))
+    listed = F.array_sort(F.collect_list(F.struct("seq", "p", "q", "f", "phase", "plv")))
+    found = peaks.select(*keys).join(companions.groupBy(*keys).agg(listed.alias("found")), keys, "left")
+    count = found.select(*keys, F.lit("/rhythm/companion/count").alias("address"), F.coalesce(F.array_size("found"), F.lit(0)).cast("string").alias("arg"))
+    each = found.select(*keys, F.posexplode("found").alias("place", "c"))
+    base = F.concat(F.lit("/rhythm/companion/"), F.col("place").cast("string"))
+    field = lambda k, v: F.struct(F.concat(base, F.lit(f"/{k}")).alias("address"), v.cast("string").alias("arg"))
+    fields = F.array(field("ratio", F.concat_ws("/", "c.p", "c.q")), field("freq", F.col("c.f")), field("phase", F.col("c.phase")), field("plv", F.col("c.plv")))
+    flat = lambda df, rows: df.select(*keys, F.explode(rows).alias("m")).select(*keys, "m.address", "m.arg")
+    return flat(peaks, head).unionByName(count).unionByName(flat(each, fields))
+
+
 def voice_messages(voices: DataFrame) -> DataFrame:
-    """track, frame, address, arg: counts and ids of a frame, fields of its active voices, and each voice's end once."""
+    """track, frame, address, arg: counts and ids of a frame, fields of its active voices, and each voice's end once.
+
+    A voice with a struct rhythm or motor (osc, freq, bpm, phase, confidence) that is
+    not null has five messages for it.
+    """
     frame = ["track", "frame"]
     head = voices.groupBy(*frame).agg(F.count_if("active").alias("n"), F.array_sort(F.collect_list(F.when(F.col("active"), F.col("voice")))).alias("ids"))
     listed = F.when(F.size("ids") > 0, F.array_join(F.transform("ids", lambda i: i.cast("string")), "+")).otherwise("-1")
     counts = head.select(*frame, F.explode(F.array(F.struct(F.lit("/voice/active_count").alias("address"), F.col("n").cast("string").alias("arg")), F.struct(F.lit("/voice/active_ids").alias("address"), listed.alias("arg")))).alias("m"))
     base = F.concat(F.lit("/voice/"), F.col("voice").cast("string"), F.lit("/"))
     fields = {"active": F.lit("1"), "center_freq": F.col("centre").cast("string"), "amp": F.col("amp").cast("string"), "phase": F.col("phase").cast("string"), "confidence": F.col("confidence").cast("string"), "age_frames": F.col("age").cast("string")}
-    rows = F.array(*[F.struct(F.concat(base, F.lit(k)).alias("address"), v.alias("arg")) for k, v in fields.items()])
+    for bank in ("rhythm", "motor"):
+        if bank in voices.columns:
+            fields |= {f"{bank}/{k}": F.col(f"{bank}.{c}").cast("string") for k, c in (("freq", "freq"), ("bpm", "bpm"), ("phase", "phase"), ("osc_idx", "osc"), ("confidence", "confidence"))}
+    rows = F.filter(F.array(*[F.struct(F.concat(base, F.lit(k)).alias("address"), v.alias("arg")) for k, v in fields.items()]), lambda m: m["arg"].isNotNull())
     on = voices.where("active").select(*frame, F.explode(rows).alias("m"))
     off = voices.where("NOT active AND silent = 1").select(*frame, F.struct(F.concat(base, F.lit("active")).alias("address"), F.lit("0").alias("arg")).alias("m"))
     return counts.unionByName(on).unionByName(off).select(*frame, "m.address", "m.arg")
@@ -55,6 +77,27 @@ def control_changes(routed: DataFrame) -> DataFrame:
     return routed.where("kind = 'midi' AND channel IS NOT NULL").select("seq", "channel", control_value(F.col("value")).alias("value"))
 
 
+def clock_messages(tempos: DataFrame, keys: list[str], per_beat: int = 24) -> DataFrame:
+    """keys, tick, at: the clock's ticks in each window of tempos(keys, start, end, bpm), in seconds; none without a tempo."""
+    gap = F.lit(60.0) / (F.col("bpm") * per_beat)
+    some = tempos.where("bpm > 0 AND end > start")
+    ticks = some.select(*keys, "start", gap.alias("__gap"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil((F.col("end") - F.col("start")) / gap) - 1)).alias("tick"))
+    return ticks.select(*keys, "tick", (F.col("start") + F.col("tick") * F.col("__gap")).alias("at"))
+
+
+def chord_notes(chords: DataFrame, keys: list[str], channel: int = 0, base: int = 60, velocity: int = 96) -> DataFrame:
+    """keys, seq, type, channel, note, velocity where the notes change from one row of chords(keys, seq, notes) to the next.
+
+    notes are pitch classes. Notes that end come before notes that begin; the last ones end with nothing after them.
+    """
+    over = Window.partitionBy(*keys).orderBy("seq")
+    none = F.array().cast("array<int>")
+    now, before = F.coalesce("notes", none), F.coalesce(F.lag("notes").over(over), none)
+    event = lambda kind, v: lambda n: F.struct(F.lit(kind).alias("type"), (n + base).cast("int").alias("note"), F.lit(v).alias("velocity"))
+    changes = F.concat(F.transform(F.array_sort(F.array_except(before, now)), event("note_off", 0)), F.transform(F.array_sort(F.array_except(now, before)), event("note_on", velocity)))
+    return chords.select(*keys, "seq", changes.alias("__c")).select(*keys, "seq", F.posexplode("__c").alias("place", "e")).select(*keys, "seq", "place", "e.type", F.lit(channel).alias("channel"), "e.note", "e.velocity")
+
+
 def forward(messages: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Every message to every endpoint, each endpoint once; endpoints are few."""
     return messages.crossJoin(F.broadcast(distinct_endpoints(endpoints)))

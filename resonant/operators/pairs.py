@@ -21,10 +21,18 @@ def active_oscillators(state: DataFrame, keys: list[str], floor: float, share: f
 
 
 def frame_pairs(state: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Each pair i < j of oscillators in each frame, with the columns of both."""
-    a = state.select(*keys, "frame", F.col("osc").alias("i"), *[F.col(c).alias(f"{c}_i") for c in columns])
-    b = state.select(*keys, "frame", F.col("osc").alias("j"), *[F.col(c).alias(f"{c}_j") for c in columns])
-    return a.join(b, [*keys, "frame"]).where("i < j")
+    """Each pair i < j of oscillators in each frame, with the columns of both.
+
+    A frame is gathered once, as one row of as many entries as the bank has
+    oscillators, and unfolds into its pairs where it lies: no join, and what sums the
+    pairs up starts before anything moves again.
+    """
+    gathered = F.array_sort(F.collect_list(F.struct("osc", *columns)))
+    rows = state.groupBy(*keys, "frame").agg(gathered.alias("__row"))
+    first = rows.select(*keys, "frame", "__row", F.posexplode("__row").alias("__at", "__a"))
+    both = first.select(*keys, "frame", "__a", F.explode(F.slice("__row", F.col("__at") + 2, F.size("__row"))).alias("__b"))
+    sides = [F.col(f"{side}.{c}").alias(f"{c}_{name}") for side, name in (("__a", "i"), ("__b", "j")) for c in columns]
+    return both.select(*keys, "frame", F.col("__a.osc").alias("i"), F.col("__b.osc").alias("j"), *sides)
 
 
 def mode_locks(spark: SparkSession, state: DataFrame, keys: list[str], threshold: float, pairs: list[tuple] = LOCK_RATIOS, active: DataFrame | None = None) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resonant.functions.music import cents, harmonic_label
+from resonant.operators.pairs import harmonic_pairs
+from resonant.session import ship
 
 VOICE = ("track", "voice")
 
@@ -88,21 +93,83 @@ def history(voices: DataFrame, value: str, depth: int) -> DataFrame:
     return voices.withColumn("history", F.collect_list(value).over(own))
 
 
-def slots(voices: DataFrame, most: int) -> DataFrame:
-    """track, voice, slot: the first voices to appear take the slots 0..most-1, later ones have none."""
-    seen = voices.groupBy(*VOICE).agg(F.min("frame").alias("__first"))
-    slot = F.row_number().over(Window.partitionBy("track").orderBy("__first", "voice")) - 1
-    return seen.withColumn("slot", slot).where(F.col("slot") < most).select(*VOICE, "slot")
+def voice_slots(voices: DataFrame, most: int, stale: int) -> DataFrame:
+    """track, frame, voice, slot, begun: a voice takes the lowest free of the slots 0..most-1 at its first update that finds one.
+
+    A voice without an update for more than `stale` frames gives its slot back; when it
+    comes again, it begins anew. slot is null while all are taken, begun is the frame at
+    which the voice began. Which slot is free depends on all that came before, so a
+    track's updates fold in order; they stream through, and only living voices are held.
+    """
+    ship(voices.sparkSession)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        track, now = None, None
+        seen: dict[int, tuple[int, int]] = {}  # last update and beginning of each living voice
+        held: dict[int, int] = {}
+        for batch in batches:
+            slot, begun = [], []
+            for t, f, v in zip(*(c.to_pylist() for c in batch.columns)):
+                if t != track:
+                    track, now, seen, held = t, None, {}, {}
+                if f != now:
+                    now = f
+                    for old in [x for x, (last, _) in seen.items() if last < f - stale]:
+                        del seen[old]
+                        held.pop(old, None)
+                seen[v] = (f, seen[v][1] if v in seen else f)
+                if v not in held and len(held) < most:
+                    held[v] = min(set(range(most)).difference(held.values()))
+                slot.append(held.get(v))
+                begun.append(seen[v][1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slot, pa.int32()), pa.array(begun, pa.int64())], names=["track", "frame", "voice", "slot", "begun"])
+
+    rows = voices.select("track", "frame", "voice").repartition("track").sortWithinPartitions("track", "frame", "voice")
+    return rows.mapInArrow(fold, "track long, frame long, voice long, slot int, begun long")
+
+
+def slotted_traces(voices: DataFrame, most: int, depth: int, stale: int) -> DataFrame:
+    """track, voice, slot, frame, freq, amp, history: the latest state of every living voice that has a slot.
+
+    The history goes back to the voice's beginning, `depth` values at most.
+    """
+    end = voices.groupBy("track").agg(F.max("frame").alias("__end"))
+    own = Window.partitionBy(*VOICE, "begun").orderBy("frame").rowsBetween(1 - depth, 0)
+    known = voices.join(voice_slots(voices, most, stale), ["track", "frame", "voice"]).withColumn("history", F.collect_list("amp").over(own))
+    latest = known.groupBy(*VOICE).agg(F.max_by(F.struct("slot", "frame", "freq", "amp", "history"), "frame").alias("__l"))
+    living = latest.join(end, "track").where((F.col("__l.frame") >= F.col("__end") - stale) & F.col("__l.slot").isNotNull())
+    return living.select(*VOICE, "__l.*")
+
 
+def ring(state: DataFrame, depth: int, keys: list[str]) -> DataFrame:
+    """Adds place: the rows of the last `depth` frames of each key, the oldest at 0; fewer while the ring fills."""
+    own = Window.partitionBy(*keys).orderBy(F.desc("frame"))
+    kept = state.withColumn("__back", F.row_number().over(own)).where(F.col("__back") <= depth)
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("frame")) - 1).drop("__back")
 
-def slotted_traces(voices: DataFrame, most: int, depth: int) -> DataFrame:
-    """track, voice, slot, frame, freq, amp, history: the latest state of every voice that has a slot.
 
-    Voices without a slot leave before their histories are gathered.
-    """
-    kept = voices.join(slots(voices, most), list(VOICE))
-    latest = F.max_by(F.struct("frame", "freq", "amp", "history"), "frame")
-    return history(kept, "amp", depth).groupBy(*VOICE, "slot").agg(latest.alias("__l")).select(*VOICE, "slot", "__l.*")
+def missing(required: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of required that found lacks, each once: empty if found contains them all."""
+    return required.select(*required.columns).distinct().join(found.select(*required.columns).distinct(), required.columns, "left_anti")
+
+
+def baseline_json(summaries: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, json: the figures of a summary as one JSON object, in the order of its columns."""
+    return summaries.select(*keys, F.to_json(F.struct(*[c for c in summaries.columns if c not in keys])).alias("json"))
+
+
+def trigger_report(coverage: DataFrame, phantoms: DataFrame, voices: DataFrame) -> DataFrame:
+    """triggers, covered, coverage, voice_frames, phantom_frames, phantom: totals and their shares of what there is."""
+    t = coverage.agg(F.count("*").alias("triggers"), F.count_if("covered").alias("covered"))
+    p, v = phantoms.agg(F.count("*").alias("phantom_frames")), voices.agg(F.count("*").alias("voice_frames"))
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+    return t.crossJoin(v).crossJoin(p).select("triggers", "covered", share("covered", "triggers").alias("coverage"), "voice_frames", "phantom_frames", share("phantom_frames", "voice_frames").alias("phantom"))
+
+
+def guide_pairs(weights: DataFrame, bank: DataFrame, tolerance: float = 0.5) -> DataFrame:
+    """track, i, j, magnitude of the pairs i < j of bank(osc, f) near a small-integer ratio."""
+    found = weights.where("i < j").select("track", "i", "j", F.hypot("re", "im").alias("magnitude"))
+    return found.join(F.broadcast(harmonic_pairs(bank, tolerance)), ["i", "j"]).select("track", "i", "j", "magnitude")
 
 
 def dominant(voices: DataFrame) -> DataFrame:

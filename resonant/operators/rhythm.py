@@ -20,14 +20,15 @@ def biased_peak(amps: DataFrame, keys: list[str]) -> DataFrame:
     return amps.groupBy(*keys).agg(first_of_largest(biased, F.col("osc")).alias("peak"), F.max("amp").alias("top"))
 
 
-def companions(spark: SparkSession, state: DataFrame, keys: list[str], least_plv: float = 0.7, least_amp: float = 0.3) -> DataFrame:
+def companions(spark: SparkSession, state: DataFrame, keys: list[str], least_plv: float = 0.7, least_amp: float = 0.3, peaks: DataFrame | None = None) -> DataFrame:
     """keys, seq, p, q, osc, f, phase, plv of the oscillators locked to the peak.
 
     For each ratio the oscillator nearest to the peak's frequency times p/q competes,
     if the bank reaches that far and it is not the peak. Windows need four frames.
     """
     amps = mean_amp(state, keys)
-    peaks = biased_peak(amps, keys)
+    if peaks is None:
+        peaks = biased_peak(amps, keys)
     bank = banks(spark).select(F.col("osc").alias("cand"), F.col("rhythm_f").alias("cand_f"))
     aims = peaks.crossJoin(F.broadcast(ratios(spark, COMPANION_RATIOS)))
     aims = aims.withColumn("aim", rhythm_frequency(F.col("peak")) * F.col("p") / F.col("q")).where(F.col("aim").between(RHYTHM_LOW, RHYTHM_LOW * RHYTHM_SPAN))
@@ -44,14 +45,42 @@ def companions(spark: SparkSession, state: DataFrame, keys: list[str], least_plv
     return found.select(*keys, "seq", "p", "q", "osc", rhythm_frequency(F.col("osc")).alias("f"), "phase", "plv")
 
 
+def rhythm_prior(osc: np.ndarray) -> np.ndarray:
+    """The tempo prior of the rhythm bank's oscillators."""
+    return np.exp(-0.5 * np.log2(RHYTHM_LOW * RHYTHM_SPAN ** (osc / (N_OSC - 1)) / 2.0) ** 2)
+
+
+def next_peak(amp: np.ndarray, last: int, keep: float = 0.8) -> int:
+    """The peak of a frame of the whole bank, given that of the frame before, -1 if there is none."""
+    if last < 0 or amp[last] < keep * amp.max():
+        return int((amp * rhythm_prior(np.arange(len(amp)))).argmax())
+    return last
+
+
+def structure(spark: SparkSession, state: DataFrame, keys: list[str], before: DataFrame | None = None, keep: float = 0.8, least_plv: float = 0.7, least_amp: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """(peaks, companions): keys, osc, f, bpm, phase of the peak, and the oscillators locked to it.
+
+    before(keys, osc) is the peak that each window had last; it stays while it has
+    `keep` of the largest amplitude. Phases are those of the window's last frame.
+    """
+    amps = mean_amp(state, keys)
+    peaks = biased_peak(amps, keys)
+    if before is not None:
+        held = before.join(amps, [*keys, "osc"]).select(*keys, F.col("osc").alias("__osc"), F.col("amp").alias("__amp"))
+        peaks = peaks.join(held, keys, "left").select(*keys, F.when(F.col("__amp") >= keep * F.col("top"), F.col("__osc")).otherwise(F.col("peak")).alias("peak"), "top")
+    phase = state.groupBy(*keys, F.col("osc").alias("peak")).agg(F.max_by("phase", "frame").alias("phase"))
+    f = rhythm_frequency(F.col("peak"))
+    rows = peaks.where("top > 0").join(phase, [*keys, "peak"]).select(*keys, F.col("peak").alias("osc"), f.alias("f"), (f * 60).alias("bpm"), "phase")
+    return rows, companions(spark, state, keys, least_plv, least_amp, peaks.where("top > 0"))
+
+
 def peak_hysteresis(state: DataFrame, keep: float = 0.8) -> DataFrame:
     """track, frame, peak: a frame keeps the last peak while it has `keep` of the largest amplitude.
 
     Each choice depends on the one before, so a track's frames fold in order in one task.
     """
     ship(state.sparkSession)
-    f = RHYTHM_LOW * RHYTHM_SPAN ** (np.arange(N_OSC) / (N_OSC - 1))
-    prior = np.exp(-0.5 * np.log2(f / 2.0) ** 2)
+    prior = rhythm_prior(np.arange(N_OSC))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         grid = pdf.pivot(index="frame", columns="osc", values="amp").sort_index()

@@ -93,6 +93,17 @@ def running_peak(drive: DataFrame, release: float = 0.995) -> DataFrame:
     return drive.groupBy("track").applyInPandas(fold, "track long, n long, peak double")
 
 
+def cadence(times: DataFrame, keys: list[str], hz: float, step: float) -> DataFrame:
+    """keys, t of times(keys, t): the first time at or after each tick of hz, and the last time of all.
+
+    step is the distance of the times; the last one is added only where a tick was met.
+    """
+    tick = F.floor(F.col("t") * hz + 1e-9)
+    first = times.groupBy(*keys, tick.alias("__tick")).agg(F.min("t").alias("t")).where(F.col("t") - F.col("__tick") / hz < step)
+    last = times.groupBy(*keys).agg(F.max("t").alias("t"))
+    return first.select(*keys, "t").unionByName(last.join(first.select(*keys).distinct(), keys, "left_semi").select(*keys, "t")).distinct()
+
+
 def snapshots(state: DataFrame, hz: float) -> DataFrame:
     """The first row of each track and oscillator in every period of 1/hz seconds; state has t."""
     rank = Window.partitionBy("track", "osc", F.floor(F.col("t") * hz)).orderBy("t")

@@ -22,6 +22,13 @@ from resonant.plans.dims import HARMONIC_RATIOS, N_OSC, pitch_frequency
 from resonant.session import ship
 
 
+def active_correlations(state: DataFrame, keys: list[str], config: VoiceConfig = VoiceConfig()) -> DataFrame:
+    """keys, i, j, corr of the active oscillators' envelopes."""
+    active = active_oscillators(state, keys, config.noise_floor, config.active_fraction)
+    kept = state.join(active, [*keys, "osc"], "left_semi")
+    return envelope_correlation(kept, keys, config.harmonic_boost, config.harmonic_tolerance)
+
+
 def smallest_member(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest node of each node's component."""
     label = np.arange(n)
@@ -35,12 +42,16 @@ def smallest_member(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def clusters(state: DataFrame, keys: list[str], config: VoiceConfig = VoiceConfig()) -> DataFrame:
-    """keys, cluster, osc: cluster is its smallest oscillator; lone oscillators are clusters too."""
+def clusters(state: DataFrame, keys: list[str], config: VoiceConfig = VoiceConfig(), pairs: DataFrame | None = None) -> DataFrame:
+    """keys, cluster, osc: cluster is its smallest oscillator; lone oscillators are clusters too.
+
+    pairs are active_correlations(), if the caller has them.
+    """
     ship(state.sparkSession)
     active = active_oscillators(state, keys, config.noise_floor, config.active_fraction)
-    kept = state.join(active, [*keys, "osc"], "left_semi")
-    strong = envelope_correlation(kept, keys, config.harmonic_boost, config.harmonic_tolerance).where(F.col("corr") > config.correlation)
+    if pairs is None:
+        pairs = active_correlations(state, keys, config)
+    strong = pairs.where(F.col("corr") > config.correlation)
     edges = active.select(*keys, F.col("osc").alias("i"), F.col("osc").alias("j")).unionByName(strong.select(*keys, "i", "j"))
 
     def components(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -54,12 +65,13 @@ def clusters(state: DataFrame, keys: list[str], config: VoiceConfig = VoiceConfi
     return found.withColumn("__size", size).where(F.col("__size") >= config.least_size).drop("__size")
 
 
-def cluster_stats(state: DataFrame, members: DataFrame, keys: list[str], config: VoiceConfig = VoiceConfig()) -> DataFrame:
+def cluster_stats(state: DataFrame, members: DataFrame, keys: list[str], config: VoiceConfig = VoiceConfig(), pairs: DataFrame | None = None) -> DataFrame:
     """keys, cluster, size, centre, amp, phase, confidence.
 
     The centre is the amplitude-weighted geometric mean frequency, the phase the
     circular mean in the window's last frame, the confidence the mean correlation of
-    the cluster's pairs, 1 for a lone oscillator.
+    the cluster's pairs, 1 for a lone oscillator. pairs are the correlations that the
+    clusters were made from, if the caller has them.
     """
     own = state.join(members, [*keys, "osc"])
     each = own.groupBy(*keys, "cluster", "osc").agg(F.avg("amp").alias("a"), F.max_by("phase", "frame").alias("p"))
@@ -70,7 +82,8 @@ def cluster_stats(state: DataFrame, members: DataFrame, keys: list[str], config:
         F.avg(a).alias("amp"),
         F.when(F.sum(a) > 0, F.atan2(F.sum(a * F.sin("p")), F.sum(a * F.cos("p")))).otherwise(0.0).alias("phase"),
     )
-    pairs = envelope_correlation(own.select(*state.columns), keys, config.harmonic_boost, config.harmonic_tolerance)
+    if pairs is None:
+        pairs = envelope_correlation(own.select(*state.columns), keys, config.harmonic_boost, config.harmonic_tolerance)
     left = members.select(*keys, "cluster", F.col("osc").alias("i"))
     right = members.select(*keys, "cluster", F.col("osc").alias("j"))
     inside = pairs.join(left, [*keys, "i"]).join(right, [*keys, "cluster", "j"]).groupBy(*keys, "cluster").agg(F.avg("corr").alias("c"))
@@ -287,9 +300,14 @@ def simultaneous(voices: DataFrame) -> DataFrame:
     return frames.groupBy("track").agg(F.avg("n").alias("mean"), F.max("n").alias("most")).join(ids, "track", "left")
 
 
-def top_changes(voices: DataFrame) -> DataFrame:
-    """track, changes: how often the lowest active voice is another than in the frame before."""
-    low = voices.where("active").groupBy("track", "frame").agg(F.min_by("voice", F.struct("centre", "voice")).alias("top"))
+def top_changes(voices: DataFrame, by: str = "freq") -> DataFrame:
+    """track, changes: how often the first active voice is another than in the frame before.
+
+    by is freq, id or first: the voice of the lowest frequency, number or first frame.
+    """
+    first = voices.withColumn("first_seen", F.min("frame").over(Window.partitionBy("track", "voice")))
+    order = {"freq": F.struct("centre", "voice"), "id": F.struct("voice"), "first": F.struct("first_seen", "voice")}[by]
+    low = first.where("active").groupBy("track", "frame").agg(F.min_by("voice", order).alias("top"))
     frames = voices.select("track", "frame").distinct().join(low, ["track", "frame"], "left")
     before = F.lag("top").over(Window.partitionBy("track").orderBy("frame"))
     changed = F.count_if(F.col("top").isNotNull() & F.col("before").isNotNull() & (F.col("top") != F.col("before")))
@@ -300,19 +318,44 @@ def coverage(voices: DataFrame, triggers: DataFrame, cents: float = 200.0) -> Da
     """trigger, covered, voice: the loudest active voice near a trigger's frequency while it sounds.
 
     voices(track, frame, voice, freq, amp), triggers(trigger, track, first, last, freq). The join is on
-    track and frame: a trigger names the frames that it sounds in.
+    track, frame and a band of frequency: a trigger names the frames that it sounds in, a voice its own
+    band and the next ones, each as wide as the tolerance.
     """
-    spread = triggers.select("trigger", "track", F.col("freq").alias("wanted"), F.explode(F.sequence("first", "last")).alias("frame"))
-    met = spread.join(voices, ["track", "frame"]).where(semitones_between(F.col("freq"), F.col("wanted")) * 100 < cents)
+    band = _band("freq", cents)
+    spread = triggers.select("trigger", "track", F.col("freq").alias("wanted"), band.alias("band"), F.explode(F.sequence("first", "last")).alias("frame"))
+    near = voices.withColumn("band", F.explode(F.sequence(band - 1, band + 1)))
+    met = spread.join(near, ["track", "frame", "band"]).where(semitones_between(F.col("freq"), F.col("wanted")) * 100 < cents)
     best = met.groupBy("trigger").agg(F.max_by("voice", F.struct("amp", -F.col("voice"), -F.col("frame"))).alias("voice"))
     return triggers.select("trigger").join(best, "trigger", "left").select("trigger", F.col("voice").isNotNull().alias("covered"), "voice")
 
 
+def _band(freq: str, cents: float) -> Column:
+    """The number of the band of a frequency, bands as wide as the tolerance."""
+    return F.floor(F.log2(F.col(freq)) * 1200 / cents)
+
+
 def phantom_voices(voices: DataFrame, triggers: DataFrame, cents: float = 200.0) -> DataFrame:
     """The voice frames that no trigger explains."""
-    spread = triggers.select("track", F.col("freq").alias("wanted"), F.explode(F.sequence("first", "last")).alias("frame")).distinct()
+    band = _band("freq", cents)
+    spread = triggers.select("track", F.col("freq").alias("wanted"), band.alias("band"), F.explode(F.sequence("first", "last")).alias("frame")).distinct()
+    spread = spread.withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
+    voices = voices.withColumn("__band", band)
     near = semitones_between(voices["freq"], spread["wanted"]) * 100 < cents
-    return voices.join(spread, (voices["track"] == spread["track"]) & (voices["frame"] == spread["frame"]) & near, "left_anti")
+    same = (voices["track"] == spread["track"]) & (voices["frame"] == spread["frame"]) & (voices["__band"] == spread["band"])
+    return voices.join(spread, same & near, "left_anti").drop("__band")
+
+
+def with_phase(matches: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
+    """matches(keys, cluster, osc, bpm, confidence) with freq, and the phase of the bank's oscillator in the window's last frame."""
+    last = state.groupBy(*keys, "osc").agg(F.max_by("phase", "frame").alias("phase"))
+    return matches.join(last, [*keys, "osc"]).withColumn("freq", F.col("bpm") / 60)
+
+
+def window_bank(voices: DataFrame, env: DataFrame, bank: DataFrame, state: DataFrame, keys: list[str], hz: float, name: str) -> DataFrame:
+    """voices(keys, cluster, ...) with a struct `name` of the bank's best match: osc, freq, bpm, phase, confidence; null without one."""
+    found = with_phase(associate(env, bank, keys, hz), state, keys)
+    match = F.struct("osc", "freq", "bpm", "phase", "confidence").alias(name)
+    return voices.join(found.select(*keys, "cluster", match), [*keys, "cluster"], "left")
 
 
 def with_bank_match(voices: DataFrame, matches: DataFrame, name: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resonant.functions.common import vector_length
+from resonant.operators import rollups
+from resonant.operators.rhythm import biased_peak
 
 
 def rolling_coherence(state: DataFrame, frames: int = 12) -> DataFrame:
@@ -38,6 +40,21 @@ def in_windows(state: DataFrame, windows: DataFrame) -> DataFrame:
     return state.join(spread, ["track", "frame"])
 
 
+def timeline(amps: DataFrame, keys: list[str], order: str = "win", share: float = 0.1) -> DataFrame:
+    """keys and the tonal and rhythmic features of each window of amps(keys, osc, amp); tempo and consonance also smoothed along a track."""
+    spark = amps.sparkSession
+    chroma = rollups.chroma(amps, keys)
+    key = rollups.detect_key(spark, chroma, keys).withColumnRenamed("confidence", "key_confidence")
+    chord = rollups.detect_chord(spark, chroma, keys).select(*keys, F.col("name").alias("chord"), F.col("confidence").alias("chord_confidence"))
+    tempo = rollups.tempo(amps, keys).withColumnRenamed("confidence", "tempo_confidence")
+    peak = biased_peak(amps, keys).select(*keys, "peak")
+    out = key.join(chord, keys).join(tempo, keys).join(rollups.consonance(amps, keys, share), keys).join(peak, keys)
+    along = [k for k in keys if k != order]
+    for value in ("bpm", "consonance"):
+        out = median_smooth(out, value, along, order).withColumnRenamed("smooth", f"smooth_{value}")
+    return out
+
+
 def trailing(state: DataFrame, frames: int, least: int) -> DataFrame:
     """track, osc, frame, mean, n over the last frames, where there are at least `least`."""
     over = Window.partitionBy("track", "osc").orderBy("frame").rowsBetween(1 - frames, 0)
@@ -66,6 +83,11 @@ def as_of_forward(times: DataFrame, snapshots: DataFrame, keys: list[str]) -> Da
     return found.where("asks = 1").drop("asks")
 
 
+def around(at: Column, half: int, last: Column) -> Column:
+    """The frames within `half` of a playhead, cut at both ends."""
+    return F.sequence(F.greatest(at - half, F.lit(0).cast("long")), F.least(at + half, last))
+
+
 def nearest_frame(t: Column, hz: float, last: Column) -> Column:
     """The frame nearest to t seconds, halves to even, within 0..last."""
     return F.greatest(F.lit(0).cast("long"), F.least(F.bround(t * hz).cast("long"), last))
@@ -85,5 +107,6 @@ def trace_segments(voices: DataFrame, floor: float = 0.02) -> DataFrame:
     lines = lines.where("next_frame = frame + 1 AND freq > 0 AND next_freq > 0")
     above = lambda c: F.greatest(F.lit(0.0), F.col(c) - floor)
     width = (above("amp") + above("next_amp")) / 2
-    peak = F.max("__w").over(Window.partitionBy("track"))
-    return lines.withColumn("__w", width).withColumn("width", F.coalesce(F.try_divide("__w", peak), F.lit(0.0))).drop("__w")
+    lines = lines.withColumn("__w", width)
+    peak = lines.groupBy("track").agg(F.max("__w").alias("__peak"))
+    return lines.join(peak, "track").withColumn("width", F.coalesce(F.try_divide("__w", "__peak"), F.lit(0.0))).drop("__w", "__peak")

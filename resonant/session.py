@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -32,3 +33,19 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(os.path.abspath(path))
         _SHIPPED["app"] = context.applicationId
     return spark
+
+
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new folder under spark.checkpoint.dir, deleted when the driver's JVM ends.
+
+    Only a session that names none, on a local master, gets a temporary one; a cluster
+    without the setting uses a folder beside its warehouse.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        local = spark.sparkContext.master.startswith("local")
+        root = "file://" + tempfile.mkdtemp(prefix="resonant-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    path = f"{root.rstrip('/')}/resonant/{label}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path

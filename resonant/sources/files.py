@@ -76,13 +76,14 @@ def samples(signal: DataFrame) -> DataFrame:
 STATE_LOG = "t double, layer string, z_real array<float>, z_imag array<float>, amp array<float>, phase array<float>, drive array<float>, residual array<float>, phantom array<boolean>"
 
 
-def scan_state_log(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
-    """Snapshots in time order; a file without residuals gets zeros. The layer filter reaches the scan."""
+def scan_state_log(spark: SparkSession, path: str, layer: str | None = None, in_order: bool = False) -> DataFrame:
+    """Snapshots; a file without residuals gets zeros. The layer filter reaches the scan, sorting by time is on request."""
     log = spark.read.schema(STATE_LOG).parquet(path)
     if layer is not None:
         log = log.where(F.col("layer") == layer)
     zeros = F.transform("amp", lambda _: F.lit(0.0).cast("float"))
-    return log.withColumn("residual", F.coalesce("residual", zeros)).orderBy("t")
+    log = log.withColumn("residual", F.coalesce("residual", zeros))
+    return log.orderBy("t") if in_order else log
 
 
 def footer_bank(spark: SparkSession, footer: dict[bytes, bytes]) -> DataFrame:
@@ -98,6 +99,30 @@ def write_state_log(log: DataFrame, path: str) -> None:
     log.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("track", "layer").parquet(path)
 
 
+WEIGHTS = "t double, i int, j int, re double, im double"
+
+
+def write_weights(weights: DataFrame, path: str) -> None:
+    """weights(track, layer, t, i, j, re, im): a history, partitioned by track and layer; a track written again replaces itself."""
+    weights.select("track", "layer", "t", "i", "j", "re", "im").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("track", "layer").parquet(path)
+
+
+def scan_weights(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
+    """track, layer, t, i, j, re, im; no rows where nothing was written. The layer filter prunes folders."""
+    schema = f"track string, layer string, {WEIGHTS}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    found = spark.read.schema(f"{WEIGHTS}, track string, layer string").parquet(path).select("track", "layer", "t", "i", "j", "re", "im")
+    return found if layer is None else found.where(F.col("layer") == layer)
+
+
+def final_weights(weights: DataFrame) -> DataFrame:
+    """The last weights of each track and layer."""
+    last = weights.groupBy("track", "layer").agg(F.max("t").alias("t"))
+    return weights.join(last, ["track", "layer", "t"])
+
+
 def rules(spark: SparkSession, text: str) -> DataFrame:
     """seq, source, output, scale of a TOML rule file."""
     return spark.createDataFrame([(k, r.source, r.output, r.scale) for k, r in enumerate(rules_from_toml(text))], "seq int, source string, output string, scale string")

@@ -12,12 +12,10 @@ def osc_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """track, frame, osc, re, im, amp, phase: a long state log.
 
     A track is a label of `embeddings`, its frames are the vectors in order, the first
-    32 components are real and the last 32 imaginary parts. Frames are numbered in
-    a track, so the only shuffle is by track, on the compact rows before they unfold.
+    32 components are real and the last 32 imaginary parts.
     """
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", "vec_id", "embedding")
-    order = Window.partitionBy("label").orderBy("vec_id")
-    frames = vectors.select(F.col("label").cast("long").alias("track"), (F.row_number().over(order) - 1).cast("long").alias("frame"), "embedding")
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").cast("long").alias("track"), "vec_id", "embedding")
+    frames = numbered(vectors, "vec_id")
     parts = F.arrays_zip(F.slice("embedding", 1, N_OSC).alias("re"), F.slice("embedding", N_OSC + 1, N_OSC).alias("im"))
     flat = frames.select("track", "frame", F.posexplode(parts).alias("osc", "z"))
     re, im = F.col("z.re").cast("double"), F.col("z.im").cast("double")
@@ -25,6 +23,21 @@ def osc_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.withColumns({"amp": F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")), "phase": F.atan2("im", "re")})
 
 
+def numbered(rows: DataFrame, order: str, stretch: int = 4096) -> DataFrame:
+    """Adds frame: the row's place in its track by an integer column.
+
+    Rows are numbered in stretches of that column, and a stretch starts where the
+    counts of those before it end, so that no task holds a whole track.
+    """
+    own = F.floor(F.col(order) / stretch)
+    counts = rows.groupBy("track", own.alias("__stretch")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("track").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("track", "__stretch", F.coalesce(before, F.lit(0)).cast("long").alias("__start"))
+    within = F.row_number().over(Window.partitionBy("track", "__stretch").orderBy(order)) - 1
+    placed = rows.withColumn("__stretch", own).withColumn("__within", within).join(starts, ["track", "__stretch"])
+    return placed.withColumn("frame", (F.col("__start") + F.col("__within")).cast("long")).drop("__stretch", "__start", "__within")
+
+
 def with_bank(state: DataFrame) -> DataFrame:
     """Adds the natural frequencies, which are closed forms of osc and need no join."""
     return state.withColumns({"pitch_f": pitch_frequency(F.col("osc")), "rhythm_f": rhythm_frequency(F.col("osc"))})
@@ -45,8 +58,9 @@ def hourly_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def onset_drive(signal: DataFrame) -> DataFrame:
     """n, drive: rises of the summed envelope, scaled by the largest."""
     total = signal.groupBy("n").agg(F.sum("env").alias("env"))
-    rise = F.greatest(F.lit(0.0), F.col("env") - F.lag("env", 1).over(Window.orderBy("n")))
-    rises = total.select("n", F.coalesce(rise, F.lit(0.0)).alias("rise"))
+    before = total.select((F.col("n") + 1).alias("n"), F.col("env").alias("__before"))
+    rise = F.when(F.col("__before").isNotNull(), F.greatest(F.lit(0.0), F.col("env") - F.col("__before")))
+    rises = total.join(before, "n", "left").select("n", F.coalesce(rise, F.lit(0.0)).alias("rise"))
     peak = rises.agg(F.max("rise").alias("peak"))
     return rises.crossJoin(F.broadcast(peak)).select("n", (F.col("rise") / (F.col("peak") + 1e-9)).alias("drive"))
 

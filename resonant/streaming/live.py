@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from resonant.operators import rollups
 from resonant.operators.messages import route
+from resonant.operators.rhythm import next_peak
 from resonant.operators.voices import VOICES, Tracker, Voice, voice_rows, window_voices
 from resonant.plans.config import BankConfig, VoiceConfig
 from resonant.operators.dynamics import Bank
@@ -48,18 +50,25 @@ def route_stream(messages: DataFrame, rules: DataFrame) -> DataFrame:
     return route(messages, rules)
 
 
-def assemble(fields: DataFrame) -> DataFrame:
-    """track, frame and its fields, once all five of a snapshot came; fields(track, frame, field, value)."""
+def assemble(fields: DataFrame, late: str = "10 seconds") -> DataFrame:
+    """track, frame, ts and its fields, if all five of a snapshot came; fields(track, frame, ts, field, value).
+
+    The fields of a snapshot share its time. Snapshots wait for their fields until the
+    watermark passes them, then whole ones come out and the others are forgotten.
+    """
     need = ["amp", "phase", "phantom", "drive", "residual"]
     picked = [F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in need]
-    whole = fields.groupBy("track", "frame").agg(*picked, F.countDistinct("field").alias("__n"))
+    came = sum((F.coalesce(F.max(F.when(F.col("field") == f, 1)), F.lit(0)) for f in need), F.lit(0))
+    whole = fields.withWatermark("ts", late).groupBy("track", "frame", "ts").agg(*picked, came.alias("__n"))
     return whole.where(F.col("__n") == len(need)).drop("__n")
 
 
 def live_bank(chunks: DataFrame, f: list[float], config: BankConfig) -> DataFrame:
-    """track, n, osc, re, im after each chunk of chunks(track, first, x): the bank's state goes on from chunk to chunk.
+    """track, n, osc, re, im after the chunks of a micro-batch of chunks(track, first, x).
 
-    Chunks of a track are taken in the order of their first sample, whatever batch brings them together.
+    All of the bank goes on from chunk to chunk: state, weights, delay ring, noise and
+    counts, so that chunks give what one run over all samples gives. Chunks of a track
+    are taken in the order of their first sample within a micro-batch.
     """
     ship(chunks.sparkSession)
 
@@ -67,17 +76,17 @@ def live_bank(chunks: DataFrame, f: list[float], config: BankConfig) -> DataFram
         bank = Bank(np.array(f), config)
         done = 0
         if state.exists:
-            done, re, im = state.get
-            bank.z = np.array(re) + 1j * np.array(im)
+            done, saved = state.get
+            bank.restore(bytes(saved))
         rows = pd.concat(list(parts)).sort_values("first")
         for first, x in zip(rows["first"], rows["x"]):
             for value in x:
                 bank.step(np.full(len(f), value))
             done = int(first) + len(x)
-        state.update((done, bank.z.real.tolist(), bank.z.imag.tolist()))
+        state.update((done, bank.saved()))
         yield pd.DataFrame({"track": key[0], "n": done, "osc": np.arange(len(f), dtype=np.int32), "re": bank.z.real, "im": bank.z.imag})
 
-    return chunks.groupBy("track").applyInPandasWithState(run, "track long, n long, osc int, re double, im double", "done long, re array<double>, im array<double>", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("track").applyInPandasWithState(run, "track long, n long, osc int, re double, im double", "done long, bank binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def live_voices(frames: DataFrame, depth: int, least: int = 8, config: VoiceConfig = VoiceConfig()) -> DataFrame:
@@ -105,6 +114,64 @@ def live_voices(frames: DataFrame, depth: int, least: int = 8, config: VoiceConf
     return frames.groupBy("track").applyInPandasWithState(run, VOICES, kept, "append", GroupStateTimeout.NoTimeout)
 
 
+def live_peaks(frames: DataFrame, keep: float = 0.8) -> DataFrame:
+    """track, frame, peak of frames(track, frame, amp array): the rhythm bank's peak, kept from batch to batch as peak_hysteresis keeps it."""
+    ship(frames.sparkSession)
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else -1
+        rows = pd.concat(list(parts)).sort_values("frame")
+        peaks = []
+        for amp in rows["amp"]:
+            last = next_peak(np.asarray(amp, float), last, keep)
+            peaks.append(last)
+        state.update((int(last),))
+        yield pd.DataFrame({"track": key[0], "frame": rows["frame"].to_numpy(), "peak": np.array(peaks, np.int32)})
+
+    return frames.select("track", "frame", "amp").groupBy("track").applyInPandasWithState(run, "track long, frame long, peak int", "peak int", "append", GroupStateTimeout.NoTimeout)
+
+
+def tick_features(frames: DataFrame, share: float = 0.1) -> DataFrame:
+    """track, frame and the key, chord, tempo and consonance of each frame of frames(track, frame, amp array).
+
+    The extractors are the batch ones, over windows of one frame.
+    """
+    spark, keys = frames.sparkSession, ["track", "frame"]
+    amps = frames.select(*keys, F.posexplode("amp").alias("osc", "amp"))
+    chroma = rollups.chroma(amps, keys)
+    key = rollups.detect_key(spark, chroma, keys).withColumnRenamed("confidence", "key_confidence")
+    chord = rollups.detect_chord(spark, chroma, keys).select(*keys, F.col("name").alias("chord"), F.col("confidence").alias("chord_confidence"))
+    tempo = rollups.tempo(amps, keys).withColumnRenamed("confidence", "tempo_confidence")
+    return key.join(chord, keys).join(tempo, keys).join(rollups.consonance(amps, keys, share), keys)
+
+
+def each_tick(frames: DataFrame, path: str, checkpoint: str, share: float = 0.1) -> None:
+    """Write tick_features of what a stream brings to a folder for each micro-batch; a batch that comes again replaces its own."""
+
+    def snapshot(batch: DataFrame, number: int) -> None:
+        tick_features(batch, share).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    frames.writeStream.foreachBatch(snapshot).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def replay(frames: DataFrame, folder: str, batches: int = 4, share: float = 0.1) -> DataFrame:
+    """track, frame, the features of tick_features, and peak: frames(track, frame, amp array) once more as a stream.
+
+    The frames arrive in `batches` stretches of time, each of which the two streams take
+    as a micro-batch; what they carry over lies in their checkpoints.
+    """
+    spark = frames.sparkSession
+    last = frames.agg(F.max("frame")).first()[0]
+    width = ((0 if last is None else last) + batches) // batches
+    for k in range(batches):
+        frames.where(F.floor(F.col("frame") / width) == k).write.mode("append").parquet(f"{folder}/frames")
+        stream = spark.readStream.schema("track long, frame long, amp array<double>").parquet(f"{folder}/frames")
+        each_tick(stream, f"{folder}/features", f"{folder}/features-state", share)
+        peaks = live_peaks(stream).writeStream.format("parquet").option("path", f"{folder}/peaks").option("checkpointLocation", f"{folder}/peaks-state")
+        peaks.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/features").drop("batch").join(spark.read.parquet(f"{folder}/peaks"), ["track", "frame"])
+
+
 def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there into a table in memory: for tests and small replays."""
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
