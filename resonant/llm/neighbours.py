@@ -2,35 +2,40 @@
 
 Index. Vectors that are identical are one node. An edge leads to a node with a large
 inner product, whatever the lengths; for the graph, components are stored as bytes,
-so that what moves between machines is small. The first neighbours come from random
-hyperplanes: sorted by the signs, near vectors lie in the same short window. NN-descent then
-joins the edges of the graph with themselves: the neighbours, and sampled reverse
-neighbours, of each node are compared with each other, and each keeps its best.
+so that what moves between machines is small. A few orders by the signs of random
+hyperplanes give each node some first neighbours out of short windows, a fixed number
+of comparisons whatever the table's size. NN-descent then joins the edges of the graph
+with themselves: the neighbours, and sampled reverse neighbours, of each node are
+compared with each other, each offers its best to the others, and each keeps its best.
+Rounds go on until few edges change.
 
 Search. A query starts at its own node, looks at the neighbours of its best nodes
 that it has not looked at, and ends when its best `beam` nodes hold no such node.
 The best are then measured in double precision on the original vectors.
 
-The windows, the reverse sample and the beam bound the work per vector whatever the
-table's size or its distribution; recall is measured in the tests against brute
-force. All rows are indexed.
+What a node keeps, offers and samples bounds the work per vector and round, whatever
+the table's size or its distribution: the result is approximate, and recall is
+measured in the tests against brute force. All rows are indexed.
 
 Defined cases
     null, empty or zero vectors, null or non-finite components    take no part
-    vectors whose length is not the most common one               take no part
-    null vec_id                                                   takes no part
+    vectors of different numbers of components                    are not compared: each number has an index of its own
+    very long vectors                                             held whole, a window of them in one task
+    null vec_id                                                   a candidate, after all others in ties; no query
     repeated vec_ids                                              each row is a candidate of its own
     identical vectors                                             found together, ties to smaller vec_id
     fewer candidates than asked for                               all that are reached
     empty table                                                   empty result
-    extra columns                                                 not read
+    extra columns, also of the index's own names                  not read
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,26 +51,22 @@ from resonant.session import ship
 class NeighbourConfig:
     degree: int = 56  # neighbours of a node in the graph
     reverse: int = 16  # reverse neighbours that a comparison takes, on average
-    orders: int = 20  # hyperplane orders for the first neighbours
-    window: int = 448  # vectors compared in a window of such an order
-    window_best: int = 12
-    rounds: int = 5
+    offers: int = 16  # nodes that a comparison offers to each of its nodes
+    orders: int = 6  # hyperplane orders for the first neighbours
+    window: int = 32  # vectors compared in a window of such an order
+    window_best: int = 10
     settled: float = 0.02  # share of new edges at which the rounds end
     beam: int = 48
     reach: int = 28  # neighbours that the search looks at from a node
-    search_rounds: int = 16
     seed: int = 3
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """uid, vec_id, embedding of the vectors that take part."""
+    """uid, vec_id, embedding, width of the vectors that take part."""
     e = F.col("embedding")
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    whole = F.col("vec_id").isNotNull() & e.isNotNull() & (F.size(e) > 0)
-    rows = vectors.select("vec_id", "embedding").where(whole).where(finite).where(F.exists(e, lambda x: x != 0))
-    rows = written(rows.select(F.monotonically_increasing_id().alias("uid"), "vec_id", "embedding"), "ann-rows")
-    sizes = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("embedding") == (sizes["n"] if sizes else 0))
+    rows = vectors.select("vec_id", "embedding").where(e.isNotNull() & (F.size(e) > 0)).where(finite).where(F.exists(e, lambda x: x != 0))
+    return written(rows.select(F.monotonically_increasing_id().alias("uid"), "vec_id", "embedding", F.size("embedding").alias("width")), "ann-rows")
 
 
 def inner(a: Column, b: Column) -> Column:
@@ -156,9 +157,16 @@ class Graph:
 
 
 def build(vectors: DataFrame, config: NeighbourConfig = NeighbourConfig()) -> Graph:
-    """The neighbour graph of all usable vectors."""
-    spark = ship(vectors.sparkSession)
-    rows = usable(vectors)
+    """The neighbour graph of vectors with the same number of components."""
+    return _graph(usable(vectors), config)
+
+
+def _graph(rows: DataFrame, config: NeighbourConfig) -> Graph:
+    spark = ship(rows.sparkSession)
+    widths = rows.agg(F.min("width"), F.max("width")).first()
+    if widths[0] != widths[1]:
+        raise ValueError(f"vectors of {widths[0]} to {widths[1]} components: use nearest()")
+    rows = rows.drop("width")
     same = [F.xxhash64("embedding").alias("__k1"), F.xxhash64(F.reverse("embedding"), F.lit(config.seed)).alias("__k2")]
     keyed = rows.select("uid", *same)
     groups = keyed.groupBy("__k1", "__k2").agg(F.min("uid").alias("node"))
@@ -176,7 +184,7 @@ def build(vectors: DataFrame, config: NeighbourConfig = NeighbourConfig()) -> Gr
 
     nodes = written(single.select("node", "embedding").mapInArrow(shrink, "node long, bytes binary, scale float"), "ann-nodes")
     near = written(_first_neighbours(nodes, n, width, config), "ann-near")
-    for turn in range(config.rounds):
+    for turn in itertools.count():
         better = _descend(nodes, near, turn, width, config)
         merged = written(_merge(near, better, config.degree), "ann-near")
         discard(near)
@@ -257,16 +265,18 @@ def _merge(near: DataFrame, better: DataFrame, degree: int) -> DataFrame:
 
 def _descend(nodes: DataFrame, near: DataFrame, turn: int, width: int, config: NeighbourConfig) -> DataFrame:
     """One round: what the neighbours of each node find among each other."""
+    # joins by a node that is near to many have plain tables on both sides, so that such a node can be split
     edges = near.select(F.col("node").alias("a"), F.explode(F.arrays_zip("near", "fresh")).alias("e")).select("a", F.col("e.near").alias("b"), F.col("e.fresh").alias("fresh"))
-    degrees = edges.groupBy("b").agg(F.count("*").alias("n"))
+    degrees = written(edges.groupBy("b").agg(F.count("*").alias("n")), "ann-degrees")
     draw = F.pmod(F.xxhash64(F.lit(config.seed + turn), "a", "b"), F.col("n")) < config.reverse
     back = edges.join(degrees, "b").where(draw).select(F.col("b").alias("pivot"), F.col("a").alias("node"), "fresh")
     members = edges.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "fresh").unionByName(back)
     last = near.select("node", F.when(F.size("near") >= config.degree, F.array_min("sim")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
-    known = nodes.join(last, "node")
+    known = written(nodes.join(last, "node"), "ann-known")
     dealt = members.join(known, "node").select("pivot", "node", "fresh", "bytes", "scale", "worst").repartition("pivot").sortWithinPartitions("pivot")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each node of a pivot's gets the best of the others that would be new to it, if the pair has a fresh edge."""
         best = Best(config.degree)
         for batch, starts in whole_groups(batches, 1):
             node, fresh = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
@@ -278,7 +288,12 @@ def _descend(nodes: DataFrame, near: DataFrame, turn: int, width: int, config: N
                 if not new.any():
                     continue
                 sim = x[i:j] @ x[i:j].T
-                a, b = np.nonzero((sim > worst[i:j, None]) & (new[:, None] | new[None, :]))
+                sim[(sim <= worst[i:j, None]) | ~(new[:, None] | new[None, :]) | (node[i:j, None] == node[None, i:j])] = -np.inf
+                most = min(config.offers, j - i)
+                top = np.argpartition(-sim, most - 1, axis=1)[:, :most]
+                a, b = np.repeat(np.arange(j - i), most), top.ravel()
+                some = sim[a, b] > -np.inf
+                a, b = a[some], b[some]
                 found.append((node[i + a], node[i + b], sim[a, b]))
             if found:
                 best.add(*(np.concatenate(f) for f in zip(*found)))
@@ -325,11 +340,11 @@ def search(graph: Graph, wanted: Column, k: int = 20, config: NeighbourConfig =
             arrays = [*chosen.columns[:4], pa.array(out["ids"], pa.list_(pa.int64())), pa.array(out["sims"], pa.list_(pa.float32())), pa.array(out["seen"], pa.list_(pa.bool_()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["q", "kind", "bytes", "scale", "ids", "sims", "seen"])
 
-    for _ in range(config.search_rounds):
+    while True:
         fresh = F.filter(F.arrays_zip("ids", "seen"), lambda e: ~e["seen"])
         front = pool.select("q", F.explode(F.transform(fresh, lambda e: e["ids"])).alias("id"))
-        met = front.join(steps, "id").select("q", F.explode("next").alias("node")).distinct()
-        met = met.join(graph.nodes, "node").select("q", F.lit(1).alias("kind"), "bytes", "scale", F.array("node").alias("ids"), F.lit(None).cast("array<float>").alias("sims"), F.lit(None).cast("array<boolean>").alias("seen"))
+        met = front.hint("merge").join(steps, "id").select("q", F.explode("next").alias("node")).distinct()
+        met = met.hint("merge").join(graph.nodes, "node").select("q", F.lit(1).alias("kind"), "bytes", "scale", F.array("node").alias("ids"), F.lit(None).cast("array<float>").alias("sims"), F.lit(None).cast("array<boolean>").alias("seen"))
         dealt = pool.unionByName(met).repartition("q").sortWithinPartitions("q")
         moved = written(dealt.mapInArrow(advance, schema), "ann-pool")
         discard(pool)
@@ -342,7 +357,7 @@ def search(graph: Graph, wanted: Column, k: int = 20, config: NeighbourConfig =
     copies = graph.rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
     salted = graph.rows.join(copies, "node").select("uid", "vec_id", "node", F.pmod(F.xxhash64("uid"), F.lit(64)).alias("salt"))
     for keys in (["node", "salt"], ["node"]):
-        first = F.row_number().over(Window.partitionBy(*keys).orderBy("vec_id", "uid"))
+        first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last("vec_id"), "uid"))
         salted = salted.withColumn("__place", first).where(F.col("__place") <= k + 1).drop("__place")
     alone = graph.rows.join(copies, "node", "left_anti").select("uid", "vec_id", "node")
     rows = alone.unionByName(salted.select("uid", "vec_id", "node"))
@@ -351,11 +366,19 @@ def search(graph: Graph, wanted: Column, k: int = 20, config: NeighbourConfig =
     pairs = queries.withColumnRenamed("node", "q_node").join(found, "q_node")
     scored = pairs.select("q_uid", "query_id", "node", inner(F.col("q_embedding"), F.col("embedding")).alias("score"))
     scored = scored.join(rows, "node").where("uid <> q_uid")
-    order = Window.partitionBy("q_uid").orderBy(F.desc("score"), "vec_id", "uid")
+    order = Window.partitionBy("q_uid").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "uid")
     scored = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return scored.select("query_id", "rank", "vec_id", "score")
 
 
+def nearest(vectors: DataFrame, wanted: Column, k: int = 20, config: NeighbourConfig = NeighbourConfig()) -> DataFrame:
+    """search() over an index for each number of components: as many indexes as the vectors have different lengths."""
+    rows = usable(vectors)
+    widths = [r["width"] for r in rows.select("width").distinct().orderBy("width").collect()]
+    found = [search(_graph(rows.where(F.col("width") == w), config), wanted, k, config) for w in widths]
+    none = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, found) if found else none
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = build(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    return search(graph, F.col("vec_id") % 20 == 0)
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
