@@ -77,8 +77,8 @@ def word_features(word: str, config: ToxicityConfig) -> tuple[int, ...]:
 
 
 def repeated(term: int, times: int, config: ToxicityConfig) -> int:
-    """The term for `times` words with the same term."""
-    return zlib.crc32(b"%d*%d" % (times, term)) & ((1 << config.bits) - 1)
+    """The term for `times` words with the same term; applied twice it gives the term again."""
+    return (term ^ (times - 1) * 0x2545F491) & ((1 << config.bits) - 1)
 
 
 def features(text: str | None, config: ToxicityConfig) -> np.ndarray:
@@ -251,20 +251,11 @@ class Scorer:
     def __init__(self, machine: Machine | None, config: ToxicityConfig, most_kept: int = 150_000):
         self.machine, self.config, self.most_kept = machine, config, most_kept
         self.place = {int(h): k for k, h in enumerate(machine.ids)} if machine else {}
-        self.known: dict[str, tuple[int, ...]] = {}  # terms that matter, on their own or repeated
-        self.levels: dict[int, tuple[int, ...]] = {}  # the places of such a term, once, twice, ...; -1 where it is not learned
-
-    def _terms(self, word: str) -> tuple[int, ...]:
-        out = []
-        for h in word_features(word, self.config):
-            if h not in self.levels:
-                terms = [h, *(repeated(h, k, self.config) for k in range(2, self.config.repeats + 1))]
-                places = tuple(self.place.get(t, -1) for t in terms)
-                if max(places) < 0:
-                    continue
-                self.levels[h] = places
-            out.append(h)
-        return tuple(out)
+        self.known: dict[str, tuple[int, ...]] = {}
+        # of each term that is learned, alone or repeated: its places once, twice, ...; -1 where it is not
+        levels = range(1, config.repeats + 1)
+        bases = {repeated(h, k, config) for h in self.place for k in levels}
+        self.levels = {h: tuple(self.place.get(repeated(h, k, config), -1) for k in levels) for h in bases}
 
     def score(self, text: str | None) -> float:
         if self.machine is None:
@@ -276,7 +267,7 @@ class Scorer:
             if terms is None:
                 if len(known) >= self.most_kept:
                     known.clear()
-                terms = known[w] = self._terms(w)
+                terms = known[w] = tuple(h for h in word_features(w, self.config) if h in self.levels)
             for h in terms:
                 counts[h] = counts.get(h, 0) + 1
         found = {p for h, n in counts.items() for p in self.levels[h][:n] if p >= 0}
