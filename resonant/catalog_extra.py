@@ -191,13 +191,58 @@ def trigger_report(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(reports.trigger_report(voices.coverage(v, t, 250.0), voices.phantom_voices(v, t, 250.0), v))
 
 
-@query(f"WITH {VOICE_FRAMES}, late AS (SELECT DISTINCT track, voice FROM vf WHERE frame > (SELECT max(frame) / 2 FROM vf)) SELECT DISTINCT track, voice FROM vf EXCEPT SELECT track, voice FROM late")
+@query(f"WITH {VOICE_FRAMES} SELECT DISTINCT track, voice FROM vf EXCEPT SELECT track, voice FROM vf WHERE frame = (SELECT max(frame) FROM vf)")
 def missing_voices(spark: SparkSession, sf: str) -> DataFrame:
-    """The voices that the second half does not contain."""
+    """The voices that the last frame does not contain."""
     v = views.voice_frames(spark, sf)
-    half = v.agg((F.max("frame") / 2).alias("half"))
-    late = v.join(F.broadcast(half), F.col("frame") > F.col("half"))
-    return reports.missing(v.select("track", "voice"), late.select("track", "voice"))
+    last = v.groupBy("track").agg(F.max("frame").alias("frame"))
+    return reports.missing(v.select("track", "voice"), v.join(last, ["track", "frame"]).select("track", "voice"))
+
+
+def _colour_sql(p: int, i: int, f: int) -> str:
+    on, share = "CASE WHEN amp > 0.15e0 AND abs(re) < 0.05e0 THEN 0.85e0 ELSE 0e0 END", "least(1e0, greatest(abs(re) - 0.1e0 * amp, 0e0) / 0.3e0)"
+    return f"{f / 255!r}e0 * {share} + ({i / 255!r}e0 * {on} + {p / 255!r}e0 * (1 - {on})) * (1 - {share})"
+
+
+@query(f"WITH {STATE} SELECT track, frame, osc, {r(_colour_sql(0xF0, 0x80, 0xE0))} AS r, {r(_colour_sql(0xE8, 0x20, 0x40))} AS g, {r(_colour_sql(0xD0, 0x10, 0x30))} AS b FROM st")
+def strip_colours(spark: SparkSession, sf: str) -> DataFrame:
+    s = views.osc_state(spark, sf)
+    on = dynamics.phantom(F.col("amp"), F.abs("re"), 0.15, 0.05)
+    cell = dynamics.blended(on, F.abs("re") - 0.1 * F.col("amp"), 0.3, "#F0E8D0", "#802010", "#E04030")
+    return rounded(s.select("track", "frame", "osc", cell.alias("c")).select("track", "frame", "osc", "c.*"))
+
+
+_EXTRACTORS = extractors_sql("track", 0.9).replace("act AS", "xact AS").replace("FROM act t JOIN act p", "FROM xact t JOIN xact p").replace("near AS", "xnear AS").replace("FROM near WHERE", "FROM xnear WHERE")
+
+
+def _list_sql(value: str) -> str:
+    return f"coalesce(string_agg({value}, '+' ORDER BY v.cluster), '-')"
+
+
+@query(f"""WITH RECURSIVE {MATCHES}, amps AS (SELECT track, osc, pf, rf, avg(amp) AS amp FROM st GROUP BY ALL), {_EXTRACTORS},
+{values("cratios", "seq, p, q", [(k, p, q) for k, (p, q) in enumerate(dims.COMPANION_RATIOS)])},
+pk AS (SELECT track, arg_max(osc, ROW({BIASED}, -osc)) AS peak, max(amp) AS top FROM amps GROUP BY track),
+aim AS (SELECT *, 0.5e0 * pow(20e0, peak / 31e0) * p / q AS aim FROM pk, cratios),
+cnear AS (SELECT track, seq, p, q, peak, top, arg_min(o, ROW(abs(0.5e0 * pow(20e0, o / 31e0) - aim), o)) AS osc FROM aim, range(32) t(o) WHERE aim BETWEEN 0.5e0 AND 10e0 GROUP BY ALL),
+ok AS (SELECT n.* FROM cnear n JOIN amps a ON a.track = n.track AND a.osc = n.osc WHERE n.osc <> n.peak AND a.amp >= 0.3e0 * n.top),
+cm AS (SELECT k.track, k.seq, count(*) AS n, {plv_sql("k.p * b.phase - k.q * a.phase")} AS plv FROM ok k JOIN st a ON a.track = k.track AND a.osc = k.osc JOIN st b ON b.track = k.track AND b.osc = k.peak AND b.frame = a.frame GROUP BY ALL),
+cc AS (SELECT track, count(*) AS n FROM cm WHERE n >= 4 AND plv >= 0.1e0 GROUP BY track),
+v AS (SELECT m.track, m.cluster, a.bpm AS rb, b.bpm AS mb FROM (SELECT DISTINCT track, cluster FROM members) m LEFT JOIN rhythm a USING (track, cluster) LEFT JOIN motor b USING (track, cluster)),
+vl AS (SELECT track, CAST(count(*) AS VARCHAR) AS n_voices, {_list_sql("CAST(cluster AS VARCHAR)")} AS voice_ids, {_list_sql("coalesce(printf('%.0f', rb), '?')")} AS rhythm_bpms, {_list_sql("coalesce(printf('%.0f', mb), '?')")} AS motor_bpms FROM v GROUP BY track)
+SELECT k.track, '0.500' AS t, k.tonic, k.mode, c.chord, printf('%.3f', 60 * 0.5e0 * pow(20e0, peak / 31e0)) AS bpm, printf('%.4f', l.phase) AS peak_phase, printf('%.4f', 0.5e0 * pow(20e0, peak / 31e0)) AS peak_freq,
+CAST(coalesce(cc.n, 0) AS VARCHAR) AS n_companions, printf('%.4f', s.consonance) AS consonance, n_voices, voice_ids, rhythm_bpms AS voice_rhythm_bpms, motor_bpms AS voice_motor_bpms
+FROM key_ k JOIN chord_ c USING (track) JOIN cons_ s USING (track) JOIN pk USING (track) JOIN lastp l ON l.track = k.track AND l.osc = pk.peak JOIN vl ON vl.track = k.track LEFT JOIN cc ON cc.track = k.track""")
+def feature_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole line of the feature export, over each track as one window."""
+    s = views.osc_state(spark, sf)
+    amps = rollups.mean_amp(s, TRACK)
+    chroma = rollups.chroma(amps, TRACK)
+    peaks, found = rhythm.structure(spark, s, TRACK, least_plv=0.1)
+    features = rollups.detect_key(spark, chroma, TRACK).select("track", "tonic", "mode").join(rollups.detect_chord(spark, chroma, TRACK).select("track", F.col("name").alias("chord")), "track")
+    features = features.join(peaks.select("track", "bpm", F.col("phase").alias("peak_phase"), F.col("f").alias("peak_freq")), "track").join(rollups.consonance(amps, TRACK, 0.9), "track")
+    features = features.join(found.groupBy("track").agg(F.count("*").alias("n_companions")), "track", "left").fillna(0, ["n_companions"]).withColumn("t", F.lit(0.5))
+    listed = _voice_banks(spark, sf).select("track", F.col("cluster").cast("long").alias("voice"), F.col("rhythm.bpm").alias("rhythm_bpm"), F.col("motor.bpm").alias("motor_bpm"))
+    return messages.feature_lines(features, listed, TRACK)
 
 
 # --- MIDI, forwarding, control changes -------------------------------------------------------

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a side that may go to every task.
+SMALL = 100_000
+
 
 def tidy(x: Column, digits: int = 6) -> Column:
     """Rounded, and without negative zero."""
@@ -27,6 +30,17 @@ def first_of_largest(value: Column, order: Column) -> Column:
     return F.max_by(order, F.struct(value, -order))
 
 
+def to_every_task(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df marked for broadcast if it has few rows; beyond that, Spark chooses the join.
+
+    For tables that a caller gives. Streams are not counted, and tables of constants
+    need no check.
+    """
+    if df.isStreaming or df.limit(most + 1).count() > most:
+        return df
+    return F.broadcast(df)
+
+
 # complex numbers as struct<re, im>
 
 

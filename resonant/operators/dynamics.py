@@ -96,6 +96,18 @@ def phantom(amp: Column, drive: Column, least_amp: float = 0.1, most_drive: floa
     return (amp > least_amp) & (drive < most_drive)
 
 
+def blended(phantom: Column, surprise: Column, most: float, paper: str, ink: str, flash: str, cover: float = 0.85) -> Column:
+    """struct<r, g, b> of a strip's cell: ink over the paper where it resonates undriven, then the flash as strong as the positive surprise.
+
+    Colours are six hexadecimal digits.
+    """
+    rgb = lambda s: [int(s.lstrip("#")[k : k + 2], 16) / 255 for k in (0, 2, 4)]
+    on = phantom.cast("double") * cover
+    share = F.least(F.lit(1.0), F.greatest(surprise, F.lit(0.0)) / max(most, 1e-9))
+    parts = [(f * share + (i * on + p * (1 - on)) * (1 - share)).alias(c) for c, p, i, f in zip("rgb", rgb(paper), rgb(ink), rgb(flash))]
+    return F.struct(*parts)
+
+
 def residual(drive: Column, amp: Column, p: OscillatorParams) -> Column:
     """What the drive is beyond what holds the amplitude against damping."""
     return F.abs(drive * p.input_gain) - abs(p.alpha) * amp

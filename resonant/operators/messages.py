@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from resonant.functions.common import to_every_task
 from resonant.functions.routing import address_matches, control_value, output_channel, output_kind, scaled
 
 
@@ -60,9 +61,9 @@ def voice_messages(voices: DataFrame) -> DataFrame:
 def route(messages: DataFrame, rules: DataFrame) -> DataFrame:
     """seq, address, kind, channel, value of messages(seq, address, arg) that a rule takes.
 
-    The rules are a short table and go to every task; messages do not move.
+    A short table of rules goes to every task, and messages do not move.
     """
-    met = messages.join(F.broadcast(rules.select("source", "output", "scale")), address_matches(F.col("source"), F.col("address")))
+    met = messages.join(to_every_task(rules.select("source", "output", "scale")), address_matches(F.col("source"), F.col("address")))
     out = met.select("seq", "address", output_kind(F.col("output")).alias("kind"), output_channel(F.col("output")).alias("channel"), F.col("output"), scaled(F.col("scale"), F.col("arg")).alias("value"))
     return out.where("value IS NOT NULL AND (channel IS NOT NULL OR output = 'midi/clock')").drop("output")
 
@@ -100,7 +101,7 @@ def chord_notes(chords: DataFrame, keys: list[str], channel: int = 0, base: int
 
 def forward(messages: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Every message to every endpoint, each endpoint once; endpoints are few."""
-    return messages.crossJoin(F.broadcast(distinct_endpoints(endpoints)))
+    return messages.crossJoin(to_every_task(distinct_endpoints(endpoints)))
 
 
 def distinct_endpoints(endpoints: DataFrame) -> DataFrame:
@@ -126,6 +127,26 @@ def feature_rows(features: DataFrame) -> DataFrame:
     return features.select("track", F.format_string("%.2f", "t").alias("t"), "tonic", "mode", "chord", F.when(F.col("bpm").isNotNull(), F.format_string("%.0f", "bpm")).otherwise("?").alias("bpm"), ids.alias("voices"))
 
 
+def feature_lines(features: DataFrame, voices: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the columns of a feature export as text.
+
+    features(keys, t, tonic, mode, chord, bpm, peak_phase, peak_freq, n_companions,
+    consonance), voices(keys, voice, rhythm_bpm, motor_bpm). Lists are joined by + in the
+    order of the voices, - if there are none, ? for a voice without a tempo.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("voice", "rhythm_bpm", "motor_bpm")))
+    rows = features.join(voices.groupBy(*keys).agg(listed.alias("__v")), keys, "left")
+    rows = rows.withColumn("__v", F.coalesce("__v", F.array().cast("array<struct<voice:long,rhythm_bpm:double,motor_bpm:double>>")))
+    joined = lambda f: F.when(F.size("__v") > 0, F.array_join(F.transform("__v", f), "+")).otherwise("-")
+    tempo = lambda c: lambda v: F.when(v[c] > 0, F.format_string("%.0f", v[c])).otherwise("?")
+    numbers = [F.format_string(f, c).alias(c) for c, f in (("bpm", "%.3f"), ("peak_phase", "%.4f"), ("peak_freq", "%.4f"))]
+    return rows.select(
+        *keys, F.format_string("%.3f", "t").alias("t"), "tonic", "mode", "chord", *numbers, F.col("n_companions").cast("string").alias("n_companions"),
+        F.format_string("%.4f", "consonance").alias("consonance"), F.size("__v").cast("string").alias("n_voices"), joined(lambda v: v["voice"].cast("string")).alias("voice_ids"),
+        joined(tempo("rhythm_bpm")).alias("voice_rhythm_bpms"), joined(tempo("motor_bpm")).alias("voice_motor_bpms"),
+    )
+
+
 def gate_voltages(samples: DataFrame, triggers: DataFrame) -> DataFrame:
     """n, gate, pitch: of the last trigger that a sample lies in, 0 outside; triggers(seq, first, last, freq, velocity)."""
     spread = triggers.select("seq", "freq", "velocity", F.explode(F.sequence("first", "last")).alias("n"))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from resonant.functions.common import correlation, vector_length
+from resonant.functions.common import correlation, to_every_task, vector_length
 from resonant.functions.music import is_harmonic
 from resonant.plans.dims import LOCK_RATIOS, pitch_frequency, ratios
 from resonant.session import ship
@@ -84,4 +84,4 @@ def envelope_correlation(state: DataFrame, keys: list[str], boost: float = 0.15,
 def harmonic_pairs(bank: DataFrame, tolerance: float = 0.5) -> DataFrame:
     """i, j of a bank's oscillators near a small-integer ratio."""
     a, b = bank.select(F.col("osc").alias("i"), F.col("f").alias("f_i")), bank.select(F.col("osc").alias("j"), F.col("f").alias("f_j"))
-    return a.join(F.broadcast(b), F.col("i") < F.col("j")).where(is_harmonic(F.col("f_i"), F.col("f_j"), tolerance)).select("i", "j")
+    return a.join(to_every_task(b), F.col("i") < F.col("j")).where(is_harmonic(F.col("f_i"), F.col("f_j"), tolerance)).select("i", "j")

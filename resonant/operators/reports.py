@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from resonant.functions.common import to_every_task
 from resonant.functions.music import cents, harmonic_label
 from resonant.operators.pairs import harmonic_pairs
 from resonant.session import ship
@@ -169,7 +170,7 @@ def trigger_report(coverage: DataFrame, phantoms: DataFrame, voices: DataFrame)
 def guide_pairs(weights: DataFrame, bank: DataFrame, tolerance: float = 0.5) -> DataFrame:
     """track, i, j, magnitude of the pairs i < j of bank(osc, f) near a small-integer ratio."""
     found = weights.where("i < j").select("track", "i", "j", F.hypot("re", "im").alias("magnitude"))
-    return found.join(F.broadcast(harmonic_pairs(bank, tolerance)), ["i", "j"]).select("track", "i", "j", "magnitude")
+    return found.join(to_every_task(harmonic_pairs(bank, tolerance)), ["i", "j"]).select("track", "i", "j", "magnitude")
 
 
 def dominant(voices: DataFrame) -> DataFrame:

@@ -7,14 +7,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from resonant.functions.common import to_every_task
 from resonant.plans.dims import EAR_Q, LEAST_BANDWIDTH
 from resonant.session import ship
 
 
 def gammatone_taps(fc: float, rate: float, order: int = 4) -> np.ndarray:
-    """A finite gammatone response with gain 1 at fc; finite, so it is stable at any fc."""
+    """A finite gammatone response of 15 ms, at least 15 taps, with gain 1 at fc; finite, so it is stable at any fc."""
     width = 1.019 * (LEAST_BANDWIDTH + fc / EAR_Q)
-    t = np.arange(max(16, int(rate * 0.015)) if fc > 400 else max(64, int(rate * 0.06))) / rate
+    t = np.arange(max(15, int(rate * 0.015))) / rate
     h = t ** (order - 1) * np.exp(-2 * np.pi * width * t) * np.cos(2 * np.pi * fc * t)
     gain = abs(np.sum(h * np.exp(-2j * np.pi * fc * t)))
     return h / gain if gain > 0 else h
@@ -46,7 +47,7 @@ def filterbank(signal: DataFrame, channels: list[float], rate: float, envelope:
 
 def fir(signal: DataFrame, taps: DataFrame) -> DataFrame:
     """channel, n, y: a causal FIR filter as a join; signal(channel, n, x), taps(lag, h) few."""
-    met = signal.crossJoin(F.broadcast(taps)).select("channel", (F.col("n") + F.col("lag")).alias("n"), (F.col("h") * F.col("x")).alias("part"))
+    met = signal.crossJoin(to_every_task(taps)).select("channel", (F.col("n") + F.col("lag")).alias("n"), (F.col("h") * F.col("x")).alias("part"))
     sums = met.groupBy("channel", "n").agg(F.sum("part").alias("y"))
     return sums.join(signal.select("channel", "n"), ["channel", "n"], "left_semi")
 
@@ -57,7 +58,7 @@ def channel_weights(channels: DataFrame, bank: DataFrame, sharpness: float = 15.
     An oscillator too far from every channel takes the nearest alone.
     """
     d = F.ln("f") - F.ln("fc")
-    pairs = bank.join(F.broadcast(channels), F.lit(True)).select("osc", "channel", F.exp(-F.pow(d * sharpness, F.lit(2))).alias("g"), F.abs(d).alias("d"))
+    pairs = bank.join(to_every_task(channels), F.lit(True)).select("osc", "channel", F.exp(-F.pow(d * sharpness, F.lit(2))).alias("g"), F.abs(d).alias("d"))
     own = Window.partitionBy("osc")
     pairs = pairs.withColumns({"sum": F.sum("g").over(own), "near": F.row_number().over(own.orderBy("d", "channel"))})
     w = F.when(F.col("sum") < 1e-9, (F.col("near") == 1).cast("double")).otherwise(F.try_divide("g", "sum"))
@@ -66,7 +67,7 @@ def channel_weights(channels: DataFrame, bank: DataFrame, sharpness: float = 15.
 
 def project(signal: DataFrame, weights: DataFrame) -> DataFrame:
     """osc, n, x: what each oscillator hears of signal(channel, n, x)."""
-    met = signal.join(F.broadcast(weights.where("w > 0")), "channel")
+    met = signal.join(to_every_task(weights.where("w > 0")), "channel")
     return met.groupBy("osc", "n").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
 
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from resonant.functions.common import clip, vector_length
+from resonant.functions.common import clip, to_every_task, vector_length
 from resonant.functions.music import log_frequency, semitones_between
 from resonant.operators.pairs import active_oscillators, envelope_correlation
 from resonant.plans.config import VoiceConfig
@@ -116,7 +116,7 @@ def associate(env: DataFrame, bank: DataFrame, keys: list[str], hz: float, low_b
     turn = 2 * np.pi * F.col("f") * (F.col("frame") - F.col("first")) / hz
     x = F.col("env") - F.col("mean")
     power = vector_length(F.avg(x * F.cos(turn)), F.avg(x * F.sin(turn)))
-    spectrum = centred.crossJoin(F.broadcast(band)).groupBy(*keys, "cluster", "osc", "f").agg(power.alias("power"))
+    spectrum = centred.crossJoin(to_every_task(band)).groupBy(*keys, "cluster", "osc", "f").agg(power.alias("power"))
     best = F.max_by(F.struct("osc", "f"), F.struct("power", -F.col("osc")))
     out = spectrum.groupBy(*keys, "cluster").agg(best.alias("b"), F.max("power").alias("top"), F.avg("power").alias("mean")).where("top > 0")
     return out.select(*keys, "cluster", F.col("b.osc").alias("osc"), (F.col("b.f") * 60).alias("bpm"), clip((F.col("top") - F.col("mean")) / F.col("top"), 0.0, 1.0).alias("confidence"))
@@ -258,22 +258,53 @@ def voice_rows(track: int, frame: int, voices: list[Voice]) -> list[tuple]:
     return [(track, frame, v.id, v.active, v.centre, v.amp, v.phase, v.confidence, v.age, v.silent, sorted(v.members)) for v in voices]
 
 
-def track_voices(state: DataFrame, half: int, stride: int, config: VoiceConfig = VoiceConfig()) -> DataFrame:
-    """The voices of each track around every stride-th frame, with identities that persist."""
+FOUND = "track long, at long, members array<array<int>>, numbers array<array<double>>"
+
+
+def found_voices(state: DataFrame, half: int, stride: int, config: VoiceConfig = VoiceConfig(), stretch: int = 64) -> DataFrame:
+    """track, at, members, numbers (centre, amp, phase, confidence): the clusters around every stride-th frame, without identities.
+
+    A track is cut into stretches of so many frames; a frame goes to each stretch that
+    has a window with it, so that windows of one track are clustered in many tasks.
+    """
     ship(state.sparkSession)
     f = 110.0 * 2 ** (np.arange(N_OSC) / 12)
+    gathered = F.array_sort(F.collect_list(F.struct("osc", "amp", "phase")))
+    rows = state.groupBy("track", "frame").agg(gathered.alias("r"))
+    of = lambda c: F.transform("r", lambda x: x[c])
+    frame = F.col("frame")
+    spread = F.sequence(F.floor(F.greatest(frame - half, F.lit(0)) / stretch), F.floor((frame + half) / stretch))
+    spread = rows.select("track", "frame", of("amp").alias("amp"), of("phase").alias("phase"), F.explode(spread).alias("part"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame")
+        frames, amp = pdf["frame"].to_numpy(), np.array(pdf["amp"].tolist())
+        out = []
+        first, last = int(key[1]) * stretch, min((int(key[1]) + 1) * stretch - 1, int(frames[-1]))
+        for at in range(-(-first // stride) * stride, last + 1, stride):
+            lo, hi = np.searchsorted(frames, [at - half, at + half + 1])
+            found = window_voices(amp[lo:hi], np.asarray(pdf["phase"].iloc[hi - 1], float), f, config) if hi > lo else []
+            out.append((int(key[0]), at, [sorted(v.members) for v in found], [[v.centre, v.amp, v.phase, v.confidence] for v in found]))
+        return pd.DataFrame(out, columns=["track", "at", "members", "numbers"])
+
+    return spread.groupBy("track", "part").applyInPandas(run, FOUND)
+
+
+def track_voices(state: DataFrame, half: int, stride: int, config: VoiceConfig = VoiceConfig()) -> DataFrame:
+    """The voices of each track around every stride-th frame, with identities that persist.
+
+    Only the tracker sees a track as a whole, and only its clusters.
+    """
     columns = [c.strip().split()[0] for c in VOICES.split(",")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        amp = pdf.pivot(index="frame", columns="osc", values="amp").sort_index().to_numpy()
-        phase = pdf.pivot(index="frame", columns="osc", values="phase").sort_index().to_numpy()
         tracker, rows = Tracker(config), []
-        for at in range(0, len(amp), stride):
-            lo, hi = max(0, at - half), min(len(amp), at + half + 1)
-            rows += voice_rows(int(pdf["track"].iloc[0]), at, tracker.advance(window_voices(amp[lo:hi], phase[hi - 1], f, config)))
+        for at, members, numbers in pdf.sort_values("at")[["at", "members", "numbers"]].itertuples(index=False):
+            found = [Voice(-1, frozenset(int(o) for o in m), *(float(x) for x in n)) for m, n in zip(members, numbers)]
+            rows += voice_rows(int(pdf["track"].iloc[0]), int(at), tracker.advance(found))
         return pd.DataFrame(rows, columns=columns)
 
-    return state.select("track", "frame", "osc", "amp", "phase").groupBy("track").applyInPandas(run, VOICES)
+    return found_voices(state, half, stride, config).groupBy("track").applyInPandas(run, VOICES)
 
 
 # --- reports ---------------------------------------------------------------------------------

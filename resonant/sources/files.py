@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import io
 import math
+import subprocess
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,68 @@ def decode_wav(data: bytes) -> tuple[int, np.ndarray]:
     return rate, x.reshape(-1, channels).mean(axis=1).astype(np.float32)
 
 
+def decode_aiff(data: bytes) -> tuple[int, np.ndarray]:
+    """As decode_wav, of AIFF and uncompressed AIFF-C: chunks of big-endian integers."""
+    if data[:4] != b"FORM" or data[8:12] not in (b"AIFF", b"AIFC"):
+        raise ValueError("no AIFF file")
+    channels = width = rate = 0
+    little, raw, at = False, b"", 12
+    while at + 8 <= len(data):
+        name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "big")
+        part = data[at + 8 : at + 8 + size]
+        if name == b"COMM":
+            channels, width = int.from_bytes(part[:2], "big"), (int.from_bytes(part[6:8], "big") + 7) // 8
+            rate = round(int.from_bytes(part[10:18], "big") * 2.0 ** (int.from_bytes(part[8:10], "big") - 16383 - 63))  # 80-bit float
+            if part[18:22] not in (b"", b"NONE", b"twos", b"sowt"):
+                raise ValueError(f"AIFF-C compression {part[18:22]!r}")
+            little = part[18:22] == b"sowt"
+        elif name == b"SSND":
+            raw = part[8 + int.from_bytes(part[:4], "big") :]
+        at += 8 + size + size % 2
+    return rate, _mono(raw, f"{'<' if little else '>'}i{width}", channels)
+
+
+def decode_au(data: bytes) -> tuple[int, np.ndarray]:
+    """As decode_wav, of AU files with linear integers or floats."""
+    head = [int.from_bytes(data[k : k + 4], "big") for k in range(4, 24, 4)]
+    kinds = {2: ">i1", 3: ">i2", 4: ">i3", 5: ">i4", 6: ">f4", 7: ">f8"}
+    if data[:4] != b".snd" or head[2] not in kinds:
+        raise ValueError("no AU file of linear samples")
+    return head[3], _mono(data[head[0] :], kinds[head[2]], head[4])
+
+
+def decode_raw(data: bytes, rate: int = 16_000, kind: str = "<i2", channels: int = 1) -> tuple[int, np.ndarray]:
+    """Samples without a header, by default 16-bit mono."""
+    return rate, _mono(data, kind, channels)
+
+
+def _mono(raw: bytes, kind: str, channels: int) -> np.ndarray:
+    """The mean of the channels, integers scaled to -1..1."""
+    order, width = kind[0], int(kind[2])
+    raw = raw[: len(raw) // (width * channels) * (width * channels)]
+    if kind[1] == "f":
+        x = np.frombuffer(raw, kind).astype(np.float64)
+    elif width == 3:
+        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)[:, :: -1 if order == ">" else 1]
+        x = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8 >> 8) / float(1 << 23)
+    else:
+        x = np.frombuffer(raw, kind) / float(1 << (8 * width - 1))
+    return x.reshape(-1, channels).mean(axis=1).astype(np.float32)
+
+
+def by_command(command: list[str], rate: int) -> Callable[[bytes], tuple[int, np.ndarray]]:
+    """A decoder that gives a file to a program's standard input and takes 32-bit floats, mono at `rate`, from its output."""
+
+    def decode(data: bytes) -> tuple[int, np.ndarray]:
+        return rate, np.frombuffer(subprocess.run(command, input=data, capture_output=True, check=True).stdout, "<f4")
+
+    return decode
+
+
+#: By suffix; callers add decoders for other formats.
+DECODERS = {"wav": decode_wav, "aiff": decode_aiff, "aif": decode_aiff, "au": decode_au, "snd": decode_au, "raw": decode_raw}
+
+
 def resample(x: np.ndarray, rate: int, wanted: int) -> np.ndarray:
     """Polyphase resampling with a Kaiser-windowed sinc; the length is ceil(n * wanted / rate)."""
     if rate == wanted or not len(x):
@@ -53,20 +116,26 @@ def resample(x: np.ndarray, rate: int, wanted: int) -> np.ndarray:
     return out.astype(np.float32)
 
 
-def scan_wav(spark: SparkSession, path: str, rate: int = 16_000) -> DataFrame:
-    """track, rate, x of the WAV files under path, each decoded where it is read."""
+def scan_audio(spark: SparkSession, path: str, rate: int = 16_000, decoders: dict[str, Callable[[bytes], tuple[int, np.ndarray]]] = DECODERS) -> DataFrame:
+    """track, rate, x of the audio files under path whose suffixes have decoders, each decoded where it is read."""
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own, x = decode_wav(data.as_py())
+                own, x = decoders[name.rpartition(".")[2].lower()](data.as_py())
                 yield pa.RecordBatch.from_pydict({"track": [name.rpartition("/")[2].rpartition(".")[0]], "rate": pa.array([rate], pa.int32()), "x": pa.array([resample(x, own, rate)], pa.list_(pa.float32()))})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path)
+    glob = "*.{" + ",".join(sorted({s for k in decoders for s in (k, k.upper())})) + "}"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(run, SIGNAL)
 
 
+def scan_wav(spark: SparkSession, path: str, rate: int = 16_000) -> DataFrame:
+    """scan_audio of the WAV files alone."""
+    return scan_audio(spark, path, rate, {"wav": decode_wav})
+
+
 def samples(signal: DataFrame) -> DataFrame:
     """track, n, t, x: one row a sample."""
     flat = signal.select("track", "rate", F.posexplode("x").alias("n", "x"))

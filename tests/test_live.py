@@ -115,6 +115,40 @@ def test_wav_is_decoded_and_resampled(spark, tmp_path):
     assert row.track == "tone" and len(y) == 1600 and np.abs(y - want)[100:-100].max() < 0.01
 
 
+def _aiff(x, width, rate, kind=b"AIFF", form=b""):
+    raw = x.astype(">i2" if form != b"sowt" else "<i2").tobytes() if width == 2 else (x.astype(">i4") << 8).tobytes()
+    if width == 3:
+        raw = b"".join(int(v).to_bytes(3, "big", signed=True) for v in x)
+    exponent, mantissa = 16383 + 63, rate
+    while mantissa < 1 << 63:
+        mantissa, exponent = mantissa << 1, exponent - 1
+    comm = (1).to_bytes(2, "big") + len(x).to_bytes(4, "big") + (8 * width).to_bytes(2, "big") + exponent.to_bytes(2, "big") + mantissa.to_bytes(8, "big") + form
+    chunk = lambda name, data: name + len(data).to_bytes(4, "big") + data + b"\0" * (len(data) % 2)
+    body = kind + chunk(b"COMM", comm) + chunk(b"SSND", bytes(8) + raw)
+    return b"FORM" + len(body).to_bytes(4, "big") + body
+
+
+def test_other_formats_are_decoded(spark, tmp_path):
+    x = (np.sin(np.arange(400) / 9) * 20000).astype(int)
+    au = lambda kind, raw, channels: b".snd" + b"".join(v.to_bytes(4, "big") for v in (28, len(raw), kind, 16000, channels)) + bytes(4) + raw
+    given = {
+        "a.aiff": _aiff(x, 2, 16000), "b.aif": _aiff(x, 2, 16000, b"AIFC", b"sowt"), "c.AIFF": _aiff(x * 256, 3, 16000),
+        "d.au": au(3, x.astype(">i2").tobytes(), 1), "e.au": au(6, np.repeat(x / 32768, 2).astype(">f4").tobytes(), 2),
+        "f.raw": x.astype("<i2").tobytes(), "g.xyz": (x / 32768).astype("<f4").tobytes(), "h.txt": b"no audio",
+    }
+    for name, data in given.items():
+        (tmp_path / name).write_bytes(data)
+    decoders = files.DECODERS | {"xyz": files.by_command(["cat"], 16000)}
+    got = {r.track: np.array(r.x) for r in files.scan_audio(spark, str(tmp_path), decoders=decoders).collect()}
+    assert sorted(got) == list("abcdefg")
+    assert all(np.allclose(y, x / 32768, atol=1e-6) for y in got.values())
+    for bad in (b"FORMxxxxWAVE", b"RIFF"):
+        with pytest.raises(ValueError):
+            files.decode_aiff(bad)
+    with pytest.raises(ValueError):
+        files.decode_au(b".snd" + bytes(20))
+
+
 def test_state_log_round_trip(spark, tmp_path):
     log = spark.createDataFrame([("a", 0.5, "pitch", [1.0], [0.0], [1.0], [0.0], [0.1], None, [True]), ("a", 0.1, "rhythm", [1.0], [0.0], [1.0], [0.0], [0.1], [0.2], [False])], "track string, " + files.STATE_LOG)
     files.write_state_log(log, str(tmp_path / "log"))
