@@ -1,6 +1,18 @@
 """Raw documents to packed training sequences: clean, dedup, mix, pack.
 
 Each stage reads what its predecessor wrote, as Parquet in the shared work folder.
+
+Defined cases, in every stage
+    null or empty text    clean, equal to the empty text, in no class of near copies, of
+                          no words for the mix (so it leaves there)
+    null doc_id           never learned from, loses to any other in a group of equal
+                          texts, is the class's row only where it has no other
+    repeated rows         equal texts: one stays
+    very long texts       scored, hashed, shingled, cut and tokenised whole
+    ties                  as each operator has them
+    empty table           an empty table of the stage's columns
+    extra columns         kept, also those named like an operator's own; the last stage
+                          returns pieces
 """
 
 from __future__ import annotations
