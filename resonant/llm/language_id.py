@@ -7,13 +7,16 @@ adding them; a language's prototype bundles the unit vectors of its documents. T
 prototype with the largest cosine is the answer.
 
 Prototypes are learned from a bounded sample: about `per_language` documents of
-each language, chosen by a hash of doc_id. Their number does not grow with the
-table; every document is identified from its whole text.
+each of the `most_languages` lang values with most documents, chosen by a hash of
+doc_id. Their number does not grow with the table, nor with what a dirty lang column
+holds; every document is identified from its whole text.
 
 Defined cases
     null text, no letters     und, score 0
     no labelled documents     und, score 0 for all
-    ties                      the language first by code point
+    very long texts           profiled whole
+    ties                      the language first by code point; of lang values with as
+                              many documents, the first by code point are learned
     null doc_id               identified, never learned from, held_out false
     repeated rows             each gives its own row
     empty table               empty result
@@ -40,6 +43,7 @@ class LanguageConfig:
     dimensions: int = 512
     seed: int = 11
     per_language: int = 2000
+    most_languages: int = 512
     sample_tasks: int = 24
 
 
@@ -126,8 +130,8 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.Re
 def learn(train: DataFrame, config: LanguageConfig = LanguageConfig()) -> dict[str, np.ndarray]:
     """A prototype for each lang of train(doc_id, text, lang); rows with null lang or doc_id are passed over."""
     train = train.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL")
-    share = train.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(config.per_language)) / F.count("*")).alias("share"))
-    shares = {r["lang"]: r["share"] for r in share.collect()}  # one row per language
+    counts = train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(config.most_languages)
+    shares = {r["lang"]: min(1.0, config.per_language / r["n"]) for r in counts.collect()}
     if not shares:
         return {}
     wanted = F.create_map(*[F.lit(x) for kv in sorted(shares.items()) for x in kv])

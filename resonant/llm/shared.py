@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 CHECKPOINT = "spark.checkpoint.dir"
 _SCOPE: ContextVar[str] = ContextVar("scope", default="query")
 _MADE: dict[str, list[str]] = {}  # paths by scope
+_ROOTS: dict[str, str] = {}  # folders of our own by application
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -23,13 +24,13 @@ def work_dir(spark: SparkSession) -> str:
     whole of Spark runs in this process (local master), else a folder beside the
     warehouse, which a cluster shares.
     """
-    root = spark.conf.get(CHECKPOINT, None)
+    root = spark.conf.get(CHECKPOINT, None) or _ROOTS.get(spark.sparkContext.applicationId)
     if not root:
         if spark.sparkContext.master.startswith("local"):
             root = "file://" + tempfile.mkdtemp(prefix="resonant-")
         else:
             root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-        spark.conf.set(CHECKPOINT, root)
+        _ROOTS[spark.sparkContext.applicationId] = root
     return root.rstrip("/")
 
 

@@ -44,3 +44,34 @@ def test_trigram_vectors_bind_in_order():
     c = lid.LanguageConfig()
     abc, acb = (lid.trigram_vectors(lid.trigrams(t)[0], c) for t in ("abc", "acb"))
     assert abs(abc[1] @ acb[1]) < 0.3 * c.dimensions and set(np.unique(abc)) == {-1.0, 1.0}
+
+
+def test_query_against_the_contract(spark):
+    import zlib
+
+    data = "/root/testdata/sf0.01"
+    given = {r.doc_id: r for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang", "text").collect()}
+    rows = lid.op6_language_id(spark, data).collect()
+    langs = {r.lang for r in given.values() if r.lang}
+    assert sorted(r.doc_id for r in rows) == sorted(given)
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1
+        letters = any(c.isalpha() for c in given[r.doc_id].text or "")
+        assert r.lang_pred in langs if letters else (r.lang_pred == "und" and r.score == 0)
+    held = [r.lang_pred == given[r.doc_id].lang for r in rows if r.held_out and given[r.doc_id].lang]
+    assert sum(held) / len(held) > 0.97
+
+
+def test_odd_rows(spark, docs):
+    texts = ["the cat and the dog", "der hund und die katze", None, "", "12 !", "the cat and the dog", "the " * 100_000]
+    given = docs(texts, ids=[1, 2, None, 4, 5, 1, None], langs=["en", "de", "en", None, "en", "en", None], lang_pred=["z"] * 7, score=["z"] * 7)
+    prototypes = lid.learn(given)
+    assert sorted(prototypes) == ["de", "en"]
+    got = [(r.lang_pred, r.score > 0) for r in lid.identify(given, prototypes).collect()]
+    assert got == [("en", True), ("de", True), ("und", False), ("und", False), ("und", False), ("en", True), ("en", True)]
+    # of lang values that are too many, those with most documents are learned
+    assert list(lid.learn(given, lid.LanguageConfig(most_languages=1))) == ["en"]
+    # a tie goes to the language first by code point
+    same = {"aa": prototypes["en"], "bb": prototypes["en"]}
+    assert {r.lang_pred for r in lid.identify(given.where("doc_id = 1"), dict(sorted(same.items()))).collect()} == {"aa"}
+    assert lid.identify(docs([]), prototypes).collect() == []

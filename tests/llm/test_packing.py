@@ -89,3 +89,34 @@ def test_repeated_and_null_ids_and_empty_table(docs):
 def test_runs_of_powers(n):
     sizes = [sum(x.length for x in run) for run in p.runs_of_powers([p.Piece(0, 0, n // 2), p.Piece(1, 0, n - n // 2)])]
     assert sum(sizes) == n and all(s & (s - 1) == 0 for s in sizes) and len(set(sizes)) == len(sizes)
+
+
+def test_query_against_the_tokenizer(spark):
+    data = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    ids = {k: [*whole(t or ""), 2] for k, t in texts.items()}
+    rows = p.op3_cost_packing(spark, data).collect()
+    pieces, sequences = {}, {}
+    for r in rows:
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.length > 0 and r.doc_tokens == len(ids[r.doc_id]) and len(part) == r.length
+        assert r.ids_crc32 == zlib.crc32(np.array(part, "<u4").tobytes())
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for found, size in [(pieces[k], len(x)) for k, x in ids.items()] + [(s, sum(n for _, n in s)) for s in sequences.values()]:
+        found.sort()
+        assert found[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(found, found[1:])) and sum(n for _, n in found) == size
+    sizes = [sum(n for _, n in s) for s in sequences.values()]
+    assert max(sizes) <= 4096
+    padded = sum(n if n & (n - 1) == 0 else 4096 for n in sizes)
+    assert padded <= 1.02 * sum(sizes)
+
+
+def test_clashing_columns_and_repeated_rows(spark, docs):
+    texts = ["a b c", "a b c", None, "", "x " * 20_000]
+    extra = {c: ["z"] * 5 for c in ("start", "length", "offset", "ids", "sequence_id")}
+    got = p.pack(docs(texts, ids=[1, 1, None, None, 2], **extra), p.vocabulary_path()).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r.length)
+    assert sum(by[1]) == 2 * (len(whole("a b c")) + 1) and sum(by[None]) == 2 and sum(by[2]) == len(whole(texts[4])) + 1

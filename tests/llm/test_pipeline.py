@@ -46,3 +46,26 @@ def test_run(spark):
 def test_registry():
     assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{k}" for k in range(1, 11)]
     assert set(registry.ORACLES) <= set(registry.QUERIES) and exact_dedup.SQL == registry.ORACLES["op5_exact_dedup"]
+
+
+def test_stages_on_odd_tables(spark, docs):
+    """Nulls, empty texts, repeated rows, very long texts and clashing names; and no rows at all."""
+    names = "size target row_no class_id kept digest node score shard sid text_hash uid".split()
+    texts = ["a b c d e f g", "a b c d e f g", "A b c d e f g", None, "", "long " * 60_000, "one two three four five six", "one two three four five six!", " \t"]
+    n = len(texts)
+    given = docs(texts, ids=[1, 1, 2, None, None, 5, 6, 7, None], sources=[None, "s", "s", None, "s", "s", "t", "t", "t"], langs=[None] * n, **{c: [c[:1]] * n for c in names})
+    for table in (given, given.where("false")):
+        now = table
+        for name, step in corpus_pipeline.STAGES[:-1]:
+            now = step(spark, now, DATA)
+            assert now.columns == given.columns
+            rows = now.collect()
+            assert all(r.size == "s" and r.uid == "u" for r in rows)
+            if name == "exact dedup" and rows:
+                assert sorted((r.text or "").lower()[:20] for r in rows) == sorted(["a b c d e f g", "", "long long long long ", "one two three four f", "one two three four f", " \t"])
+            if name == "n-gram Jaccard join" and rows:
+                assert sum((r.text or "").startswith("one") for r in rows) == 1
+            now = spark.createDataFrame(rows, given.schema)
+        packed = corpus_pipeline.STAGES[-1][1](spark, now, DATA).collect()
+        assert bool(packed) == (table is given)
+        assert {r.doc_id for r in packed} <= {1, 2, None, 5, 6, 7}
