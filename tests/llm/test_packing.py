@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -114,8 +115,8 @@ def test_query_against_the_tokenizer(spark):
 
 def test_clashing_columns_and_repeated_rows(spark, docs):
     texts = ["a b c", "a b c", None, "", "x " * 20_000]
-    extra = {c: ["z"] * 5 for c in ("start", "length", "offset", "ids", "sequence_id")}
-    got = p.pack(docs(texts, ids=[1, 1, None, None, 2], **extra), p.vocabulary_path()).collect()
+    extra = {c: ["z"] * 5 for c in ("start", "length", "offset", "sequence_id")}
+    got = p.pack(docs(texts, ids=[1, 1, None, None, 2], **extra).withColumn("ids", F.lit("z")), p.vocabulary_path()).collect()
     by = {}
     for r in got:
         by.setdefault(r.doc_id, []).append(r.length)
