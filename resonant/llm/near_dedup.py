@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resonant.llm.components import components
+from resonant.llm.components import Forest, components
 from resonant.llm.runs import binary_matrix, whole_groups
 from resonant.llm.shared import documents, written
 from resonant.session import ship
@@ -389,7 +389,7 @@ def _compare(tries: DataFrame, signed: DataFrame, prefix: int, config: ForestCon
         edges = core.where("core AND node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        known = Forest()
         meetings = np.zeros(config.hashes + 1, np.int64)
         least = config.threshold * config.hashes
         for batch, rows_, first, second in _groups(batches):
@@ -399,11 +399,8 @@ def _compare(tries: DataFrame, signed: DataFrame, prefix: int, config: ForestCon
             np.add.at(meetings, equal[equal >= least], 1)
             a, b = forest_edges((a, b), len(rows_))
             node = batch.column(4).to_numpy()[rows_]
-            new = set(zip(node[b].tolist(), node[a].tolist())) - seen
+            new = [e for e in zip(node[b].tolist(), node[a].tolist()) if known.joins(*e)]
             if new:
-                if len(seen) > 100_000:
-                    seen.clear()
-                seen |= new
                 x, y = zip(*new)
                 yield pa.RecordBatch.from_pydict({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
         met = np.flatnonzero(meetings)
