@@ -479,10 +479,10 @@ def asof_weights(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(windows.as_of_forward(times, snaps, TRACK))
 
 
-@query(f"WITH {STATE}, e AS (SELECT track, frame, sum(amp) AS energy FROM st GROUP BY ALL), l AS (SELECT track, max(frame) AS last FROM e GROUP BY track) SELECT l.track, CAST(k AS BIGINT) AS k, e.frame, {r('e.energy')} AS energy FROM l CROSS JOIN range(40) t(k) JOIN e ON e.track = l.track AND e.frame = greatest(0, least(CAST(round_even(k * 0.37e0 * 5e0, 0) AS BIGINT), l.last))")
+@query(f"WITH {STATE}, e AS (SELECT track, frame, sum(amp) AS energy FROM st GROUP BY ALL), l AS (SELECT track, max(frame) AS last FROM e GROUP BY track) SELECT l.track, CAST(k AS BIGINT) AS k, e.frame, {r('e.energy')} AS energy FROM l, range(0, CAST(ceil(last / 1.85e0) AS BIGINT) + 3) t(k) JOIN e ON e.track = l.track AND e.frame = greatest(0, least(CAST(round_even(k * 0.37e0 * 5e0, 0) AS BIGINT), l.last))")
 def nearest_frame(spark: SparkSession, sf: str) -> DataFrame:
     e = views.osc_state(spark, sf).groupBy("track", "frame").agg(F.sum("amp").alias("energy"))
-    asks = e.groupBy("track").agg(F.max("frame").alias("last")).select("track", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("k"))
+    asks = e.groupBy("track").agg(F.max("frame").alias("last")).select("track", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("last") / 1.85).cast("long") + 2)).alias("k"))
     frame = windows.nearest_frame(F.col("k") * 0.37, 5.0, F.col("last"))
     return rounded(asks.select("track", "k", frame.alias("frame")).join(e, ["track", "frame"]).select("track", "k", "frame", "energy"))
 

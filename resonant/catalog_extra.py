@@ -15,7 +15,8 @@ from resonant.plans import dims
 from resonant.plans.config import BankConfig
 from resonant.session import work_folder
 from resonant.sources import files, views
-from resonant.streaming import live
+from resonant.streaming import engine, live
+from resonant.streaming.engine import EngineConfig
 
 
 def extractors_sql(keys: str, share: float) -> str:
@@ -334,6 +335,43 @@ def baseline_json(spark: SparkSession, sf: str) -> DataFrame:
     return reports.baseline_json(fixed, TRACK)
 
 
+# --- the engine ------------------------------------------------------------------------------
+
+DAY_ENGINE = EngineConfig(rate=24.0, channels=(1.0, 2.0, 4.0), pitch=tuple(2.0 ** (k / 2) for k in range(6)), rhythm=tuple(BANK[::4]), span=6, motor=True, forward=0.4, backward=0.2, pitch_bank=BankConfig(learn_rate=0.5, weight_decay=0.1))
+
+
+@query()
+def engine_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Cochlea, drives and three coupled banks over hourly samples, a snapshot four times a day."""
+    found = engine.snapshots(_tracks(spark, sf).withColumnRenamed("drive", "x"), DAY_ENGINE)
+    flat = found.select("track", "frame", "layer", F.posexplode(F.arrays_zip("re", "im")).alias("osc", "z"))
+    return rounded(flat.select("track", "frame", "layer", "osc", "z.re", "z.im"))
+
+
+@query(f"WITH {STATE}, p AS (SELECT track, frame, sum(amp) AS energy FROM st GROUP BY ALL), m AS (SELECT track, frame, sum(amp) / 2 AS motor FROM st WHERE track < 5 GROUP BY ALL) SELECT track, frame, {r('energy')} AS energy, {r('motor')} AS motor, motor IS NOT NULL AS has_motor FROM p LEFT JOIN m USING (track, frame)")
+def optional_layer(spark: SparkSession, sf: str) -> DataFrame:
+    """A layer that some tracks lack: null where it is missing."""
+    e = views.osc_state(spark, sf).groupBy("track", "frame").agg(F.sum("amp").alias("energy"))
+    motor = e.where("track < 5").select("track", "frame", (F.col("energy") / 2).alias("motor"))
+    return rounded(e.join(motor, ["track", "frame"], "left").withColumn("has_motor", F.col("motor").isNotNull()))
+
+
+FEATURES = {"tempo": "bpm", "tempo_confidence": "tempo_confidence", "key_confidence": "key_confidence", "chord_confidence": "chord_confidence", "consonance": "consonance"}
+
+
+@query(f"""WITH {AMPS}, {extractors_sql("track", 0.9)}, f AS (SELECT * FROM key_ JOIN chord_ USING (track) JOIN tempo_ USING (track) JOIN cons_ USING (track))
+SELECT track, '/features/key' AS address, tonic AS arg, CAST(NULL AS DOUBLE) AS value FROM f UNION ALL SELECT track, '/features/mode', mode, NULL FROM f UNION ALL SELECT track, '/features/chord', chord, NULL FROM f WHERE track % 2 = 0
+UNION ALL """ + " UNION ALL ".join(f"SELECT track, '/features/{k}', NULL, {r(v)} FROM f" for k, v in FEATURES.items()))
+def feature_osc_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """All features as messages; tracks with odd numbers have no chord, and no message for it."""
+    amps = rollups.mean_amp(views.osc_state(spark, sf), TRACK)
+    line = windows.timeline(amps.withColumn("win", F.lit(0)), ["track", "win"], share=0.9).withColumn("chord", F.when(F.col("track") % 2 == 0, F.col("chord")))
+    names = {"tonic": "key", "mode": "mode", "chord": "chord"} | {v: k for k, v in FEATURES.items()}
+    sent = messages.feature_messages(line, TRACK, names)
+    text = F.col("address").isin("/features/key", "/features/mode", "/features/chord")
+    return rounded(sent.select("track", "address", F.when(text, F.col("arg")).alias("arg"), F.when(~text, F.col("arg").try_cast("double")).alias("value")))
+
+
 # --- clocks ----------------------------------------------------------------------------------
 
 

@@ -21,6 +21,15 @@ def gammatone_taps(fc: float, rate: float, order: int = 4) -> np.ndarray:
     return h / gain if gain > 0 else h
 
 
+def analytic_taps(fc: float, rate: float, order: int = 4) -> np.ndarray:
+    """The gammatone response with its quadrature as imaginary part: a causal filter whose output's magnitude is the envelope."""
+    width = 1.019 * (LEAST_BANDWIDTH + fc / EAR_Q)
+    t = np.arange(max(15, int(rate * 0.015))) / rate
+    h = t ** (order - 1) * np.exp(-2 * np.pi * width * t) * np.exp(2j * np.pi * fc * t)
+    gain = abs(np.sum(h.real * np.exp(-2j * np.pi * fc * t)))
+    return h / gain if gain > 0 else h
+
+
 def analytic_envelope(x: np.ndarray) -> np.ndarray:
     """The magnitude of the analytic signal."""
     n = len(x)

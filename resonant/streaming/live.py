@@ -89,14 +89,20 @@ def live_bank(chunks: DataFrame, f: list[float], config: BankConfig) -> DataFram
     return chunks.groupBy("track").applyInPandasWithState(run, "track long, n long, osc int, re double, im double", "done long, bank binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def live_voices(frames: DataFrame, depth: int, least: int = 8, config: VoiceConfig = VoiceConfig()) -> DataFrame:
-    """Voices of frames(track, frame, amp array, phase array) with a trailing window of `depth` frames for each track."""
+def live_voices(frames: DataFrame, depth: int, least: int = 8, config: VoiceConfig = VoiceConfig(), idle_ms: int | None = None) -> DataFrame:
+    """Voices of frames(track, frame, amp array, phase array) with a trailing window of `depth` frames for each track.
+
+    Silent voices retire as the configuration says; a track without a frame for idle_ms is forgotten.
+    """
     ship(frames.sparkSession)
     f = 110.0 * 2 ** (np.arange(N_OSC) / 12)
     columns = [c.strip().split()[0] for c in VOICES.split(",")]
     kept = "amps array<array<double>>, voices array<struct<id:long,members:array<int>,centre:double,amp:double,phase:double,confidence:double,active:boolean,age:int,silent:int>>, next_id long"
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         tracker, ring = Tracker(config), []
         if state.exists:
             amps, voices, tracker.next_id = state.get
@@ -109,9 +115,11 @@ def live_voices(frames: DataFrame, depth: int, least: int = 8, config: VoiceConf
                 out += voice_rows(int(key[0]), int(row.frame), tracker.advance(window_voices(np.array(ring), np.array(row.phase), f, config)))
         saved = [(int(v.id), sorted(v.members), v.centre, v.amp, v.phase, v.confidence, v.active, int(v.age), int(v.silent)) for v in tracker.voices]
         state.update((ring, saved, int(tracker.next_id)))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=columns)
 
-    return frames.groupBy("track").applyInPandasWithState(run, VOICES, kept, "append", GroupStateTimeout.NoTimeout)
+    return frames.groupBy("track").applyInPandasWithState(run, VOICES, kept, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def live_peaks(frames: DataFrame, keep: float = 0.8) -> DataFrame:
