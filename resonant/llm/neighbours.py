@@ -51,11 +51,11 @@ from resonant.session import ship
 class NeighbourConfig:
     degree: int = 56  # neighbours of a node in the graph
     reverse: int = 16  # reverse neighbours that a comparison takes, on average
-    offers: int = 16  # nodes that a comparison offers to each of its nodes
+    offers: int = 5  # nodes that a comparison offers to each of its nodes
     orders: int = 6  # hyperplane orders for the first neighbours
     window: int = 32  # vectors compared in a window of such an order
     window_best: int = 10
-    settled: float = 0.02  # share of new edges at which the rounds end
+    settled: float = 0.04  # share of new edges at which the rounds end
     beam: int = 48
     reach: int = 28  # neighbours that the search looks at from a node
     seed: int = 3
