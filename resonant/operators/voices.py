@@ -348,15 +348,19 @@ def top_changes(voices: DataFrame, by: str = "freq") -> DataFrame:
 def coverage(voices: DataFrame, triggers: DataFrame, cents: float = 200.0) -> DataFrame:
     """trigger, covered, voice: the loudest active voice near a trigger's frequency while it sounds.
 
-    voices(track, frame, voice, freq, amp), triggers(trigger, track, first, last, freq). The join is on
-    track, frame and a band of frequency: a trigger names the frames that it sounds in, a voice its own
-    band and the next ones, each as wide as the tolerance.
+    voices(track, frame, voice, freq, amp), triggers(trigger, track, first, last, freq). A trigger names the
+    frames that it sounds in; a frequency that many triggers have is looked up once for each frame. That
+    join is on track, frame and a band of frequency as wide as the tolerance: a voice is in its own band and
+    the next ones.
     """
+    spread = triggers.select("trigger", "track", F.col("freq").alias("wanted"), F.explode(F.sequence("first", "last")).alias("frame"))
+    asks = spread.select("track", "frame", "wanted").distinct().withColumn("band", _band("wanted", cents))
     band = _band("freq", cents)
-    spread = triggers.select("trigger", "track", F.col("freq").alias("wanted"), band.alias("band"), F.explode(F.sequence("first", "last")).alias("frame"))
     near = voices.withColumn("band", F.explode(F.sequence(band - 1, band + 1)))
-    met = spread.join(near, ["track", "frame", "band"]).where(semitones_between(F.col("freq"), F.col("wanted")) * 100 < cents)
-    best = met.groupBy("trigger").agg(F.max_by("voice", F.struct("amp", -F.col("voice"), -F.col("frame"))).alias("voice"))
+    met = asks.join(near, ["track", "frame", "band"]).where(semitones_between(F.col("freq"), F.col("wanted")) * 100 < cents)
+    loudest = met.groupBy("track", "frame", "wanted").agg(F.max(F.struct("amp", (-F.col("voice")).alias("voice"))).alias("loudest"))
+    found = spread.join(loudest, ["track", "frame", "wanted"])
+    best = found.groupBy("trigger").agg(F.max(F.struct("loudest.amp", "loudest.voice", -F.col("frame"))).alias("best")).select("trigger", (-F.col("best.voice")).alias("voice"))
     return triggers.select("trigger").join(best, "trigger", "left").select("trigger", F.col("voice").isNotNull().alias("covered"), "voice")
 
 
