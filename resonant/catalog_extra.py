@@ -177,6 +177,16 @@ def voice_bank_messages(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sent.select("track", "address", F.col("arg").cast("double").alias("value")))
 
 
+@query()
+def tracked_voice_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Tracked voices with their rhythm and motor, as messages."""
+    s = views.osc_state(spark, sf)
+    found = voices.track_voices(s, 25, 4, CLUSTERING)
+    bank = dims.banks(spark).select("osc", F.col("rhythm_f").alias("f"))
+    both = voices.tracked_banks(found, s, {"rhythm": s, "motor": s.withColumn("phase", -F.col("phase"))}, bank, 25, 20.0)
+    return _numbered(messages.voice_messages(both))
+
+
 @query(f"WITH {VOICE_FRAMES}, s AS (SELECT *, min(frame) OVER (PARTITION BY track, voice) AS seen FROM vf), n AS (SELECT track, frame, min(voice) AS a, arg_min(voice, ROW(seen, voice)) AS b FROM s GROUP BY ALL), c AS (SELECT *, lag(a) OVER w AS pa, lag(b) OVER w AS pb FROM n WINDOW w AS (PARTITION BY track ORDER BY frame)) SELECT track, CAST(count(*) FILTER (a <> pa) AS BIGINT) AS by_id, CAST(count(*) FILTER (b <> pb) AS BIGINT) AS by_first FROM c GROUP BY track")
 def top_changes_by(spark: SparkSession, sf: str) -> DataFrame:
     v = _active_voices(spark, sf)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from resonant.functions.common import clip, to_every_task, vector_length
 from resonant.functions.music import log_frequency, semitones_between
 from resonant.operators.pairs import active_oscillators, envelope_correlation
+from resonant.operators.windows import in_windows
 from resonant.plans.config import VoiceConfig
 from resonant.plans.dims import HARMONIC_RATIOS, N_OSC, pitch_frequency
 from resonant.session import ship
@@ -393,9 +394,28 @@ def window_bank(voices: DataFrame, env: DataFrame, bank: DataFrame, state: DataF
     return voices.join(found.select(*keys, "cluster", match), [*keys, "cluster"], "left")
 
 
-def with_bank_match(voices: DataFrame, matches: DataFrame, name: str) -> DataFrame:
+def tracked_banks(voices: DataFrame, state: DataFrame, layers: dict[str, DataFrame], bank: DataFrame, half: int, hz: float) -> DataFrame:
+    """track_voices() with a struct for each of layers(track, frame, osc, phase): the best match of each active voice in that bank.
+
+    A voice's envelope is the mean amplitude of its oscillators over the window of its
+    frame; the phase is that of the matched oscillator in the window's last frame. A
+    silent voice keeps what it had.
+    """
+    keys = ["track", "win"]
+    spoken = voices.where("active").select("track", F.col("frame").alias("win"), F.col("voice").alias("cluster"), F.explode("members").alias("osc"))
+    wins = spoken.select(*keys).distinct().select(*keys, F.greatest(F.col("win") - half, F.lit(0)).alias("lo"), (F.col("win") + half).alias("hi"))
+    env = envelopes(in_windows(state.select("track", "frame", "osc", "amp"), wins), spoken, keys)
+    found = associate(env, bank, keys, hz)
+    for name, layer in layers.items():
+        last = in_windows(layer.select("track", "frame", "osc", "phase"), wins)
+        matches = with_phase(found, last, keys).withColumnsRenamed({"win": "frame", "cluster": "voice"})
+        voices = with_bank_match(voices, matches, name, ["osc", "freq", "bpm", "phase", "confidence"])
+    return voices
+
+
+def with_bank_match(voices: DataFrame, matches: DataFrame, name: str, fields: list[str] | None = None) -> DataFrame:
     """Adds a struct of the matched oscillator; an active voice without a match has null, a silent one keeps what it had."""
-    m = matches.select("track", "frame", "voice", F.struct("osc", "bpm", "confidence").alias("__match"))
+    m = matches.select("track", "frame", "voice", F.struct(*(fields or ["osc", "bpm", "confidence"])).alias("__match"))
     joined = voices.join(m, ["track", "frame", "voice"], "left")
     over = Window.partitionBy("track", "voice").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
     spoken = F.when(F.col("active"), F.struct(F.col("__match").alias("m")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import math
+import struct
 import subprocess
 import wave
 from collections.abc import Callable, Iterator
@@ -168,6 +169,57 @@ def write_state_log(log: DataFrame, path: str) -> None:
     log.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("track", "layer").parquet(path)
 
 
+def osc_packet(address: str, args: list) -> bytes:
+    """One OSC message: address, type tags, and arguments that are integers, floats or strings."""
+    padded = lambda b: b + b"\0" * (4 - len(b) % 4)
+    kinds = {int: ("i", lambda v: struct.pack(">i", v)), float: ("f", lambda v: struct.pack(">f", v)), str: ("s", lambda v: padded(v.encode()))}
+    return padded(address.encode()) + padded(("," + "".join(kinds[type(a)][0] for a in args)).encode()) + b"".join(kinds[type(a)][1](a) for a in args)
+
+
+def osc_messages(packet: bytes) -> list[tuple[str, list[str]]]:
+    """Address and arguments, as text, of the message in a packet, or of all messages of a bundle; none of a broken one."""
+
+    def text(at: int) -> tuple[str, int]:
+        end = packet.index(b"\0", at)
+        return packet[at:end].decode(), end + 4 - (end - at) % 4
+
+    if packet[:8] == b"#bundle\0":
+        out, at = [], 16
+        while at + 4 <= len(packet):
+            size = int.from_bytes(packet[at : at + 4], "big")
+            out += osc_messages(packet[at + 4 : at + 4 + size])
+            at += 4 + size
+        return out
+    try:
+        address, at = text(0)
+        tags, at = text(at)
+        args = []
+        for tag in tags[1:]:
+            if tag == "s":
+                value, at = text(at)
+            elif tag in "TF":
+                value = "1" if tag == "T" else "0"
+            else:
+                form, size = {"i": (">i", 4), "f": (">f", 4), "h": (">q", 8), "d": (">d", 8)}[tag]
+                value, at = str(struct.unpack_from(form, packet, at)[0]), at + size
+            args.append(value)
+    except (ValueError, KeyError, struct.error):
+        return []
+    return [(address, args)] if address.startswith("/") else []
+
+
+def decode_packets(packets: DataFrame) -> DataFrame:
+    """seq, address, arg of packets(seq, packet), a table or a stream of any source: the first argument as text, empty if there is none."""
+    ship(packets.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(s, a, args[0] if args else "") for s, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for a, args in osc_messages(p or b"")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["seq", "address", "arg"])
+
+    return packets.select("seq", "packet").mapInArrow(run, "seq long, address string, arg string")
+
+
 WEIGHTS = "t double, i int, j int, re double, im double"
 
 

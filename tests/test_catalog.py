@@ -36,4 +36,4 @@ def test_query(spark, duck, name):
 
 def test_every_query_but_the_sequential_ones_has_sql():
     without = set(QUERIES) - set(ORACLES)
-    assert without == {"grfnn_bank", "motor_coupled", "delay_noise", "gammatone_envelope", "voice_tracking", "voice_timeline", "mode_locks_bulk", "motor_batched", "engine_snapshots"}
+    assert without == {"grfnn_bank", "motor_coupled", "delay_noise", "gammatone_envelope", "voice_tracking", "voice_timeline", "mode_locks_bulk", "motor_batched", "engine_snapshots", "tracked_voice_messages"}

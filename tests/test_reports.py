@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from resonant.operators import dynamics, messages, reports, rhythm, signals
+from resonant.operators import dynamics, messages, reports, rhythm, signals, voices
 from resonant.plans.config import BankConfig
 from resonant.sources import files
 
@@ -107,3 +107,41 @@ def test_slower_clock(spark):
 def test_missing_rows(spark):
     a, b = spark.createDataFrame([(1,), (2,), (2,)], "k long"), spark.createDataFrame([(2,), (3,)], "k long")
     assert [r.k for r in reports.missing(a, b).collect()] == [1] and reports.missing(b.where("k = 2"), a).isEmpty()
+
+
+def test_tracked_voices_have_their_banks(spark):
+    rng = np.random.default_rng(4)
+    hz, half, frames = 20.0, 20, 60
+    t = np.arange(frames) / hz
+    amps = 0.01 * rng.random((frames, 32))
+    amps[:, 5] += 0.5 + 0.4 * np.sin(2 * np.pi * 2.0 * t)
+    amps[:, 20] += 0.5 + 0.4 * np.sin(2 * np.pi * 3.2 * t + 1)
+    phases = rng.uniform(-3, 3, (frames, 32))
+    state = spark.createDataFrame([(0, f, o, float(amps[f, o]), float(phases[f, o])) for f in range(frames) for o in range(32)], "track long, frame long, osc int, amp double, phase double")
+    bank = np.geomspace(0.5, 10, 32)
+    found = voices.track_voices(state, half, 10)
+    both = voices.tracked_banks(found, state, {"rhythm": state, "motor": state.withColumn("phase", -F.col("phase"))}, spark.createDataFrame([(o, float(f)) for o, f in enumerate(bank)], "osc int, f double"), half, hz)
+    rows = both.where("active").collect()
+    assert both.count() == found.count() and len({r.voice for r in rows}) >= 2
+    for r in rows:
+        lo, hi = max(0, r.frame - half), min(frames, r.frame + half + 1)
+        env = amps[lo:hi][:, list(r.members)].mean(axis=1)
+        x = env - env.mean()
+        power = [abs((x * np.exp(-2j * np.pi * f * np.arange(len(x)) / hz)).mean()) if 1 <= f <= 4 else -1 for f in bank]
+        best = int(np.argmax(power))
+        assert r.rhythm.osc == best and abs(r.rhythm.bpm - 60 * bank[best]) < 1e-9
+        assert abs(r.rhythm.phase - phases[hi - 1, best]) < 1e-12 and abs(r.motor.phase + phases[hi - 1, best]) < 1e-12
+    sent = {x.address for x in messages.voice_messages(both).collect()}
+    assert {f"/voice/{rows[0].voice}/{b}/{k}" for b in ("rhythm", "motor") for k in ("freq", "bpm", "phase", "osc_idx", "confidence")} <= sent
+
+
+def test_osc_packets(spark):
+    given = [("/voice/1/amp", [0.5]), ("/features/key", ["C#"]), ("/a", []), ("/list", [1, 2, 3])]
+    packets = [files.osc_packet(a, args) for a, args in given]
+    assert [files.osc_messages(p) for p in packets] == [[("/voice/1/amp", ["0.5"])], [("/features/key", ["C#"])], [("/a", [])], [("/list", ["1", "2", "3"])]]
+    bundle = b"#bundle\0" + bytes(8) + b"".join(len(p).to_bytes(4, "big") + p for p in packets)
+    assert len(files.osc_messages(bundle)) == 4
+    assert [files.osc_messages(p) for p in (b"", b"/x", packets[0][:-2], b"no\0\0,\0\0\0")] == [[]] * 4
+    df = spark.createDataFrame([(0, packets[0]), (1, bundle), (2, None), (3, b"junk")], "seq long, packet binary")
+    got = [tuple(r) for r in files.decode_packets(df).collect()]
+    assert got == [(0, "/voice/1/amp", "0.5"), (1, "/voice/1/amp", "0.5"), (1, "/features/key", "C#"), (1, "/a", ""), (1, "/list", "1")]
