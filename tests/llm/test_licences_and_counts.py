@@ -195,3 +195,10 @@ def test_word_pieces(docs):
     texts = ["hello world, it's me", "größe 12", None]
     got = tc.by_word_bpe(vocabulary_path())(docs(texts)).collect()
     assert [r.tokens for r in got] == [len(t.encode(x or "", add_special_tokens=False).ids) for x in texts]
+
+
+def test_the_query_against_sql(spark):
+    data = "/root/testdata/sf0.001"
+    documents = duckdb.sql(f"SELECT * FROM '{data}/documents.parquet'")  # noqa: F841
+    got = [tuple(r) for r in ls.op4_license_scan(spark, data).select("doc_id", "licences", "sentences", "matches").collect()]
+    assert sorted(got) == sorted(duckdb.sql(ls.SQL).fetchall()) and any(r[1] for r in got)
