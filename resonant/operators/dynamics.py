@@ -144,42 +144,60 @@ class Bank:
         self.ring = np.zeros((max(1, round(c.delay / c.dt)), n), complex) if c.delay > 0 else None
         self.noise = np.random.default_rng(c.noise_seed)
         self.at, self.count = 0, 0
-        self.input = np.zeros(n)
-        self.surprise = np.zeros(n)
+        self.heard = np.zeros(n, complex)
+        p = c.params
+        real = lambda a, b: complex(a, b) if b else a  # noqa: E731  real factors cost less
+        self._turn, self._first, self._second = p.alpha + 1j * self.omega, real(p.beta1, p.delta1), real(p.beta2, p.delta2)
+        self._most = 0.95 / max(p.epsilon, 1e-9)
+
+    @property
+    def input(self) -> np.ndarray:
+        """The magnitude of what the oscillators heard last."""
+        return np.abs(self.heard)
+
+    @property
+    def surprise(self) -> np.ndarray:
+        """What that was beyond what holds the amplitudes against damping."""
+        return self.input - abs(self.config.params.alpha) * np.abs(self.z)
 
     def saved(self) -> bytes:
         """All that changes from step to step: state, weights, delay ring, noise generator and counts."""
-        return pickle.dumps({k: v for k, v in vars(self).items() if k not in ("f", "config", "omega", "plastic")})
+        return pickle.dumps({k: v for k, v in vars(self).items() if k not in ("f", "config", "omega", "plastic") and k[0] != "_"})
 
     def restore(self, state: bytes) -> None:
         vars(self).update(pickle.loads(state))
 
     def _rate(self, z: np.ndarray, held: np.ndarray) -> np.ndarray:
-        p = self.config.params
-        m = z.real**2 + z.imag**2
-        s = np.minimum(m, 0.95 / max(p.epsilon, 1e-9))
-        high = p.epsilon * s * s / (1 - p.epsilon * s)
-        return z * (p.alpha + 1j * self.omega + complex(p.beta1, p.delta1) * m + complex(p.beta2, p.delta2) * high) + held
+        re, im = z.real, z.imag
+        m = re * re + im * im
+        s = np.minimum(m, self._most)
+        e = self.config.params.epsilon * s
+        return z * (self._turn + (self._first * m + self._second * (s * e / (1 - e)))) + held
 
     def step(self, x: np.ndarray) -> np.ndarray:
         c, p = self.config, self.config.params
-        held = np.asarray(x, complex) * p.input_gain
-        self.input = np.abs(held)
+        held = self.heard = np.asarray(x, complex) * p.input_gain
         if self.weights is not None:
             held = held + self.weights @ self.z / len(self.z)
         if self.ring is not None:
             held = held + c.delay_gain * self.ring[self.at]
-        k1 = self._rate(self.z, held)
-        k2 = self._rate(self.z + c.dt / 2 * k1, held)
-        k3 = self._rate(self.z + c.dt / 2 * k2, held)
-        k4 = self._rate(self.z + c.dt * k3, held)
-        z = self.z + c.dt / 6 * (k1 + 2 * (k2 + k3) + k4)
+        z, half = self.z, c.dt / 2
+        k1 = self._rate(z, held)
+        k2 = self._rate(z + half * k1, held)
+        k3 = self._rate(z + half * k2, held)
+        k4 = self._rate(z + c.dt * k3, held)
+        k2 += k3
+        k2 += k2
+        k2 += k1
+        k2 += k4
+        z = z + c.dt / 6 * k2
         if c.noise > 0:
             re = self.noise.standard_normal(len(z))
             z = z + c.noise * math.sqrt(c.dt) * (re + 1j * self.noise.standard_normal(len(z)))
         m = np.abs(z)
-        self.z = np.where(m > p.limit, z * (p.limit / np.maximum(m, p.limit)), z)
-        self.surprise = self.input - abs(p.alpha) * np.abs(self.z)
+        if m.max() > p.limit:
+            z = np.where(m > p.limit, z * (p.limit / np.maximum(m, p.limit)), z)
+        self.z = z
         self.count += 1
         if self.weights is not None and self.count % c.batch == 0:
             self.weights = self.weights + c.dt * (c.learn_rate * np.outer(self.z, self.z.conj()) - c.weight_decay * self.weights)
