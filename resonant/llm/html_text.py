@@ -63,6 +63,7 @@ BLOCKS = frozenset(
     " select summary table tbody td tfoot th thead title tr ul".split()
 )
 CONTAINERS = frozenset("article body center details div html main section".split())
+CELLS = frozenset(["td", "th"])
 LISTS = frozenset("dl ol table ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg object canvas textarea noframes".split())
@@ -104,7 +105,7 @@ class Element:
     path: int  # number of its path of block elements
     prior: float  # product over the path, without articles and doubts
     doubt: int  # the nearest element of which part of a name speaks against it, itself included
-    container: int  # the nearest container, itself included
+    container: int  # the nearest container or table cell, itself included
     group: int  # the nearest list, table or container, itself included
     article: int  # the outermost article around, itself included; -1 without
     heading: bool = False
@@ -252,7 +253,7 @@ def parse(page: str) -> Page:
         article = own if top.article < 0 and (tag in ("article", "main") or role in ("main", "article")) else top.article
         elements.append(
             Element(
-                tag, stack[-1], path, top.prior * prior, own if doubt else top.doubt, own if tag in CONTAINERS else top.container,
+                tag, stack[-1], path, top.prior * prior, own if doubt else top.doubt, own if tag in CONTAINERS or tag in CELLS else top.container,
                 own if tag in CONTAINERS or tag in LISTS else top.group, article,
                 top.heading or tag in HEADINGS, top.link or tag == "a", top.lent or (tag == "header" and top.article >= 0),
             )

@@ -114,6 +114,7 @@ LONG = " ".join([PROSE] * 4)
         (f"<article><p>{PROSE} <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>", f"{PROSE} x=1 holds."),
         (f'<div class="widget"><p>{PROSE}</p><p>{PROSE}</p></div>', f"{PROSE}\n{PROSE}"),
         (f"<h1>The Title</h1><div><p>{PROSE}</p></div>", f"The Title\n{PROSE}"),
+        (f"<table><tr><td>News<br>Sport</td><td><p>{LONG}</p><p>Short end.</p><table><tr><td>1</td><td>a</td></tr></table></td><td>More news</td></tr></table>", f"{LONG}\nShort end.\n1\na"),
     ],
 )
 def test_article_text_is_whole(body, want):
