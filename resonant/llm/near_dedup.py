@@ -11,16 +11,19 @@ shingle sets have a Jaccard similarity of at least 0.8.
 3. The first subtries are those of equal labels. Their nodes are compared by
    signature, leaving a wide margin under the threshold, and the matched prefix is
    then shortened: only subtries that join shorter ones are compared anew, and only
-   pairs that were apart. From the similarities of the pairs found so far and the
-   chance that a tree brings such a pair together, the share of pairs found is
-   estimated; shortening ends when it reaches the target, at the latest at the prefix
-   at which pairs just at the threshold are found with the target probability.
+   pairs that were apart and are in no family together yet. From the similarities of
+   the pairs compared so far and the chance that a tree brings such a pair together,
+   the share of pairs found is estimated (at shorter prefixes rather too low, as pairs
+   inside a family are found without a meeting); shortening ends when it reaches the
+   target, at the latest at the prefix at which pairs just at the threshold are found
+   with the target probability.
 4. Nodes that are alike join families. In each family the shingle sets are compared
    exactly. Only link counts and a spanning forest leave a group, never its pairs.
 5. Classes are the connected components of the links.
 
-Large subtries and families. Each is first compared with one of its nodes, the leader.
-In a subtrie, nodes like the leader are connected through it. In a family, Jaccard
+Large subtries and families. Each is first compared with one of its nodes, the leader:
+the one whose subtries of equal labels are the largest, as most are like it.
+In a subtrie, nodes like the leader or of its family are connected through it. In a family, Jaccard
 distance is a metric: nodes within half the largest distance of the leader are linked
 with each other, and are counted without being compared. The others are compared with
 all, in blocks; each pair of blocks is a group of its own, so no group is large.
@@ -44,7 +47,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -206,16 +209,16 @@ def forest_edges(pairs: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarr
     return rows, label[rows]
 
 
-def similar_rows(sig: np.ndarray, first: np.ndarray, second: np.ndarray, config: ForestConfig, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def similar_rows(sig: np.ndarray, first: np.ndarray, second: np.ndarray, config: ForestConfig, labels: tuple[np.ndarray, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of a row of first and one of second (all pairs if they are the same) with like signatures, and their equal minhashes.
 
-    label tells which pairs to compare: those that differ in it.
+    labels tell which pairs to compare: those that differ in each.
     """
     need = config.least_equal * config.hashes
     out_a, out_b, out_n = [], [], []
     for i, x in enumerate(first):
         others = second[i + 1 :] if first is second else second
-        if label is not None:
+        for label in labels:
             others = others[label[others] != label[x]]
         if len(others):
             equal = (sig[others] == sig[x]).sum(axis=1)
@@ -345,48 +348,62 @@ def forest(signed: DataFrame, config: ForestConfig) -> DataFrame:
     return dealt.mapInArrow(shared, "tree int, label binary, node long, matched int")
 
 
-def _leaders(members: DataFrame, signed: DataFrame, config: ForestConfig) -> DataFrame:
-    """key, node, leader, core: how the nodes of large subtries compare with one of them."""
-    first = members.groupBy("key").agg(F.min("node").alias("leader"))
-    first = first.join(signed.select(F.col("node").alias("leader"), F.col("sig").alias("__first")), "leader")
-    both = members.hint("merge").join(first, "key").select("key", "node", "leader", "sig", "__first")
-    need = config.least_equal * config.hashes
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                equal = (binary_matrix(batch.column(3), "u1", config.hashes) == binary_matrix(batch.column(4), "u1", config.hashes)).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(equal >= need)], names=["key", "node", "leader", "core"])
+def _coreless(members: DataFrame) -> DataFrame:
+    return members.withColumns({"core": F.lit(False), "n_core": F.lit(0).cast("long"), "n_rest": F.col("size")})
 
-    return both.mapInArrow(near, "key long, node long, leader long, core boolean")
 
-
-def _with_core(members: DataFrame, core: DataFrame | None) -> DataFrame:
-    """members(key, node, size, ...) with core, n_core, n_rest; core(key, node, core) has the rows of large keys."""
-    if core is None:
-        return members.withColumns({"core": F.lit(False), "n_core": F.lit(0).cast("long"), "n_rest": F.col("size")})
+def _with_core(members: DataFrame) -> DataFrame:
+    """members(key, node, size, core, ...) of a written table with n_core and n_rest of their key."""
     # both sides of a join by key are plain tables, so that a large key can be split
-    counts = written(core.groupBy("key").agg(F.count_if("core").alias("n_core"), F.count_if(~F.col("core")).alias("n_rest")), "near-core-sizes")
-    marked = written(core.select("key", "node", "core").hint("merge").join(counts, "key"), "near-core-marked")
-    out = members.hint("merge").join(marked, ["key", "node"], "left")
-    return out.withColumns({"core": F.coalesce("core", F.lit(False)), "n_core": F.coalesce("n_core", F.lit(0).cast("long")), "n_rest": F.coalesce("n_rest", F.col("size"))})
+    counts = written(members.groupBy("key").agg(F.count_if("core").alias("n_core")), "near-core-sizes")
+    return members.hint("merge").join(counts, "key").withColumn("n_rest", F.col("size") - F.col("n_core"))
+
 
+def _compare(tries: DataFrame, signed: DataFrame, families: DataFrame | None, prefix: int, config: ForestConfig) -> tuple[DataFrame, DataFrame] | None:
+    """a, b: edges between nodes that are alike, meet first at this prefix and are in no family together; rows with a < 0 count meetings.
 
-def _compare(tries: DataFrame, signed: DataFrame, prefix: int, config: ForestConfig) -> DataFrame | None:
-    """a, b: edges between nodes that are alike and meet first at this prefix; rows with a < 0 count meetings."""
+    And key, size, node, ...: the subtries. families(node, component, central) are those of the longer prefixes.
+    """
     at = lambda n: F.xxhash64("tree", F.expr(f"substring(label, 1, {n})"))
     full = prefix == config.depth
-    keyed = tries.where(F.col("matched") >= prefix).select(at(prefix).alias("key"), (F.lit(0).cast("long") if full else at(prefix + 1)).alias("child"), "tree", "node")
-    groups = keyed.groupBy("key").agg(F.count("*").alias("size"), (F.min("child") != F.max("child")).alias("joins")).where("size > 1")
-    groups = written((groups if full else groups.where("joins")).select("key", "size"), "near-subtries")
+    keyed = tries.where(F.col("matched") >= prefix).select(at(prefix).alias("key"), (F.lit(0).cast("long") if full else at(prefix + 1)).alias("child"), "node")
+    if families is None:
+        keyed = keyed.withColumns({"family": F.col("node"), "central": F.lit(0).cast("long")})
+    else:
+        keyed = keyed.join(families.withColumnRenamed("component", "family"), "node", "left")
+        keyed = written(keyed.select("key", "child", "node", F.coalesce("family", "node").alias("family"), F.coalesce("central", F.lit(0)).alias("central")), "near-keyed")
+    differ = lambda c: F.min(c) != F.max(c)
+    groups = keyed.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("central", "node", "family")).alias("head"), (differ("family") & (F.lit(full) | differ("child"))).alias("joins"))
+    groups = written(groups.where("joins").select("key", "size", F.col("head.node").alias("leader"), F.col("head.family").alias("its_family")), "near-subtries")
     largest = groups.agg(F.max("size")).first()[0]
     if not largest:
         return None
-    members = written(keyed.hint("merge").join(groups, "key").join(signed, "node"), "near-members")
-    core = edges = None
-    if largest > config.block:
-        core = written(_leaders(members.where(F.col("size") > config.block), signed, config), "near-leaders")
-        edges = core.where("core AND node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    columns = ["key", "size", "child", "node", "sig", "family"]
+    if largest <= config.block:
+        members = keyed.hint("merge").join(groups, "key").join(signed, "node").select(*columns)
+        met, edges = written(members, "near-members"), None
+        members = _coreless(met)
+    else:
+        # the nodes of large subtries compare with one of them
+        first = signed.select(F.col("node").alias("leader"), F.col("sig").alias("first"))
+        led = groups.where(F.col("size") > config.block).join(first, "leader")
+        led = written(led.unionByName(groups.where(F.col("size") <= config.block), allowMissingColumns=True), "near-led")
+        need = config.least_equal * config.hashes
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                core = batch.column(5).to_numpy() == batch.column(7).to_numpy()
+                large = batch.column(8).is_valid()
+                rows, large = batch.filter(large), large.to_numpy(zero_copy_only=False)
+                core &= large
+                if len(rows):
+                    core[large] |= (binary_matrix(rows.column(4), "u1", config.hashes) == binary_matrix(rows.column(8), "u1", config.hashes)).sum(axis=1) >= need
+                yield pa.RecordBatch.from_arrays([*batch.columns[:8], pa.array(core)], names=[*columns, "leader", "its_family", "core"])
+
+        members = keyed.hint("merge").join(led, "key").join(signed, "node").select(*columns, "leader", "its_family", "first")
+        met = written(members.mapInArrow(near, "key long, size long, child long, node long, sig binary, family long, leader long, its_family long, core boolean"), "near-members")
+        edges = met.where("core AND family <> its_family").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+        members = _coreless(met.where(F.col("size") <= config.block)).unionByName(_with_core(met.where(F.col("size") > config.block)))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Forest()
@@ -395,7 +412,8 @@ def _compare(tries: DataFrame, signed: DataFrame, prefix: int, config: ForestCon
         for batch, rows_, first, second in _groups(batches):
             taken = pa.array(rows_)
             sig = binary_matrix(batch.column(6).take(taken), "u1", config.hashes)
-            a, b, equal = similar_rows(sig, first, second, config, None if full else batch.column(5).to_numpy()[rows_])
+            child, family = (batch.column(k).to_numpy()[rows_] for k in (5, 7))
+            a, b, equal = similar_rows(sig, first, second, config, () if full else (child, family))
             np.add.at(meetings, equal[equal >= least], 1)
             a, b = forest_edges((a, b), len(rows_))
             node = batch.column(4).to_numpy()[rows_]
@@ -406,9 +424,9 @@ def _compare(tries: DataFrame, signed: DataFrame, prefix: int, config: ForestCon
         met = np.flatnonzero(meetings)
         yield pa.RecordBatch.from_pydict({"a": pa.array(-met - 1, pa.int64()), "b": pa.array(meetings[met])})
 
-    found = _dealt(blocked(_with_core(members, core), config), ["child", "sig"]).mapInArrow(alike, "a long, b long")
+    found = _dealt(blocked(members, config), ["child", "sig", "family"]).mapInArrow(alike, "a long, b long")
     found = written(found, "near-alike")
-    return found if edges is None else found.unionByName(edges)
+    return (found if edges is None else found.unionByName(edges)), met
 
 
 # --- the join --------------------------------------------------------------------------------
@@ -454,47 +472,61 @@ def join(docs: DataFrame, config: ForestConfig = ForestConfig(), key: str | None
 
     # the matched prefix is shortened until the pairs that were found let expect the target recall
     tries = written(forest(signed, config), "near-tries")
-    edges, meetings, prefix = [], {}, config.depth + 1
+    no_edges = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+    families = central = None
+    meetings, prefix = {}, config.depth + 1
+
+    def joined(edges: DataFrame) -> DataFrame:
+        if families is not None:
+            edges = edges.unionByName(families.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        sizes = central if central is not None else no_edges.select(F.col("a").alias("node"), F.col("b").alias("central"))
+        return written(components(edges).join(sizes, "node", "left").withColumn("central", F.coalesce("central", F.lit(0).cast("long"))), "near-joined")
+
     while prefix > config.shortest and estimated_recall(meetings, prefix, config) < config.target_recall:
         prefix -= 1
-        found = _compare(tries, signed, prefix, config)
+        found = _compare(tries, signed, families, prefix, config)
         if found is not None:
-            edges.append(found.where("a >= 0"))
+            edges, members = found[0].where("a >= 0"), found[1]
+            if prefix == config.depth:
+                central = written(members.groupBy("node").agg(F.sum("size").alias("central")), "near-central")
+            if families is None or not edges.isEmpty():
+                families = joined(edges)
             # at most one row for each number of equal minhashes
-            for r in found.where("a < 0").groupBy("a").agg(F.sum("b").alias("n")).collect():
+            for r in found[0].where("a < 0").groupBy("a").agg(F.sum("b").alias("n")).collect():
                 meetings[-r["a"] - 1] = meetings.get(-r["a"] - 1, 0) + r["n"]
-    none = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
-    families = components(reduce(DataFrame.unionByName, edges, none))
-    sized = written(families.groupBy(F.col("component").alias("key")).agg(F.count("*").alias("size")), "near-sizes")
-    families = written(families.withColumnRenamed("component", "key").hint("merge").join(sized, "key"), "near-families")
+    families = joined(no_edges) if families is None else families
+    sized = families.groupBy(F.col("component").alias("key")).agg(F.count("*").alias("size"), F.max(F.struct("central", "node")).alias("head"))
+    sized = written(sized.select("key", "size", F.col("head.node").alias("leader")), "near-sizes")
+    families = written(families.select(F.col("component").alias("key"), "node").hint("merge").join(sized, "key"), "near-families")
 
     # the shingle sets of those nodes, from their texts
-    found = texts.select(F.col("row_no").alias("node"), "text").hint("merge").join(families, "node").select("key", "node", "size", "text")
+    found = texts.select(F.col("row_no").alias("node"), "text").hint("merge").join(families, "node").select("key", "node", "size", "leader", "text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 part = batch.slice(lo, 512)
-                sets = [shingles(word_hashes(t.as_py() or ""), config.words).tobytes() for t in part.column(3)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sets, pa.binary())], names=["key", "node", "size", "grams"])
+                sets = [shingles(word_hashes(t.as_py() or ""), config.words).tobytes() for t in part.column(4)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sets, pa.binary())], names=["key", "node", "size", "leader", "grams"])
 
-    sets = written(found.mapInArrow(shingled, "key long, node long, size long, grams binary"), "near-sets")
+    sets = written(found.mapInArrow(shingled, "key long, node long, size long, leader long, grams binary"), "near-sets")
 
-    # in large families, the nodes so close to the family's first that they are all linked with each other
-    large, core, more = sets.where(F.col("size") > config.block), None, None
+    # in large families, the nodes so close to the family's leader that they are all linked with each other
     close = 1 - (1 - config.threshold) / 2
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [jaccard(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) >= close for a, b in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(near, pa.bool_())], names=["key", "node", "core"])
+            near = [jaccard(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) >= close for a, b in zip(batch.column(4), batch.column(5))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(near, pa.bool_())], names=["key", "node", "size", "leader", "grams", "core"])
 
+    members, more = _coreless(sets.where(F.col("size") <= config.block)), None
     if (sized.agg(F.max("size")).first()[0] or 0) > config.block:
-        leaders = large.where("node = key").select("key", F.col("grams").alias("__first"))
-        both = large.hint("merge").join(leaders, "key").select("key", "node", "grams", "__first")
-        core = written(both.mapInArrow(measured, "key long, node long, core boolean"), "near-core")
-        together = written(core.where("core").groupBy("key").agg((F.count("*") - 1).alias("links")).where("links > 0"), "near-core-links")
-        more = core.where("core").hint("merge").join(together, "key").select(F.col("node").alias("a"), F.col("key").alias("b"), "links")
+        large = sets.where(F.col("size") > config.block)
+        leaders = large.where("node = leader").select("key", F.col("grams").alias("__first"))
+        both = large.hint("merge").join(leaders, "key").select("key", "node", "size", "leader", "grams", "__first")
+        large = _with_core(written(both.mapInArrow(measured, "key long, node long, size long, leader long, grams binary, core boolean"), "near-core"))
+        more = written(large.where("core AND n_core > 1").select(F.col("node").alias("a"), F.col("leader").alias("b"), (F.col("n_core") - 1).alias("links")), "near-core-links")
+        members = members.unionByName(large)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, rows_, first, second in _groups(batches):
@@ -511,7 +543,7 @@ def join(docs: DataFrame, config: ForestConfig = ForestConfig(), key: str | None
             if len(some):
                 yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[to[some]]), pa.array(n[some].astype(np.int64))], names=["a", "b", "links"])
 
-    compared = _dealt(blocked(_with_core(sets, core), config), ["grams"]).mapInArrow(linked, "a long, b long, links long")
+    compared = _dealt(blocked(members, config), ["grams"]).mapInArrow(linked, "a long, b long, links long")
     found_links = written(compared, "near-links")
     if more is not None:
         found_links = found_links.unionByName(more)

@@ -143,6 +143,29 @@ def test_large_families_with_a_core(docs):
     assert got == brute(texts)
 
 
+def test_a_large_family_is_taken_up_once(docs, monkeypatch):
+    """Shorter prefixes leave out the pairs that are in one family already, and so nearly all rows of a large one."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(300)]
+    texts = []
+    for k in range(150):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"v{k}"
+        texts.append(" ".join(w))
+    rows, write = Counter(), n.written
+
+    def counted(df, label):
+        out = write(df, label)
+        rows[label] += out.count()
+        return out
+
+    monkeypatch.setattr(n, "written", counted)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in n.classes(docs(texts), n.ForestConfig(block=16, enough=10**9)).collect()}
+    assert got == brute(texts)
+    # a row for each node and tree at most; each prefix had nearly as many
+    assert rows["near-members"] <= n.ForestConfig().trees * len(texts)
+
+
 def test_null_and_repeated_ids(docs):
     texts = variants(9)
     ids = [None if k % 3 == 0 else k % 7 for k in range(len(texts))]
